@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodeweave.llm import items as I
-from lodeweave.llm import mojibake
-from lodeweave.session import table
+from lodeweave.llm import mojibake, near, neardup, overlap
+from lodeweave.session import cut, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +23,60 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired(I.garbled_items(table(spark, sf_dir, "samples")))
 
 
+def _reduced(samples: DataFrame, *fields: str) -> DataFrame:
+    """Items whose reduced text is long enough, with that text."""
+    long = I.items(samples, *fields).filter(F.length("text") >= near.MIN_CHARS)
+    return long.withColumn("text", near.reduced(F.col("text"))).filter(F.length("text") >= near.MIN_CHARS)
+
+
+def _train_eval(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = samples.filter("split in ('train', 'val', 'test')")
+    return _reduced(rows.filter("split = 'train'"), "passage", "ocr"), _reduced(rows.filter("split <> 'train'"), "passage", "ocr")
+
+
+def _overlap_rows(samples: DataFrame) -> DataFrame:
+    """train_id, eval_id, field_name of rows with a near-same text, garbled passages left out."""
+    train, evaluation = _train_eval(samples)
+    pairs = cut(overlap.overlaps(train, evaluation).select("field_name", "train_key", "eval_key"))
+    bad = I.garbled_items(samples).filter("posterior >= 0.5 and field_name = 'passage'").select("sample_id", "field_name")
+    holders = lambda side, key, name: side.select("field_name", overlap.text_key("text").alias(key), F.col("sample_id")).join(bad, ["sample_id", "field_name"], "left_anti").withColumnRenamed("sample_id", name).distinct()
+    out = pairs.join(holders(train, "train_key", "train_id"), ["field_name", "train_key"]).join(holders(evaluation, "eval_key", "eval_id"), ["field_name", "eval_key"])
+    return out.select("train_id", "eval_id", "field_name").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training row and an evaluation row with near-same passages or OCR texts."""
+    rows = _overlap_rows(table(spark, sf_dir, "samples"))
+    return rows.select(F.least("train_id", "eval_id").alias("sample_id_a"), F.greatest("train_id", "eval_id").alias("sample_id_b"), "field_name").distinct()
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and room of the evaluation row: rows, training rows met, pairs."""
+    samples = table(spark, sf_dir, "samples")
+    rooms = table(spark, sf_dir, "join_split").filter("pair_id is not null").groupBy("pair_id").agg(F.min("room_id").alias("room_id"))
+    facts = samples.select(F.col("sample_id").alias("eval_id"), "split", "pair_id").join(rooms, "pair_id", "left")
+    return _overlap_rows(samples).join(facts, "eval_id").groupBy("split", "room_id", "field_name").agg(F.countDistinct("eval_id").alias("eval_rows"), F.countDistinct("train_id").alias("train_rows"), F.count("*").alias("pairs"))
+
+
+def _review_pairs(samples: DataFrame) -> DataFrame:
+    """review_id_a, review_id_b of near-same reviews, garbled ones left out."""
+    reviews = _reduced(samples, "review").filter("ref is not null")
+    bad = I.garbled_items(samples).filter("posterior >= 0.5 and field_name = 'review'").select(F.col("ref").alias("review_id")).distinct()
+    members = cut(reviews.select(F.col("ref").alias("review_id"), F.md5("text").alias("key")).distinct().join(bad, "review_id", "left_anti"))
+    near_same = neardup.near_pairs(neardup.classes(reviews)).select(F.md5("a").alias("ka"), F.md5("b").alias("kb"))
+    of = lambda n: members.select(F.col("key").alias(f"k{n}"), F.col("review_id").alias(f"r{n}"))
+    apart = near_same.join(of("a"), "ka").join(of("b"), "kb").select("ra", "rb")
+    equal = members.alias("x").join(members.alias("y"), "key").filter("x.review_id < y.review_id").select(F.col("x.review_id").alias("ra"), F.col("y.review_id").alias("rb"))
+    return apart.unionByName(equal).filter("ra <> rb").select(F.least("ra", "rb").alias("review_id_a"), F.greatest("ra", "rb").alias("review_id_b")).distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different reviews with near-same texts."""
+    return _review_pairs(table(spark, sf_dir, "samples"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_repaired)}
+    return {f.__name__: f for f in (p2_found, p2_repaired, p5_found, p5_report, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
