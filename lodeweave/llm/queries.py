@@ -6,12 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lodeweave.llm import items as I
-from lodeweave.llm import mojibake, near, neardup, overlap
+from lodeweave.llm import lookalike, mojibake, near, neardup, overlap, splits
 from lodeweave.session import cut, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of groups whose samples carry several splits."""
+    return splits.broken(table(spark, sf_dir, "join_split"), table(spark, sf_dir, "samples"))
+
+
+def p1_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pair records with the split of their group."""
+    records = table(spark, sf_dir, "join_split").select("pair_id", "product_id", "room_id", "attribute_id", "built_ts")
+    return splits.assigned(records)
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and groups of each split, and the share of the records."""
+    rows = p1_split(spark, sf_dir).groupBy("assigned_split").agg(F.count("*").alias("records"), F.countDistinct("group_key").alias("groups"))
+    return rows.withColumn("share", F.col("records") / F.sum("records").over(W.partitionBy()))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages and reviews with a garbled stretch."""
     judged = I.garbled_items(table(spark, sf_dir, "samples"))
@@ -29,6 +47,22 @@ def _reduced(samples: DataFrame, *fields: str) -> DataFrame:
     return long.withColumn("text", near.reduced(F.col("text"))).filter(F.length("text") >= near.MIN_CHARS)
 
 
+def _consistent(samples: DataFrame) -> DataFrame:
+    """Reviews, parameters and OCR texts that are not in their consistent form, garbled reviews left out."""
+    bad = I.garbled_items(samples).filter("posterior >= 0.5").select("sample_id", "field_name", "item_no").distinct()
+    return lookalike.rewritten(I.items(samples, "review", "param", "ocr")).join(bad, ["sample_id", "field_name", "item_no"], "left_anti")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews, parameters and OCR texts with a character that stands for a plain one of the same look."""
+    return _consistent(table(spark, sf_dir, "samples")).select("sample_id", "field_name", "item_no").distinct()
+
+
+def p3_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those texts with their consistent form."""
+    return _consistent(table(spark, sf_dir, "samples")).select("sample_id", "field_name", "item_no", F.col("clean").alias("consistent_text"))
+
+
 def _train_eval(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = samples.filter("split in ('train', 'val', 'test')")
     return _reduced(rows.filter("split = 'train'"), "passage", "ocr"), _reduced(rows.filter("split <> 'train'"), "passage", "ocr")
@@ -76,7 +110,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_repaired, p5_found, p5_report, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_repaired, p3_found, p3_consistent, p5_found, p5_report, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
