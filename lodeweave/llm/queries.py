@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodeweave.llm import items as I
-from lodeweave.llm import lookalike, mojibake, near, neardup, overlap, splits
+from lodeweave.llm import language, lookalike, mojibake, near, neardup, overlap, splits
 from lodeweave.session import cut, table
 
 
@@ -109,8 +109,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _review_pairs(table(spark, sf_dir, "samples"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages in which a document has a whole sentence and which its label does not name."""
+    return language.unnamed(language.parts(table(spark, sf_dir, "documents")))
+
+
+def p9_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each document in one language, with their confidence."""
+    return language.parts(table(spark, sf_dir, "documents")).drop("sure")
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of each document, with its share and confidence."""
+    return language.main_language(language.parts(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_repaired, p3_found, p3_consistent, p5_found, p5_report, p6_found)}
+    return {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_repaired, p3_found, p3_consistent, p5_found, p5_report, p6_found, p9_found, p9_parts, p9_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
