@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodeweave.llm import items as I
-from lodeweave.llm import language, lookalike, mojibake, near, neardup, overlap, splits
+from lodeweave.llm import language, lookalike, mixture, mojibake, near, neardup, overlap, packing, splits, tokens
 from lodeweave.session import cut, table
 
 
@@ -109,6 +109,38 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _review_pairs(table(spark, sf_dir, "samples"))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(tokens.sized(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every document (or piece of one above the capacity) for each capacity."""
+    return packing.packed(_sizes(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, certified least number and filling of each capacity."""
+    sizes, packs = _sizes(spark, sf_dir), table(spark, sf_dir, "pack_sizes")
+    return packing.report(packing.packed(sizes, packs), sizes, packs)
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents")
+    targets = table(spark, sf_dir, "mix_targets")
+    wanted = documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    return mixture.mixed(tokens.sized(wanted, "doc_id", "source", "lang"), targets)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mixture and how often each is used."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages in which a document has a whole sentence and which its label does not name."""
     return language.unnamed(language.parts(table(spark, sf_dir, "documents")))
@@ -125,7 +157,7 @@ def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_repaired, p3_found, p3_consistent, p5_found, p5_report, p6_found, p9_found, p9_parts, p9_documents)}
+    return {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_repaired, p3_found, p3_consistent, p5_found, p5_report, p6_found, p7_packing, p7_report, p8_mixture, p8_shares, p9_found, p9_parts, p9_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
