@@ -23,12 +23,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(texts: DataFrame) -> DataFrame:
-    """Exact classes of reduced texts: id, text.
+    """Exact classes of reduced texts: id, text, partitioned by id.
 
     ``texts``: a column text that is reduced. id is a 64-bit hash of the text. Two texts that meet
-    in one id only cost a comparison, as pairs are verified on the texts.
+    in one id only cost a comparison, as pairs are verified on the texts. Copies are dropped
+    before the shuffle; the set of an id holds one text, or the few of a collision.
     """
-    return texts.select("text").distinct().select(F.xxhash64("text").alias("id"), "text")
+    return texts.select(F.xxhash64("text").alias("id"), "text").groupBy("id").agg(F.collect_set("text").alias("all")).select("id", F.explode("all").alias("text"))
 
 
 def near_pairs(texts: DataFrame) -> DataFrame:
