@@ -22,6 +22,8 @@ BANDS, ROWS = 32, 4
 #: Bits of the sketch that pairs must pass before their texts are fetched, and least number of
 #: equal bits: 128 * (1 + 0.6) / 2 = 102 are expected at the threshold, standard deviation 4.5.
 SKETCH_BITS, SKETCH_LEAST = 128, 85
+#: Of the first 32 bits 25.6 are expected to be equal, standard deviation 2.3.
+FIRST_LEAST = 18
 
 
 def reduced(text: Column) -> Column:

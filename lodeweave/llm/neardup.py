@@ -19,7 +19,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = near.signatures(part.column(1).to_pylist())
             keys, (s0, s1) = near.band_keys(sig), near.sketches(sig)
             n, offsets = part.num_rows, np.arange(0, (part.num_rows + 1) * near.BANDS, near.BANDS, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets[: n + 1]), pa.array(keys.reshape(-1))), pa.array(s0), pa.array(s1)], names=["id", "keys", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets[: n + 1]), pa.array(keys.reshape(-1))), pa.array(s0), pa.array(s1), pa.array(s0.view(np.int32)[::2])], names=["id", "keys", "s0", "s1", "bits"])
 
 
 def classes(texts: DataFrame) -> DataFrame:
@@ -37,11 +37,14 @@ def near_pairs(texts: DataFrame) -> DataFrame:
 
     ``texts``: id, text (see classes), each with near.MIN_CHARS characters at least. Band keys
     are shuffled once and joined with themselves; the join splits hot keys (AQE). Candidates must
-    agree in enough bits of a 128-bit sketch and are then verified on their whole run sets.
+    agree in enough bits of a sketch (32 bits beside the keys, then all 128) and are then verified on their whole run sets.
     """
-    banded = cut(texts.select("id", "text").mapInArrow(_bands, "id long, keys array<long>, s0 long, s1 long"))
-    rows = banded.select("id", F.explode("keys").alias("key"))
-    met = rows.alias("x").join(rows.alias("y"), "key").filter("x.id < y.id").select(F.col("x.id").alias("ia"), F.col("y.id").alias("ib")).distinct()
+    banded = cut(texts.select("id", "text").mapInArrow(_bands, "id long, keys array<long>, s0 long, s1 long, bits int"))
+    rows = banded.select("id", "bits", F.explode("keys").alias("key"))
+    differ = F.col("x.bits").bitwiseXOR(F.col("y.bits")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    alike = 32 - F.bit_count(differ) >= near.FIRST_LEAST
+    met = rows.alias("x").join(rows.alias("y"), "key").filter("x.id < y.id").filter(alike).select(F.col("x.id").alias("ia"), F.col("y.id").alias("ib"))
+    met = met.repartition("ia").distinct()  # one shuffle serves the distinct and the join on ia
     sketch = banded.select("id", "s0", "s1")
     same = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
     close = (
