@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import text as X
 from lodeweave.functions import times as T
+from lodeweave.session import spread
 
 
 @dataclass(frozen=True)
@@ -93,7 +94,8 @@ def label_weights(rows: DataFrame, aligned: str, total: str, engine: Engine = L1
 
 def aligned_reviews(samples: DataFrame) -> DataFrame:
     """sample_id, split and the reviews that support or refute the claim, with the number of all."""
-    return samples.select("sample_id", "split", F.filter("reviews", lambda r: F.coalesce(r["relation"].isin("support", "refute"), F.lit(False))).alias("aligned"), F.coalesce(F.size("reviews"), F.lit(0)).alias("total"))
+    rows = samples.select("sample_id", "split", F.filter("reviews", lambda r: F.coalesce(r["relation"].isin("support", "refute"), F.lit(False))).alias("aligned"), F.coalesce(F.size("reviews"), F.lit(0)).alias("total"))
+    return spread(rows)
 
 
 C_TRANSFORMS = ("uniform", "inverse", "binary", "count", "sqrt")
