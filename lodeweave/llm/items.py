@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.session import spread
+
 
 def _part(name: str, texts: Column, refs: Column | None) -> Column:
     struct = lambda x, i: F.struct(F.lit(name).alias("field_name"), i.cast("int").alias("item_no"), x.alias("text"), (F.lit(None).cast("string") if refs is None else F.get(refs, i)).alias("ref"))
@@ -25,8 +27,8 @@ def items(samples: DataFrame, *fields: str) -> DataFrame:
         "ocr": lambda: _part("ocr", F.col("evidence_ocr.raw_text"), None),
     }
     chosen = [parts[f]() for f in fields]
-    rows = samples.select("sample_id", F.substring_index("attribute_id", "_", 1).alias("source"), F.explode(F.concat(*chosen) if len(chosen) > 1 else chosen[0]).alias("x"))
-    return rows.select("sample_id", "source", "x.*").filter("text is not null")
+    arrays = spread(samples.select("sample_id", F.substring_index("attribute_id", "_", 1).alias("source"), (F.concat(*chosen) if len(chosen) > 1 else chosen[0]).alias("xs")))
+    return arrays.select("sample_id", "source", F.explode("xs").alias("x")).select("sample_id", "source", "x.*").filter("text is not null")
 
 
 def garbled_items(samples: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.session import spread
+
 CODES = ("zh", "en", "ja", "ko", "ru", "es", "pt")
 #: Longest context in bytes; labelled documents in the sample and their longest text; refits.
 ORDER, SAMPLE, SAMPLE_CHARS, REFITS = 4, 3000, 6000, 2
@@ -238,7 +240,7 @@ def parts(documents: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), batch.column(2).slice(i, j - i).take(pa.array(doc)), *map(pa.array, rest)], names=["doc_id", "named", "first", "last", "code", "confidence", "bits", "sure"])
                 i = j
 
-    return documents.filter("text <> ''").select("doc_id", "text", named(F.col("lang")).alias("named")).mapInArrow(score, SENTENCES)
+    return spread(documents.filter("text <> ''").select("doc_id", "text", named(F.col("lang")).alias("named"))).mapInArrow(score, SENTENCES)
 
 
 def _scored(trees: Trees, data: np.ndarray, bounds: np.ndarray):

@@ -8,6 +8,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodeweave.session import spread
+
 #: Folder of the tokenizers' files; the cluster's place may be given by this session setting.
 SETTING, FOLDER = "spark.lodeweave.tokenizers", "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
@@ -32,4 +34,4 @@ def sized(documents: DataFrame, *keep: str, model: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(list(map(len, ids)), pa.int64())], names=[*keep, "n_tokens"])
 
     kinds = dict(documents.select(*keep).dtypes)
-    return documents.select("text", *keep).mapInArrow(count, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long")
+    return spread(documents.select("text", *keep)).mapInArrow(count, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long")
