@@ -43,7 +43,7 @@ def strongest_mention(mentions: DataFrame, *keys: str) -> DataFrame:
     rows = mentions.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
     better = lambda a, b: (~a["explicit_fact_hit"] & b["explicit_fact_hit"]) | ((a["mention_strength"] != "strong") & (b["mention_strength"] == "strong"))
     kept = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", 0), lambda a, b: F.when(better(a, b), b).otherwise(a))
-    return rows.select(*keys, kept.alias("k")).select(*keys, "k.explicit_fact_hit", "k.mention_strength", "k.polarity", "k.evidence_span")
+    return rows.select(*keys, kept.alias("__k")).select(*keys, "__k.explicit_fact_hit", "__k.mention_strength", "__k.polarity", "__k.evidence_span")
 
 
 # Fixed value: a subtitle's time line and the text line after it.
