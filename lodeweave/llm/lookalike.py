@@ -105,13 +105,16 @@ def _patterns() -> dict[str, re.Pattern]:
 
 
 def word_script(word: str, totals: dict[str, int] | None = None) -> str:
-    """Script of a word: that of most letters no other script looks like, then of most letters, then the commonest."""
+    """Script of a word: that of most letters that no other script looks like; else that of twice as
+    many letters as the next; else the commonest in the texts, Latin before others."""
     own, every = Counter(), Counter()
     for c in word:
         if s := script(c):
             every[s] += 1
             own[s] += unicodedata.normalize("NFKC", c)[:1] not in _shared()
-    return max(every, key=lambda s: (own[s], every[s], (totals or {}).get(s, 0), s == "latin"), default="")
+    first, second = [*(n for _, n in every.most_common(2)), 0, 0][:2]
+    clear = {s for s in every if every[s] == first >= 2 * second}
+    return max(every, key=lambda s: (own[s], s in clear, (totals or {}).get(s, 0), s == "latin"), default="")
 
 
 @cache

@@ -7,9 +7,9 @@ under the true charset, and counts all characters. Expectation-maximization then
 
 * E: posterior of each stretch from the log-likelihood ratio of its two readings under a
   character model of clean text, and from the chain's rate in the pool (source, field);
-* M: the rates of each pool, shrunk towards the chain's overall rate, and the character model:
-  counted characters, less the observed side and plus the decoded side of the stretches, each
-  weighted by its posterior.
+* M: the rates of each pool (texts with the chain), shrunk towards the chain's overall rate, and
+  the character model: counted characters less those of the stretches, weighted by their posterior.
+  Decoded characters are not added: a reading must not become its own evidence.
 
 What the driver gathers is bounded by the number of code points and of pools times chains.
 """
@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +35,8 @@ CERTAIN = 30.0
 #: Weight, in items, of a chain's overall rate within each pool.
 SHRINK = 200.0
 ROUNDS = 3
+#: Count of a decoded character that clean text lacks: of a sign or one of the 3755 commonest Chinese characters, of any other letter.
+UNSEEN, STRANGE = 0.5, 1e-4
 SCHEMA = "kind string, key string, n double, sample_id long, field_name string, item_no int, ref string, source string, chain string, pos int, obs string, dec string, text string"
 ARROW = pa.schema([("kind", pa.string()), ("key", pa.string()), ("n", pa.float64()), ("sample_id", pa.int64()), ("field_name", pa.string()), ("item_no", pa.int32()), ("ref", pa.string()), ("source", pa.string()), ("chain", pa.string()), ("pos", pa.int32()), ("obs", pa.string()), ("dec", pa.string()), ("text", pa.string())])
 
@@ -73,6 +76,7 @@ def _tables() -> dict:
         "singles": {k: (re.compile(cls(v) + "{2,}"), str.maketrans({c: chr(b) for c, b in v.items()})) for k, v in singles.items()},
         "gbk_shown": re.compile(f"(?:{x3}|{x2}{x3}?)?(?:{x1}(?:{x2}|\ufffd)(?:{x3}|\ufffd)?|{x1}{x3}|{x1}\ufffd?)+"),
         "gbk_anchor": re.compile(f"{x1}(?:{x2}|{x3}|[\ufffd\ue000-\uf8ff])"),
+        "usual": frozenset(common),
         "big5": big5,
         "big5_run": re.compile(cls(set(big5) | {"\ufffd"}) + "+"),
         "big5_strong": re.compile(cls(strong)),
@@ -86,20 +90,32 @@ UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}
 GBK = re.compile(rb"(?:[\xa1-\xa9\xb0-\xf7][\xa1-\xfe])+")
 
 
+def _decoded_once(text: str, name: str, t: dict) -> str:
+    """The text with every UTF-8 sequence that a single-byte charset shows decoded."""
+    pattern, table = t["singles"][name]
+
+    def run(m: re.Match) -> str:
+        raw = m.group().translate(table).encode("latin-1")
+        out, last = [], 0
+        for k in UTF8.finditer(raw):
+            out += [m.group()[last : k.start()], k.group().decode("utf-8", "ignore")]
+            last = k.end()
+        return "".join(out) + m.group()[last:]
+
+    return pattern.sub(run, text)
+
+
 def _single(text: str, name: str, t: dict) -> Iterator[tuple[str, int, str, str]]:
     """Stretches that were UTF-8 (once, twice) or GBK bytes shown by a single-byte charset."""
     pattern, table = t["singles"][name]
     for run in pattern.finditer(text):
         shown, start = run.group(), run.start()
         raw = shown.translate(table).encode("latin-1")
-        end = 0
         for m in UTF8.finditer(raw):
             once = m.group().decode("utf-8", "ignore")
             yield f"utf8>{name}", start + m.start(), shown[m.start() : m.end()], once
-            end = max(end, m.end())
-            again = t["singles"][name][0].search(once)
-            if again and (twice := UTF8.search(again.group().translate(table).encode("latin-1"))):
-                yield f"utf8>{name}>{name}", start + m.start(), shown[m.start() : m.end()], once[: again.start() + twice.start()] + twice.group().decode("utf-8", "ignore") + once[again.start() + twice.end() :]
+            if pattern.search(once) and (twice := _decoded_once(once, name, t)) != once:
+                yield f"utf8>{name}>{name}", start + m.start(), shown[m.start() : m.end()], twice
         if name == "cp1252":
             for m in GBK.finditer(raw):
                 yield "gbk>cp1252", start + m.start(), shown[m.start() : m.end()], m.group().decode("gbk", "ignore")
@@ -175,14 +191,17 @@ class Model:
         """Log-likelihood ratio of the decoded against the observed reading."""
         if chain == LOST:
             return CERTAIN
-        log = lambda c: math.log(max(self.counts.get(c, 0.0), 0.05)) - self.total
+        log = lambda c, least=0.05: math.log(max(self.counts.get(c, 0.0), least)) - self.total
         sure = CERTAIN * any(c == "\ufffd" or "\ue000" <= c <= "\uf8ff" or "\x80" <= c <= "\x9f" for c in obs)
-        return sum(map(log, dec)) - sum(map(log, obs)) + sure
+        # a reading with strange letters that no clean text has is weak evidence
+        usual = _tables()["usual"]
+        return sum(log(c, UNSEEN if c in usual or not c.isalpha() else STRANGE) for c in dec) - sum(map(log, obs)) + sure
 
-    def posterior(self, source: str, field: str, chain: str, obs: str, dec: str) -> float:
+    def log_odds(self, source: str, field: str, chain: str, obs: str, dec: str) -> float:
+        """Posterior log-odds that the stretch is garbled."""
         rate = min(0.5, max(1e-6, self.rates.get((source, field, chain), self.overall.get(chain, 1e-3))))
         x = self.ratio(chain, obs, dec) + math.log(rate / (1 - rate))
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
+        return max(-500.0, min(500.0, x))
 
 
 def garbled(texts: DataFrame) -> DataFrame:
@@ -209,10 +228,10 @@ def garbled(texts: DataFrame) -> DataFrame:
         m = shared.value
         for b in batches:
             get = lambda k: b.column(b.schema.get_field_index(k)).to_pylist()
-            p = [m.posterior(*x) for x in zip(get("source"), get("field_name"), get("chain"), get("obs"), get("dec"))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "posterior"])
+            odds = [m.log_odds(*x) for x in zip(get("source"), get("field_name"), get("chain"), get("obs"), get("dec"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(odds, pa.float64()), pa.array([1 / (1 + math.exp(-x)) for x in odds], pa.float64())], names=[*b.schema.names, "log_odds", "posterior"])
 
-    return found.mapInArrow(judge, SCHEMA.split("n double, ")[1] + ", posterior double")
+    return found.mapInArrow(judge, SCHEMA.split("n double, ")[1] + ", log_odds double, posterior double")
 
 
 def _expect(spark, found: DataFrame, model: Model) -> dict[tuple[str, str], float]:
@@ -222,21 +241,34 @@ def _expect(spark, found: DataFrame, model: Model) -> dict[tuple[str, str], floa
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, sums = shared.value, Counter()
         for b in batches:
-            for source, field, chain, obs, dec in zip(*(b.column(i).to_pylist() for i in range(5))):
-                p = m.posterior(source, field, chain, obs, dec)
-                sums["r", f"{source}\t{field}\t{chain}"] += p
-                for c in obs:
-                    sums["n", c] -= p
-                if chain != LOST:
-                    for c in dec:
-                        sums["n", c] += p
+            for (_, _, _), rows in groupby(zip(*(b.column(i).to_pylist() for i in range(8))), key=lambda r: r[:3]):
+                _add(m, sums, list(rows))
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums]), pa.array(list(sums.values()), pa.float64())], names=["kind", "key", "n"])
 
-    rows = found.select("source", "field_name", "chain", "obs", "dec").mapInArrow(part, "kind string, key string, n double")
+    rows = found.select("sample_id", "field_name", "item_no", "source", "chain", "pos", "obs", "dec").mapInArrow(part, "kind string, key string, n double")
     return {(r[0], r[1]): r[2] for r in rows.groupBy("kind", "key").agg(F.sum("n")).collect()}
 
 
+def _add(model: Model, sums: Counter, rows: list[tuple]) -> None:
+    """Adds the stretches of one text, best first: a character is lost once, whatever chains explain it."""
+    scored = sorted(((model.log_odds(r[3], r[1], r[4], r[6], r[7]), r) for r in rows), key=lambda x: (-x[0], x[1][5], x[1][4]))
+    taken: set[int] = set()
+    pools: dict[str, float] = {}
+    for x, (_, field, _, source, chain, pos, obs, _) in scored:
+        here = {pos + i for i in range(len(obs))}
+        if here & taken:
+            continue
+        taken |= here
+        p = 1 / (1 + math.exp(-x))
+        key = f"{source}\t{field}\t{chain}"
+        pools[key] = max(p, pools.get(key, 0.0))
+        for c in obs:
+            sums["n", c] -= p
+    for key, p in pools.items():
+        sums["r", key] += p
+
+
 def _maximize(chars: dict, pools: dict, sums: dict) -> Model:
     counts = dict(chars)
     by_chain: Counter[str] = Counter()
@@ -258,7 +290,7 @@ def _maximize(chars: dict, pools: dict, sums: dict) -> Model:
 def repaired(judged: DataFrame) -> DataFrame:
     """One row per garbled text: the text with its stretches replaced, and whether all of it came back.
 
-    Of stretches that overlap the one of the highest posterior (then the longest) is used. A
+    Of stretches that overlap the one of the highest posterior odds (then the longest) is used. A
     stretch whose bytes were lost stays as it is and makes the text unrecoverable.
     """
 
@@ -268,7 +300,7 @@ def repaired(judged: DataFrame) -> DataFrame:
             rows = []
             for i, text in enumerate(texts):
                 done, whole, best = [], True, 0.0
-                for m in sorted(marks[i], key=lambda m: (m["chain"] == LOST, -round(m["posterior"], 6), -len(m["obs"]), m["pos"])):
+                for m in sorted(marks[i], key=lambda m: (m["chain"] == LOST, -m["log_odds"], -len(m["obs"]), m["pos"])):
                     a, z = m["pos"], m["pos"] + len(m["obs"])
                     if all(z <= x or a >= y for x, y, _ in done):
                         lost = m["chain"] == LOST or "\ufffd" in m["obs"]
@@ -280,7 +312,9 @@ def repaired(judged: DataFrame) -> DataFrame:
                     out += [text[last:a], new]
                     last = z
                 rows.append((ids[i], fields[i], items[i], "".join(out) + text[last:], whole, best))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["sample_id", "field_name", "item_no", "repaired_text", "recoverable", "posterior"])
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.float64())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["sample_id", "field_name", "item_no", "repaired_text", "recoverable", "posterior"])
 
-    marks = judged.filter("posterior >= 0.5").groupBy("sample_id", "field_name", "item_no").agg(F.first("text").alias("text"), F.collect_list(F.struct("chain", "pos", "obs", "dec", "posterior")).alias("marks"))
+    marks = judged.filter("posterior >= 0.5").groupBy("sample_id", "field_name", "item_no").agg(F.first("text").alias("text"), F.collect_list(F.struct("chain", "pos", "obs", "dec", "posterior", "log_odds")).alias("marks"))
     return marks.mapInArrow(mend, "sample_id long, field_name string, item_no int, repaired_text string, recoverable boolean, posterior double")
