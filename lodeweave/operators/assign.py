@@ -13,9 +13,10 @@ SHARES = (("train", 0.7), ("val", 0.1), ("test", 0.2))
 BLOCKS = 1024
 
 
-def balanced_splits(rows: DataFrame, group: str, y: str) -> DataFrame:
+def balanced_splits(rows: DataFrame, group: str, y: str, deficit: bool = False) -> DataFrame:
     """group, n, pos, split: groups by size and positives descending, each to the split where the
-    squared relative error of rows plus twice that of positives is least.
+    squared relative error of rows plus twice that of positives is least, or with ``deficit`` to
+    the split that lacks most rows.
 
     Groups of one size and number of positives are alike; one task walks the kinds, of which there
     are at most as many as pairs of numbers that sum to the rows, and groups take their split by
@@ -30,6 +31,8 @@ def balanced_splits(rows: DataFrame, group: str, y: str) -> DataFrame:
         have = {k: [0.0, 0.0] for k, _ in SHARES}
 
         def error(k: str, n: int, p: int) -> float:
+            if deficit:
+                return have[k][0] - dict(SHARES)[k] * total
             out = 0.0
             for name, share in SHARES:
                 a, b = have[name][0] + n * (name == k), have[name][1] + p * (name == k)

@@ -97,6 +97,22 @@ def clusters(names: DataFrame, by: str, threshold: float = 0.6) -> DataFrame:
     return names.select(by, "name").filter("name is not null").groupBy(by).applyInPandas(part, f"{by} string, name string, cluster int")
 
 
+def sequential_merge(names: DataFrame, by: str) -> DataFrame:
+    """by, name, target: each distinct name in order joins the first earlier target that contains it
+    or that it contains, else becomes a target itself. A group's names are walked in one task."""
+
+    def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        targets, out = [], []
+        for name in sorted(set(frame["name"]), key=lambda n: (len(n), n)):
+            target = next((t for t in targets if t in name or name in t), name)
+            if target == name:
+                targets.append(name)
+            out.append((key[0], name, target))
+        return pd.DataFrame(out, columns=[by, "name", "target"])
+
+    return names.select(by, "name").filter("name is not null").distinct().groupBy(by).applyInPandas(walk, f"{by} string, name string, target string")
+
+
 def salvaged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Tolerant JSON: the text itself, a fenced block, the outermost braces, or the whole objects of a cut-off array."""
     import json

@@ -103,4 +103,23 @@ PLANS = {
     "ordered_sources": Plan("P6, P11, P12: evidence texts in source order, empty ones dropped", "select sample_id, i, x.src, x.txt from {samples} lateral view posexplode(filter(concat(transform(evidence_params, p -> named_struct('src', 'param', 'txt', p.raw_text)), transform(evidence_ocr, p -> named_struct('src', 'ocr', 'txt', p.raw_text)), transform(evidence_vlm, p -> named_struct('src', 'vlm', 'txt', p.raw_quote))), e -> e.txt <> '')) t as i, x", "with u as (select sample_id, list_filter(list_concat(list_transform(evidence_params, lambda p: {'src': 'param', 'txt': p.raw_text}), list_transform(evidence_ocr, lambda p: {'src': 'ocr', 'txt': p.raw_text}), list_transform(evidence_vlm, lambda p: {'src': 'vlm', 'txt': p.raw_quote})), lambda e: e.txt <> '') l from samples) select sample_id, (i - 1)::int i, l[i].src src, l[i].txt txt from u, unnest(range(1, len(l) + 1)) t(i)"),
     "claim_tokens": Plan("P14, X35: claim characters up to 384, a mark where there is no claim", "select sample_id, case when coalesce(claim.passage, '') = '' then 1 else least(length(claim.passage), 384) end n_tokens, coalesce(nullif(substr(claim.passage, 1, 384), ''), '[NONE]') flow from {samples}"),
     "soft_labels": Plan("X32, X29: labels shrunk to the base rate by weight, clamped", "with b as (select avg(y) p from {samples} where y is not null) select sample_id, round(least(1.0, greatest(0.0, c * y + (1 - c) * p)), 6) target, round(1 / (1 + exp(-(4 * c - 2))), 6) squashed from {samples}, b where y is not null"),
+    "free_resolution": Plan("J4: free spans resolved to the schema attribute whose name they contain, the rest diverted", "with f as (select distinct review_id, category, evidence_span from {mentions} where mention_type = 'free' and evidence_span is not null), r as (select f.review_id, f.evidence_span, min(s.attribute_id) attribute_id from f left join {category_schema} s on f.category = s.category and contains(f.evidence_span, substr(s.canonical_name, 1, 2)) group by 1, 2) select review_id, evidence_span, coalesce(attribute_id, 'UNRESOLVED') attribute_id from r"),
+    "mention_repair": Plan("J10: reviews of a sample with the strength of the best mention of the same product and attribute, order kept", f"with {_M}, b as (select product_id, attribute_id, mention_strength, row_number() over (partition by product_id, attribute_id order by explicit_fact_hit desc, {_KEY}, review_id) rn from m where attribute_id is not null), x as (select sample_id, pair_id, attribute_id, i, r.mention_strength st from {{samples}} lateral view posexplode(reviews) t as i, r), y as (select x.sample_id, x.i, coalesce(b.mention_strength, x.st) st from x left join b on concat('p', b.product_id, '__', b.attribute_id) = x.pair_id and b.rn = 1) select sample_id, array_join(transform(array_sort(collect_list(struct(i, st))), e -> e.st), ',') strengths from y group by sample_id", f"with {_M}, b as (select product_id, attribute_id, mention_strength, row_number() over (partition by product_id, attribute_id order by explicit_fact_hit desc, {_KEY}, review_id) rn from m where attribute_id is not null), x as (select sample_id, pair_id, i, reviews[i].mention_strength st from samples, unnest(range(1, len(reviews) + 1)) t(i)), y as (select x.sample_id, x.i, coalesce(b.mention_strength, x.st) st from x left join b on 'p' || b.product_id || '__' || b.attribute_id = x.pair_id and b.rn = 1) select sample_id, string_agg(st, ',' order by i) strengths from y group by sample_id".replace("{mentions}", "mentions")),
+    "labels_with_metadata": Plan("J11: samples joined with pair facts, left joined with the schema's type", f"with {_PAIRS} select s.sample_id, p.category, p.coverage, coalesce(c.value_type, 'text') value_type from {{samples}} s join (select * from pairs where rn = 1) p on s.pair_id = p.pair_id left join {{category_schema}} c on s.attribute_id = c.attribute_id"),
+    "safe_merge": Plan("P4: only whitelisted fields filled from the auxiliary row, the ignored split recorded", f"with {_PAIRS} select s.sample_id, coalesce(s.confidence, p.confidence) confidence, coalesce(s.y, p.y) y, s.split, p.rn is not null as had_aux from {{samples}} s left join (select * from pairs where rn = 1) p on s.pair_id = p.pair_id"),
+    "dual_view": Plan("P5, P18: given and new label side by side with a constant column", "select sample_id, y y_old, case when size(filter(reviews, r -> r.polarity = 'neg' and r.relation is not null)) > 0 then 1 else 0 end y_new, 'params_ocr' policy from {samples}", "select sample_id, y y_old, case when len(list_filter(reviews, lambda r: r.polarity = 'neg' and r.relation is not null)) > 0 then 1 else 0 end y_new, 'params_ocr' as policy from samples"),
+    "pair_ids": Plan("X14, X10: pair id where it is missing, prefix of the category", "select distinct pair_id, coalesce(nullif(if(coverage = 1, '', pair_id), ''), concat('p', product_id, '__', attribute_id)) rebuilt, coalesce(map('食品', 'FOOD', '美妆', 'BEAUTY', '服饰', 'APPAREL')[category], upper(split_part(attribute_id, '_', 1))) prefix from {join_split}", "select distinct pair_id, coalesce(nullif(case when coverage = 1 then '' else pair_id end, ''), 'p' || product_id || '__' || attribute_id) rebuilt, case category when '食品' then 'FOOD' when '美妆' then 'BEAUTY' when '服饰' then 'APPAREL' else upper(split_part(attribute_id, '_', 1)) end prefix from join_split"),
+    "number_extract": Plan("X12: numbers before a money unit in review texts, least and most", "select review_id, array_min(v) least, array_max(v) most from (select distinct review_id, transform(regexp_extract_all(review_text, '([0-9]+(?:[.][0-9]+)?)(?:元|块)', 1), x -> cast(x as double)) v from {mentions}) where size(v) > 0", "select distinct review_id, list_min(v) least, list_max(v) most from (select review_id, list_transform(regexp_extract_all(review_text, '([0-9]+(?:[.][0-9]+)?)(?:元|块)', 1), lambda x: x::double) v from mentions) where len(v) > 0"),
+    "scaled_weights": Plan("X33: weights of rows without sources and with many scaled", "select sample_id, round(c * case when evidence_count.params + evidence_count.ocr + evidence_count.vlm = 0 then 0.5 else 1.0 end * case when evidence_count.params + evidence_count.ocr + evidence_count.vlm >= 8 then 1.2 else 1.0 end, 6) w from {samples}"),
+    "policy_mix": Plan("X34: names of a list with commas and blanks", "select explode(filter(split('params, ocr vlm,,params_ocr ', '[, ]+'), x -> x <> '')) policy", "select unnest(list_filter(string_split_regex('params, ocr vlm,,params_ocr ', '[, ]+'), lambda x: x <> '')) as policy"),
+    "ocr_attribution": Plan("X36: first OCR text that contains the start of the passage's first evidence, else none", "select sample_id, get(filter(transform(evidence_ocr, (o, i) -> if(contains(o.raw_text, '的'), i, null)), z -> z is not null), 0) first_hit from {samples}", "select sample_id, list_filter(list_transform(evidence_ocr, lambda o, i: case when contains(o.raw_text, '的') then i - 1 end), lambda z: z is not null)[1]::int first_hit from samples"),
+    "index_or_first": Plan("X37: element at a 1-based place, the first where there is none", "select sample_id, coalesce(try_element_at(evidence_ocr, y + 2).raw_text, get(evidence_ocr, 0).raw_text) picked from {samples} where y is not null", "select sample_id, coalesce(evidence_ocr[y + 2].raw_text, evidence_ocr[1].raw_text) picked from samples where y is not null"),
+    "real_keys": Plan("X39: matched keys kept only where the product has them, with the real values", "with k as (select product_id, explode(raw_params) as (k, v) from {products} where raw_params is not null) select distinct k.product_id, k.k, k.v from k left semi join {category_schema} s on k.k = s.canonical_name", "with k as (select product_id, unnest(map_entries(raw_params)) e from products where raw_params is not null) select distinct product_id, e.key k, e.value v from k where exists (select 1 from category_schema s where s.canonical_name = e.key)"),
+    "attribute_scope": Plan("F17: scope by ordered predicates", "select attribute_id, case when contains(canonical_name, '服务') then 'service' when source = 'review' then 'subjective' else 'product' end scope from {category_schema}"),
+    "contrast_eligible": Plan("F15, F14: rows that may serve as contrast", "select sample_id, coalesce(contrastive_mask, false) and y is not null and c >= 0.2 and coalesce(claim.passage, '') <> '' eligible from {samples}"),
+    "first_examples": Plan("T16: the first twenty rows of a report", "select sample_id, pair_id from {samples} where y = 1 order by sample_id limit 20"),
+    "pair_time": Plan("G41: earliest review time of each sample", "select sample_id, min(coalesce(try_to_timestamp(r.review_time, 'yyyy/M/d H:m:s'), try_to_timestamp(r.review_time, 'yyyy-M-d H:m:s'), try_to_timestamp(r.review_time, 'yyyy/M/d'))) first_ts from {samples} lateral view explode(reviews) t as r group by 1", "select sample_id, min(coalesce(try_strptime(r.review_time, '%Y/%m/%d %H:%M:%S'), try_strptime(r.review_time, '%Y-%m-%d %H:%M:%S'), try_strptime(r.review_time, '%Y/%m/%d'))) first_ts from (select sample_id, unnest(reviews) r from samples) group by 1"),
+    "counterfactual_summary": Plan("G39: pairs of variants, both right, and the ids of one class", "with s as (select split_part(pair_id, '__', 1) base, min(y) lo, max(y) hi, count(*) n, avg(c) c from {samples} where y is not null group by 1 having count(*) > 1) select count(*) n_pairs, sum(int(lo < hi)) n_apart, round(avg(c), 6) mean_c from s", "with s as (select split_part(pair_id, '__', 1) base, min(y) lo, max(y) hi, count(*) n, avg(c) c from samples where y is not null group by 1 having count(*) > 1) select count(*) n_pairs, sum((lo < hi)::int)::bigint n_apart, round(avg(c), 6) mean_c from s"),
+    "validated_groups": Plan("C2: proposed groups: known ids only, each in its first group, the rest alone", "with p as (select canonical_name g, attribute_id id, row_number() over (partition by canonical_name order by attribute_id) k from {category_schema}), u as (select p.id, min(p.g) g from p where k <= 3 group by p.id) select s.attribute_id, coalesce(u.g, s.attribute_id) grp from {category_schema} s left join u on s.attribute_id = u.id"),
+    "label_noise": Plan("G10, G9: agreement of label and review polarity by confidence", "select confidence, count(*) n, sum(case when (y = 1) = exists(reviews, r -> r.polarity = 'neg') then 1 else 0 end) agree from {samples} where y is not null and reviews is not null group by confidence", "select confidence, count(*) n, sum(case when (y = 1) = (len(list_filter(reviews, lambda r: r.polarity = 'neg')) > 0) then 1 else 0 end)::bigint agree from samples where y is not null and reviews is not null group by confidence"),
 }

@@ -108,6 +108,17 @@ def room_split_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.balanced_splits(table(spark, sf_dir, "join_split").select("room_id", "y"), "room_id", "y")
 
 
+def room_split_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms, the largest first, to the split that lacks most rows."""
+    return A.balanced_splits(table(spark, sf_dir, "join_split").select("room_id", F.coalesce("y", F.lit(0)).alias("y")), "room_id", "y", deficit=True)
+
+
+def phrase_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schema names of each category merged one after the other; new ids become targets at once."""
+    c = table(spark, sf_dir, "category_schema").select("category", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("name"))
+    return FA.sequential_merge(c, "category")
+
+
 def salvage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON texts damaged in four ways and read tolerantly."""
     salvage = F.pandas_udf(FA.salvaged, "string")
@@ -117,7 +128,7 @@ def salvage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "kind", salvage(damaged).alias("parsed"))
 
 
-QUERIES = {f.__name__: f for f in (passage_build, fold_mention, cue_offsets, chunk_ranges, cue_overlap, best_cue, claim_family_pairs, claim_family_components, claim_family_kept, alias_lookup, greedy_phrase_dedupe, average_linkage_clusters, room_split_greedy, salvage_json)}
+QUERIES = {f.__name__: f for f in (passage_build, fold_mention, cue_offsets, chunk_ranges, cue_overlap, best_cue, claim_family_pairs, claim_family_components, claim_family_kept, alias_lookup, greedy_phrase_dedupe, average_linkage_clusters, room_split_greedy, room_split_deficit, phrase_merges, salvage_json)}
 
 _M = "m as (select distinct product_id, ingested_ts, review_id, attribute_id, polarity, mention_strength, explicit_fact_hit, evidence_span, mention_type from mentions where attribute_id is not null)"
 _ORD = "ingested_ts, review_id, attribute_id, polarity, mention_strength, explicit_fact_hit, coalesce(evidence_span, ''), mention_type"

@@ -186,3 +186,26 @@ def test_pairs_of_containment(spark):
     df = spark.createDataFrame(rows, "id long, product string, text string")
     assert [(r.a, r.b) for r in families.containment_pairs(df, ["product"]).collect()] == [(1, 2)]
     assert list(itertools.chain(*[(r.family, r.size) for r in families.claim_families(df, ["product"]).collect()])) == [1, 2, 1, 2]
+
+
+def test_reports(spark, tmp_path):
+    from lodeweave.sources import reports
+
+    df = spark.createDataFrame([(2, "a|b"), (1, None)], "k int, v string")
+    assert reports.markdown(df, ["k"]).splitlines()[2:] == ["| 1 |  |", "| 2 | a\\|b |"]
+    assert "More than 1 rows." in reports.markdown(df, ["k"], most=1)
+    reports.write_document(str(tmp_path / "d/x.json"), {"中": 1})
+    assert records.read_document(spark, str(tmp_path / "d/x.json"), "`中` int").first()[0] == 1
+    (tmp_path / "i.jpg").write_bytes(b"abc")
+    assert reports.data_urls(spark.read.format("binaryFile").load(str(tmp_path / "i.jpg"))).first().url == "data:image/jpeg;base64,YWJj"
+
+
+def test_sequential_merge(spark):
+    df = spark.createDataFrame([("c", "ab"), ("c", "abc"), ("c", "xyz"), ("c", "ab")], "category string, name string")
+    assert {(r.name, r.target) for r in families.sequential_merge(df, "category").collect()} == {("ab", "ab"), ("abc", "ab"), ("xyz", "xyz")}
+
+
+def test_deficit_splits(spark):
+    rows = [(f"r{g}", 0) for g, n in enumerate([7, 2, 1]) for _ in range(n)]
+    got = {r.g: r.split for r in assign.balanced_splits(spark.createDataFrame(rows, "g string, y int"), "g", "y", deficit=True).collect()}
+    assert got == {"r0": "train", "r1": "test", "r2": "val"}
