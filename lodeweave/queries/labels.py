@@ -9,7 +9,7 @@ from lodeweave.functions import evidence as E
 from lodeweave.functions import text as X
 from lodeweave.functions import times as T
 from lodeweave.operators import labels as L
-from lodeweave.session import table
+from lodeweave.session import spread, table
 
 AUDIT = ["sample_id", "y_new", "c_new", "n_aligned", "n_total", "n_neg", "n_pos", "s_neg", "s_pos", "suspected_fake"]
 
@@ -149,6 +149,13 @@ def hash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("room_id", b.alias("bucket"), F.when(b < 70, "train").when(b < 80, "val").otherwise("test").alias("split"))
 
 
+def bigram_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean pairwise bigram similarity of the review texts of each sample."""
+    rows = spread(table(spark, sf_dir, "samples").select("sample_id", F.filter(F.transform("reviews", lambda r: r["text"]), lambda t: t.isNotNull()).alias("texts")))
+    sets = rows.select("sample_id", F.transform("texts", lambda t: X.bigrams(t)).alias("sets"))
+    return sets.select("sample_id", F.size("sets").alias("n"), F.round(X.mean_pairwise(F.col("sets")), 6).alias("likeness")).filter("n >= 2")
+
+
 def path_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clip paths from their data segment on, whatever stands before it."""
     c = table(spark, sf_dir, "clips").select("clip_no", F.concat(F.lit("D:\\old\\"), F.col("srt_path")).alias("p")).distinct()
@@ -162,7 +169,7 @@ def free_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("review_id", "attribute_id", "evidence_span", "mention_strength", X.free_phrase(F.concat(mark, F.col("evidence_span"))).alias("phrase")).filter("evidence_span rlike '^[一-鿿]'")
 
 
-QUERIES = {f.__name__: f for f in (label_weight_l1, label_weight_l2, label_weight_sweep, pair_stats, value_histograms, crosstab_labels, c_transforms, evidence_codes, parse_times, text_similarities, normalized_keys, term_scores, hash_buckets, path_remap, free_prefix)}
+QUERIES = {f.__name__: f for f in (label_weight_l1, label_weight_l2, label_weight_sweep, pair_stats, value_histograms, crosstab_labels, c_transforms, evidence_codes, parse_times, text_similarities, normalized_keys, term_scores, hash_buckets, path_remap, free_prefix, bigram_diversity)}
 _NT = "coalesce(evidence_count.params, 0) + coalesce(evidence_count.ocr, 0) + coalesce(evidence_count.vlm, 0)"
 _ANY = ", ".join(f"try_strptime(trim(review_time), '{f}')" for f in ("%Y/%m/%d %H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M", "%Y-%m-%d %H:%M", "%Y/%m/%d", "%Y-%m-%d"))
 _SET = "list_distinct(list_filter(string_split(coalesce({0}, ''), ''), lambda x: x <> ''))"
@@ -183,6 +190,7 @@ SQL = {
     "normalized_keys": "with n as (select distinct category, unnest(list_distinct(list_concat([canonical_name], aliases))) name from category_schema), k as (select *, regexp_replace(lower(name), '[\\s\\-_/()（）·．。，,、:：;；''\"“”‘’!！?？]+', '', 'g') norm from n) select category, name, norm, 'GEN_' || coalesce(nullif(substr(upper(norm), 1, 24), ''), 'ATTR') slug from k",
     "term_scores": f"with r as (select sample_id, unnest(reviews) r, generate_subscripts(reviews, 1) - 1 i from samples) select sample_id, i::int i, {_HITS(RISK)} risk, {_HITS(SUPPORT)} support from r",
     "hash_buckets": "with j as (select distinct room_id from join_split where room_id is not null), d as (select room_id, list_reduce(list_prepend(0, list_transform(string_split(md5(room_id), ''), lambda d: instr('0123456789abcdef', d) - 1)), lambda s, d: (s * 16 + d) % 100)::int bucket from j) select room_id, bucket, case when bucket < 70 then 'train' when bucket < 80 then 'val' else 'test' end split from d",
+    "bigram_diversity": f"with u as (select sample_id, unnest(reviews) r, generate_subscripts(reviews, 1) i from samples), g as (select sample_id, i, {_BI.format('r.text')} b from u where r.text is not null) select x.sample_id, (select count(*) from g z where z.sample_id = x.sample_id)::int n, round(avg({_JAC.format('x.b', 'y.b')}), 6) likeness from g x join g y on x.sample_id = y.sample_id and x.i < y.i group by x.sample_id",
     "path_remap": "select distinct clip_no, srt_path path from clips",
     "free_prefix": "select distinct review_id, attribute_id, evidence_span, mention_strength, 'FREE::' || trim(evidence_span) phrase from mentions where mention_type = 'free' and regexp_matches(evidence_span, '^[一-鿿]')",
 }
