@@ -149,7 +149,11 @@ class Trees:
         self.contexts, self.escapes = Table(np.concatenate(contexts)), np.concatenate(escapes)
 
     def lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Code length of each sentence in bits under each language."""
+        """Code length of each sentence in bits under each language; long inputs go through in whole sentences."""
+        if len(data) > 2 * CHUNK and len(starts) > 1:
+            half = int(np.clip(np.searchsorted(starts, len(data) // 2), 1, len(starts) - 1))
+            at = int(starts[half])
+            return np.vstack([self.lengths(data[:at], starts[:half]), self.lengths(data[at:], starts[half:] - at)])
         words, n = _windows(data), len(data)
         begin = np.zeros(n, dtype=np.int64)
         begin[starts] = starts

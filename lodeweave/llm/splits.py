@@ -24,7 +24,8 @@ BLOCKS = 1024
 
 def room_key(room: Column) -> Column:
     """Room name without case, width and spaces; NULL where it names no room."""
-    key = F.lower(F.regexp_replace(looks.plain(room, letters=False), r"\s+", ""))
+    signs = F.translate(room, looks.CHINESE_SIGNS, "".join(chr(ord(c) - 0xFEE0) for c in looks.CHINESE_SIGNS))
+    key = F.lower(F.regexp_replace(looks.plain(signs, letters=False), r"\s+", ""))
     return F.when((key != "") & (key != "unknown"), key)
 
 
