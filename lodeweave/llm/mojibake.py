@@ -65,7 +65,7 @@ def _tables() -> dict:
                     if 0x80 <= a <= 0xBF and 0x80 <= b <= 0xBF:
                         tail.append(c)
             c, d = raw.decode("big5", "ignore"), raw.decode("gbk", "ignore")
-            if len(c) == 1 and len(d) == 1:
+            if len(c) == 1 and len(d) == 1 and c.encode("big5") == raw:
                 big5[c] = d
                 if (d in common or d in punct) and c not in common and ("㐀" <= c <= "鿿" or "ㄅ" <= c <= "ㄩ"):
                     strong.add(c)
@@ -78,7 +78,7 @@ def _tables() -> dict:
         "gbk_anchor": re.compile(f"{x1}(?:{x2}|{x3}|[\ufffd\ue000-\uf8ff])"),
         "usual": frozenset(common),
         "big5": big5,
-        "big5_run": re.compile(cls(set(big5) | {"\ufffd"}) + "+"),
+        "big5_run": re.compile("(?:" + cls(set(big5) | {"\ufffd"}) + "|[0-9A-Za-z])+"),
         "big5_strong": re.compile(cls(strong)),
         "zhuyin": re.compile("[ㄅ-ㄩ]"),
         "lost": re.compile(f"[{lost}]+"),
@@ -152,7 +152,7 @@ def stretches(text: str) -> list[tuple[str, int, str, str]]:
                 group, marks = marks[:k], marks[k:]
                 part = run[group[0] : group[-1] + 1]
                 if len(group) >= 2 or t["zhuyin"].match(part):
-                    out.append(("gbk>big5", m.start() + group[0], part, "".join(t["big5"].get(c, "") for c in part)))
+                    out.append(("gbk>big5", m.start() + group[0], part, "".join(t["big5"].get(c, c if c.isascii() else "") for c in part)))
     return out
 
 
@@ -192,7 +192,7 @@ class Model:
         if chain == LOST:
             return CERTAIN
         log = lambda c, least=0.05: math.log(max(self.counts.get(c, 0.0), least)) - self.total
-        sure = CERTAIN * any(c == "\ufffd" or "\ue000" <= c <= "\uf8ff" or "\x80" <= c <= "\x9f" for c in obs)
+        sure = CERTAIN * ("\ufffd" in dec or any(c == "\ufffd" or "\ue000" <= c <= "\uf8ff" or "\x80" <= c <= "\x9f" for c in obs))
         # a reading with strange letters that no clean text has is weak evidence
         usual = _tables()["usual"]
         return sum(log(c, UNSEEN if c in usual or not c.isalpha() else STRANGE) for c in dec) - sum(map(log, obs)) + sure
