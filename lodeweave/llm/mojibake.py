@@ -141,7 +141,7 @@ def stretches(text: str) -> list[tuple[str, int, str, str]]:
                     if k.start() % 2 == k.end() % 2 == 0:  # whole characters on both sides
                         out.append(("utf8>gbk", m.start() + k.start() // 2, run[k.start() // 2 : k.end() // 2], k.group().decode("utf-8", "ignore")))
     hits = len(t["big5_strong"].findall(text))
-    if hits >= 2 or hits and t["zhuyin"].search(text):
+    if hits:
         for m in t["big5_run"].finditer(text):
             run = m.group()
             marks = [k.start() for k in t["big5_strong"].finditer(run)]
@@ -150,9 +150,16 @@ def stretches(text: str) -> list[tuple[str, int, str, str]]:
                 while k < len(marks) and marks[k] - marks[k - 1] <= 3:
                     k += 1
                 group, marks = marks[:k], marks[k:]
-                part = run[group[0] : group[-1] + 1]
-                if len(group) >= 2 or t["zhuyin"].match(part):
-                    out.append(("gbk>big5", m.start() + group[0], part, "".join(t["big5"].get(c, c if c.isascii() else "") for c in part)))
+                a, z = group[0], group[-1] + 1
+                if len(group) == 1 and not t["zhuyin"].match(run[a]):  # with its neighbours that turn into usual characters
+                    usual = lambda c: c.isascii() or t["big5"].get(c) in t["usual"]
+                    while a > max(0, group[0] - 6) and usual(run[a - 1]):
+                        a -= 1
+                    while z < min(len(run), group[0] + 7) and usual(run[z]):
+                        z += 1
+                part = run[a:z]
+                if z - a >= 3 or len(group) >= 2 or t["zhuyin"].match(part):
+                    out.append(("gbk>big5", m.start() + a, part, "".join(t["big5"].get(c, c if c.isascii() else "") for c in part)))
     return out
 
 
