@@ -80,12 +80,12 @@ class Shard:
 
 
 @lru_cache(maxsize=1)
-def _shard(uri: str, number: int) -> Shard:
+def _shard(uri: str, name: str) -> Shard:
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     files, path = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else "file://" + uri)
-    rows = ds.dataset(f"{path}/shard={number}", filesystem=files, format="parquet").to_table(columns=["field_name", "key", "text"])
+    rows = ds.dataset(f"{path}/shard={name}", filesystem=files, format="parquet").to_table(columns=["field_name", "key", "text"])
     return Shard(list(zip(*(rows.column(c).to_pylist() for c in ("field_name", "key", "text")))))
 
 
@@ -102,20 +102,28 @@ def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """
     spark = train.sparkSession
     known = cut(evaluation.select("field_name", "text").distinct().withColumn("key", text_key("text")))
-    chars = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    count = max(1, -(-chars // SHARD_CHARS))
+    # shards hold texts of one field: one row of sizes per field comes to the driver
+    sizes = {r[0]: max(1, -(-r[1] // SHARD_CHARS)) for r in known.groupBy("field_name").agg(F.sum(F.length("text"))).collect()}
+    counts = F.coalesce(*[F.when(F.col("field_name") == f, F.lit(n)) for f, n in sizes.items()], F.lit(1))
     uri = shared_folder(spark, "evaluation-shards")
-    known.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(count))).repartition(int(min(count, 2000)), "shard").write.partitionBy("shard").parquet(uri)
-    present = sorted(r[0] for r in known.select(F.pmod(F.xxhash64("key"), F.lit(count))).distinct().collect())
+    shard = F.concat_ws("-", "field_name", F.pmod(F.xxhash64("key"), counts).cast("string"))
+    known.withColumn("shard", shard).repartition(min(max(1, sum(sizes.values())), 2000), "shard").write.partitionBy("shard").parquet(uri)
+    present: dict[str, list[str]] = {}
+    for field, name in sorted(tuple(r) for r in known.select("field_name", shard).distinct().collect()):
+        present.setdefault(field, []).append(name)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
-        for number in present if texts else ():
-            shard, rows = _shard(uri, number), []
-            for field, key, text in texts:
-                rows += [(field, key, *x) for x in shard.scan(field, text)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["field_name", "train_key", "eval_key", "coverage", "similarity"])
+        texts: dict[str, list[tuple[str, str]]] = {}
+        for b in batches:
+            for field, key, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                texts.setdefault(field, []).append((key, text))
+        for field, mine in texts.items():
+            for name in present.get(field, ()):
+                shard, rows = _shard(uri, name), []
+                for key, text in mine:
+                    rows += [(field, key, *x) for x in shard.scan(field, text)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["field_name", "train_key", "eval_key", "coverage", "similarity"])
 
     distinct = train.select("field_name", "text").distinct().select("field_name", text_key("text").alias("key"), "text")
     return distinct.mapInArrow(scan, PAIRS)
