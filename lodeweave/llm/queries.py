@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from lodeweave.llm import items as I
 from lodeweave.llm import language, lookalike, mixture, mojibake, near, neardup, overlap, packing, splits, tokens
+from lodeweave.operators.components import components
 from lodeweave.session import cut, table
 
 
@@ -92,12 +93,17 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlap_rows(samples).join(facts, "eval_id").groupBy("split", "room_id", "field_name").agg(F.countDistinct("eval_id").alias("eval_rows"), F.countDistinct("train_id").alias("train_rows"), F.count("*").alias("pairs"))
 
 
-def _review_pairs(samples: DataFrame) -> DataFrame:
-    """review_id_a, review_id_b of near-same reviews, garbled ones left out."""
+def _review_classes(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reviews that are not garbled with the key of their reduced text, and near-same keys (ka, kb)."""
     reviews = _reduced(samples, "review").filter("ref is not null")
     bad = I.garbled_items(samples).filter("posterior >= 0.5 and field_name = 'review'").select(F.col("ref").alias("review_id")).distinct()
     members = cut(reviews.select(F.col("ref").alias("review_id"), F.md5("text").alias("key")).distinct().join(bad, "review_id", "left_anti"))
-    near_same = neardup.near_pairs(neardup.classes(reviews)).select(F.md5("a").alias("ka"), F.md5("b").alias("kb"))
+    return members, neardup.near_pairs(neardup.classes(reviews)).select(F.md5("a").alias("ka"), F.md5("b").alias("kb"))
+
+
+def _review_pairs(samples: DataFrame) -> DataFrame:
+    """review_id_a, review_id_b of near-same reviews, garbled ones left out."""
+    members, near_same = _review_classes(samples)
     of = lambda n: members.select(F.col("key").alias(f"k{n}"), F.col("review_id").alias(f"r{n}"))
     apart = near_same.join(of("a"), "ka").join(of("b"), "kb").select("ra", "rb")
     equal = members.alias("x").join(members.alias("y"), "key").filter("x.review_id < y.review_id").select(F.col("x.review_id").alias("ra"), F.col("y.review_id").alias("rb"))
@@ -109,6 +115,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _review_pairs(table(spark, sf_dir, "samples"))
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per review with a near-same one: its connected group and its number of links; copies are not expanded into pairs."""
+    members, near_same = _review_classes(table(spark, sf_dir, "samples"))
+    sizes = cut(members.groupBy("key").agg(F.countDistinct("review_id").alias("size")))
+    real = sizes.select("key")
+    links = cut(near_same.join(real.withColumnRenamed("key", "ka"), "ka", "left_semi").join(real.withColumnRenamed("key", "kb"), "kb", "left_semi").select("ka", "kb"))
+    both = links.select(F.col("ka").alias("key"), F.col("kb").alias("other")).unionByName(links.select(F.col("kb").alias("key"), F.col("ka").alias("other")))
+    linked = both.join(sizes.select(F.col("key").alias("other"), F.col("size").alias("there")), "other").groupBy("key").agg(F.sum("there").alias("linked"))
+    group = components(links.select(F.col("ka").alias("a"), F.col("kb").alias("b"))).select(F.col("node").alias("key"), "component")
+    rows = members.join(sizes, "key").join(linked, "key", "left").join(group, "key", "left")
+    out = rows.select("review_id", F.coalesce("component", "key").alias("group_key"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return out.filter("n_links > 0")
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(tokens.sized(table(spark, sf_dir, "documents"), "doc_id"))
 
@@ -157,7 +177,7 @@ def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_repaired, p3_found, p3_consistent, p5_found, p5_report, p6_found, p7_packing, p7_report, p8_mixture, p8_shares, p9_found, p9_parts, p9_documents)}
+    return {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_repaired, p3_found, p3_consistent, p5_found, p5_report, p6_found, p6_groups, p7_packing, p7_report, p8_mixture, p8_shares, p9_found, p9_parts, p9_documents)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,3 +18,14 @@ def test_query(spark, data, name):
         assert df.count() == df.distinct().count()
     else:
         assert df.count() > 0
+
+
+def test_groups_and_pairs_agree(spark, data):
+    pairs = Q.p6_found(spark, data).collect()
+    groups = {r.review_id: r for r in Q.p6_groups(spark, data).collect()}
+    links = {}
+    for r in pairs:
+        for x in r:
+            links[x] = links.get(x, 0) + 1
+        assert groups[r.review_id_a].group_key == groups[r.review_id_b].group_key
+    assert {k: r.n_links for k, r in groups.items()} == links
