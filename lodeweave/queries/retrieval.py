@@ -21,10 +21,6 @@ def _asked(rows: DataFrame) -> DataFrame:
     return rows.filter("id % 50 = 0")
 
 
-def _library(rows: DataFrame) -> DataFrame:
-    return rows.filter("id % 10 < 8")
-
-
 def knn_global(spark, sf_dir):
     """Ten nearest of all rows."""
     b = bank(spark, sf_dir)
@@ -32,9 +28,9 @@ def knn_global(spark, sf_dir):
 
 
 def knn_attr_block(spark, sf_dir):
-    """Nearest of the same attribute in the library, of all where there are fewer than three."""
+    """Nearest of all rows of the same attribute, of all attributes where there are fewer than three."""
     b = bank(spark, sf_dir)
-    return R.nearest_with_fallback(_asked(b), _library(b), "attr").select("query_id", "rank", "id", "sim")
+    return R.nearest_with_fallback(_asked(b), b, "attr").select("query_id", "rank", "id", "sim")
 
 
 def hard_negatives(spark, sf_dir):
@@ -46,13 +42,13 @@ def hard_negatives(spark, sf_dir):
 def rkc_vote(spark, sf_dir):
     """Weighted vote of the ten nearest."""
     b = bank(spark, sf_dir)
-    return R.vote(R.nearest(_asked(b), _library(b), 10), b).select("query_id", F.round("vote", 5).alias("vote"), "n")
+    return R.vote(R.nearest(_asked(b), b, 10), b).select("query_id", F.round("vote", 5).alias("vote"), "n")
 
 
 def vote_k15(spark, sf_dir):
     """Fifteen nearest, weights of at least 0.05."""
     b = bank(spark, sf_dir)
-    return R.vote(R.nearest(_asked(b), _library(b), 15), b, floor=0.05).select("query_id", F.round("vote", 5).alias("vote"), "n")
+    return R.vote(R.nearest(_asked(b), b, 15), b, floor=0.05).select("query_id", F.round("vote", 5).alias("vote"), "n")
 
 
 def label_match_map10(spark, sf_dir):
