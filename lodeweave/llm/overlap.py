@@ -35,6 +35,11 @@ def segments(text: str) -> list[tuple[int, int]]:
     return [(len(text) * i // k, len(text) * (i + 1) // k) for i in range(k)]
 
 
+def different_runs(text: str) -> int:
+    """Number of different runs; a pair's similarity is at most the smaller number over the larger."""
+    return len({text[i : i + 3] for i in range(len(text) - 2)})
+
+
 def coverage(intervals: list[tuple[int, int]], length: int) -> float:
     """Part of a text that the union of the intervals covers."""
     total = last = 0
@@ -51,6 +56,7 @@ class Shard:
         import ahocorasick
 
         self.rows = rows
+        self.sizes = [different_runs(text) for _, _, text in rows]
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (field, _, text) in enumerate(rows):
             for j, (a, z) in enumerate(segments(text)):
@@ -68,11 +74,12 @@ class Shard:
         hit = {n for _, n in self.automaton.iter(text)} if self.rows else ()
         if not hit:
             return
+        size = different_runs(text)
         met = np.concatenate([self.owners[n] for n in hit])
         ids, counts = np.unique(met[:, 0], return_counts=True)
         for i in ids[counts >= 2]:
             other, key, there = self.rows[i]
-            if other != field or not near.THRESHOLD <= len(text) / len(there) <= 1 / near.THRESHOLD and abs(len(text) - len(there)) > 4 + 0.7 * min(len(text), len(there)):
+            if other != field or min(size, self.sizes[i]) < near.THRESHOLD * max(size, self.sizes[i]):
                 continue
             if (s := near.jaccard(text, there)) >= near.THRESHOLD:
                 bounds = segments(there)
