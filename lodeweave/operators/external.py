@@ -89,3 +89,11 @@ def decoded_alignment(response, n):
     """0/1 vector of n comments from the decisions; bad ids are ignored, later ones win, a failure gives zeros."""
     parsed = F.coalesce(F.from_json(response, "array<struct<cid:int,aligned:int>>"), F.array().cast("array<struct<cid:int,aligned:int>>"))
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.try_element_at(F.filter(parsed, lambda d: d["cid"] == i), F.lit(-1))["aligned"], F.lit(0)))
+
+
+def aligned_comments(response, comments):
+    """Cid and comment of each decision that aligns; cids count from 1, those out of range or not whole numbers are dropped."""
+    parsed = F.coalesce(F.from_json(response, "array<struct<cid:string,aligned:int>>"), F.array().cast("array<struct<cid:string,aligned:int>>"))
+    whole = F.transform(parsed, lambda d: F.struct(d["cid"].try_cast("int").alias("cid"), d["aligned"].alias("aligned")))
+    kept = F.filter(whole, lambda d: (d["cid"] >= 1) & (d["cid"] <= F.size(comments)) & (d["aligned"] != 0))
+    return F.transform(kept, lambda d: F.struct(d["cid"].alias("cid"), F.get(comments, d["cid"] - 1).alias("comment")))

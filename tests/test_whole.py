@@ -38,3 +38,20 @@ def test_votes_search_all_rows(spark, data, name, k, floor):
     for q, xs in near.items():
         w = {i: max((i % 17 + 1) / 20, floor) * max(s, 0) for i, s in xs}
         assert got[q] == pytest.approx(sum(w[i] * y[i] for i in w) / (sum(w.values()) + 1e-8), abs=2e-5)
+
+
+def test_all_reviews_are_judged(spark, data):
+    got = {(r.sample_id, r.cid, r.review_id) for r in entry.queries()["positional_judgments"](spark, data).collect()}
+    rows = table(spark, data, "samples").select("sample_id", "claim.passage", "reviews").collect()
+    want = {(s, i, r.review_id) for s, p, rs in rows for i, r in enumerate(rs or [], 1) if len(set(p or "") & set(r.text or "")) >= 3}
+    assert got == want and any(cid > 4 for _, cid, _ in got)
+
+
+def test_odd_judgments_are_dropped(spark):
+    from pyspark.sql import functions as F
+
+    from lodeweave.operators.external import aligned_comments
+
+    said = '[{"cid":2,"aligned":1},{"cid":1,"aligned":0},{"cid":0,"aligned":1},{"cid":7,"aligned":1},{"cid":"x","aligned":1},{"cid":"6","aligned":1},{"aligned":1}]'
+    df = spark.createDataFrame([(said, list("abcdef")), (None, ["a"])], "r string, c array<string>")
+    assert [[tuple(x) for x in r.x] for r in df.select(aligned_comments(F.col("r"), F.col("c")).alias("x")).collect()] == [[(2, "b"), (6, "f")], []]
