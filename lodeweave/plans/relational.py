@@ -103,7 +103,7 @@ PLANS = {
     "ordered_sources": Plan("P6, P11, P12: evidence texts in source order, empty ones dropped", "select sample_id, i, x.src, x.txt from {samples} lateral view posexplode(filter(concat(transform(evidence_params, p -> named_struct('src', 'param', 'txt', p.raw_text)), transform(evidence_ocr, p -> named_struct('src', 'ocr', 'txt', p.raw_text)), transform(evidence_vlm, p -> named_struct('src', 'vlm', 'txt', p.raw_quote))), e -> e.txt <> '')) t as i, x", "with u as (select sample_id, list_filter(list_concat(list_transform(evidence_params, lambda p: {'src': 'param', 'txt': p.raw_text}), list_transform(evidence_ocr, lambda p: {'src': 'ocr', 'txt': p.raw_text}), list_transform(evidence_vlm, lambda p: {'src': 'vlm', 'txt': p.raw_quote})), lambda e: e.txt <> '') l from samples) select sample_id, (i - 1)::int i, l[i].src src, l[i].txt txt from u, unnest(range(1, len(l) + 1)) t(i)"),
     "claim_tokens": Plan("P14, X35: claim characters up to 384, a mark where there is no claim", "select sample_id, case when coalesce(claim.passage, '') = '' then 1 else least(length(claim.passage), 384) end n_tokens, coalesce(nullif(substr(claim.passage, 1, 384), ''), '[NONE]') flow from {samples}"),
     "soft_labels": Plan("X32, X29: labels shrunk to the base rate by weight, clamped", "with b as (select avg(y) p from {samples} where y is not null) select sample_id, round(least(1.0, greatest(0.0, c * y + (1 - c) * p)), 6) target, round(1 / (1 + exp(-(4 * c - 2))), 6) squashed from {samples}, b where y is not null"),
-    "free_resolution": Plan("J4: free spans resolved to the schema attribute whose name they contain, the rest diverted", "with f as (select distinct review_id, category, evidence_span from {mentions} where mention_type = 'free' and evidence_span is not null), r as (select f.review_id, f.evidence_span, min(s.attribute_id) attribute_id from f left join {category_schema} s on f.category = s.category and contains(f.evidence_span, substr(s.canonical_name, 1, 2)) group by 1, 2) select review_id, evidence_span, coalesce(attribute_id, 'UNRESOLVED') attribute_id from r"),
+    "free_resolution": Plan("J4: free spans joined by category and phrase with the schema attribute of the longest name or alias that they contain, the rest diverted", "with f as (select distinct review_id, category, evidence_span from {mentions} where mention_type = 'free' and evidence_span is not null), n as (select distinct category, attribute_id, name from (select category, attribute_id, explode(concat(array(canonical_name), coalesce(aliases, array()))) name from {category_schema}) where name <> ''), h as (select p.category, p.evidence_span, n.attribute_id, row_number() over (partition by p.category, p.evidence_span order by length(n.name) desc, n.attribute_id) rn from (select distinct category, evidence_span from f) p join n on p.category = n.category and contains(p.evidence_span, n.name)), r as (select f.review_id, f.evidence_span, min(h.attribute_id) attribute_id from f left join h on f.category = h.category and f.evidence_span = h.evidence_span and h.rn = 1 group by 1, 2) select review_id, evidence_span, coalesce(attribute_id, 'UNRESOLVED') attribute_id from r", "with f as (select distinct review_id, category, evidence_span from {mentions} where mention_type = 'free' and evidence_span is not null), r as (select f.review_id, f.evidence_span, min(s.attribute_id) attribute_id from f left join {category_schema} s on f.category = s.category and contains(f.evidence_span, substr(s.canonical_name, 1, 2)) group by 1, 2) select review_id, evidence_span, coalesce(attribute_id, 'UNRESOLVED') attribute_id from r"),
     "mention_repair": Plan("J10: reviews of a sample with the strength of the best mention of the same product and attribute, order kept", f"with {_M}, b as (select product_id, attribute_id, mention_strength, row_number() over (partition by product_id, attribute_id order by explicit_fact_hit desc, {_KEY}, review_id) rn from m where attribute_id is not null), x as (select sample_id, pair_id, attribute_id, i, r.mention_strength st from {{samples}} lateral view posexplode(reviews) t as i, r), y as (select x.sample_id, x.i, coalesce(b.mention_strength, x.st) st from x left join b on concat('p', b.product_id, '__', b.attribute_id) = x.pair_id and b.rn = 1) select sample_id, array_join(transform(array_sort(collect_list(struct(i, st))), e -> e.st), ',') strengths from y group by sample_id", f"with {_M}, b as (select product_id, attribute_id, mention_strength, row_number() over (partition by product_id, attribute_id order by explicit_fact_hit desc, {_KEY}, review_id) rn from m where attribute_id is not null), x as (select sample_id, pair_id, i, reviews[i].mention_strength st from samples, unnest(range(1, len(reviews) + 1)) t(i)), y as (select x.sample_id, x.i, coalesce(b.mention_strength, x.st) st from x left join b on 'p' || b.product_id || '__' || b.attribute_id = x.pair_id and b.rn = 1) select sample_id, string_agg(st, ',' order by i) strengths from y group by sample_id".replace("{mentions}", "mentions")),
     "labels_with_metadata": Plan("J11: samples joined with pair facts, left joined with the schema's type", f"with {_PAIRS} select s.sample_id, p.category, p.coverage, coalesce(c.value_type, 'text') value_type from {{samples}} s join (select * from pairs where rn = 1) p on s.pair_id = p.pair_id left join {{category_schema}} c on s.attribute_id = c.attribute_id"),
     "safe_merge": Plan("P4: only whitelisted fields filled from the auxiliary row, the ignored split recorded", f"with {_PAIRS} select s.sample_id, coalesce(s.confidence, p.confidence) confidence, coalesce(s.y, p.y) y, s.split, p.rn is not null as had_aux from {{samples}} s left join (select * from pairs where rn = 1) p on s.pair_id = p.pair_id"),

@@ -55,3 +55,23 @@ def test_odd_judgments_are_dropped(spark):
     said = '[{"cid":2,"aligned":1},{"cid":1,"aligned":0},{"cid":0,"aligned":1},{"cid":7,"aligned":1},{"cid":"x","aligned":1},{"cid":"6","aligned":1},{"aligned":1}]'
     df = spark.createDataFrame([(said, list("abcdef")), (None, ["a"])], "r string, c array<string>")
     assert [[tuple(x) for x in r.x] for r in df.select(aligned_comments(F.col("r"), F.col("c")).alias("x")).collect()] == [[(2, "b"), (6, "f")], []]
+
+
+def test_free_spans_resolve_by_whole_names(spark, data):
+    names = {}
+    for r in table(spark, data, "category_schema").collect():
+        names.setdefault(r.category, set()).update((n, r.attribute_id) for n in [r.canonical_name, *(r.aliases or [])] if n)
+    want = {}
+    for r in table(spark, data, "mentions").filter("mention_type = 'free' and evidence_span is not null").collect():
+        hits = sorted((-len(n), a) for n, a in names.get(r.category, ()) if n in r.evidence_span)
+        want.setdefault((r.review_id, r.evidence_span), set()).add(hits[0][1] if hits else "UNRESOLVED")
+    got = {(r.review_id, r.evidence_span): r.attribute_id for r in entry.queries()["free_resolution"](spark, data).collect()}
+    assert got.keys() == want.keys() and all(got[k] in v for k, v in want.items())
+
+
+def test_cut_and_alias_names(spark, tmp_path):
+    spark.createDataFrame([("A", "里料材质", ["内衬"], "鞋包"), ("B", "材质", [], "鞋包")], "attribute_id string, canonical_name string, aliases array<string>, category string").write.parquet(f"{tmp_path}/category_schema.parquet")
+    spans = ["里料扎人", "里料材质差", "内衬破了", "材质好"]
+    spark.createDataFrame([(s, "鞋包", s, "free") for s in spans], "review_id string, category string, evidence_span string, mention_type string").write.parquet(f"{tmp_path}/mentions.parquet")
+    got = {r.evidence_span: r.attribute_id for r in entry.queries()["free_resolution"](spark, str(tmp_path)).collect()}
+    assert got == dict(zip(spans, ["UNRESOLVED", "A", "A", "B"]))
