@@ -69,28 +69,46 @@ def _train_eval(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _reduced(rows.filter("split = 'train'"), "passage", "ocr"), _reduced(rows.filter("split <> 'train'"), "passage", "ocr")
 
 
-def _overlap_rows(samples: DataFrame) -> DataFrame:
-    """train_id, eval_id, field_name of rows with a near-same text, garbled passages left out."""
+def _overlap_pairs(samples: DataFrame) -> DataFrame:
+    """train_id, eval_id, field_name, and the near-same texts' eval_chars, similarity and spans; garbled passages left out."""
     train, evaluation = _train_eval(samples)
-    pairs = cut(overlap.overlaps(train, evaluation).select("field_name", "train_key", "eval_key"))
+    pairs = cut(overlap.overlaps(train, evaluation))
     bad = I.garbled_items(samples).filter("posterior >= 0.5 and field_name = 'passage'").select("sample_id", "field_name")
     holders = lambda side, key, name: side.select("field_name", overlap.text_key("text").alias(key), F.col("sample_id")).join(bad, ["sample_id", "field_name"], "left_anti").withColumnRenamed("sample_id", name).distinct()
-    out = pairs.join(holders(train, "train_key", "train_id"), ["field_name", "train_key"]).join(holders(evaluation, "eval_key", "eval_id"), ["field_name", "eval_key"])
-    return out.select("train_id", "eval_id", "field_name").distinct()
+    return pairs.join(holders(train, "train_key", "train_id"), ["field_name", "train_key"]).join(holders(evaluation, "eval_key", "eval_id"), ["field_name", "eval_key"])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a training row and an evaluation row with near-same passages or OCR texts."""
-    rows = _overlap_rows(table(spark, sf_dir, "samples"))
+    rows = _overlap_pairs(table(spark, sf_dir, "samples"))
     return rows.select(F.least("train_id", "eval_id").alias("sample_id_a"), F.greatest("train_id", "eval_id").alias("sample_id_b"), "field_name").distinct()
 
 
+def _covered(pairs: DataFrame) -> DataFrame:
+    """eval_id, field_name, train_rows, similarity (the highest), coverage: intervals of all training
+    rows merged; of several OCR texts of a row the one covered most counts."""
+    merged = overlap.merged(pairs).groupBy("eval_id", "field_name").agg(F.max("coverage").alias("coverage"))
+    met = pairs.groupBy("eval_id", "field_name").agg(F.countDistinct("train_id").alias("train_rows"), F.max("similarity").alias("similarity"))
+    return met.join(merged, ["eval_id", "field_name"])
+
+
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of each evaluation row by the training rows, with their number and the highest similarity."""
+    return _covered(cut(_overlap_pairs(table(spark, sf_dir, "samples")))).select("eval_id", "field_name", "train_rows", F.round("similarity", 6).alias("similarity"), F.round("coverage", 6).alias("coverage"))
+
+
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps per evaluation split and room of the evaluation row: rows, training rows met, pairs."""
+    """Overlaps per evaluation split and room of the evaluation row: rows, training rows met, pairs, mean coverage."""
     samples = table(spark, sf_dir, "samples")
     rooms = table(spark, sf_dir, "join_split").filter("pair_id is not null").groupBy("pair_id").agg(F.min("room_id").alias("room_id"))
-    facts = samples.select(F.col("sample_id").alias("eval_id"), "split", "pair_id").join(rooms, "pair_id", "left")
-    return _overlap_rows(samples).join(facts, "eval_id").groupBy("split", "room_id", "field_name").agg(F.countDistinct("eval_id").alias("eval_rows"), F.countDistinct("train_id").alias("train_rows"), F.count("*").alias("pairs"))
+    facts = cut(samples.select(F.col("sample_id").alias("eval_id"), "split", "pair_id").join(rooms, "pair_id", "left").select("eval_id", "split", F.col("room_id")))
+    pairs = cut(_overlap_pairs(samples))
+    place = ["split", "room_id", "field_name"]
+    rows = pairs.select("train_id", "eval_id", "field_name").distinct().join(facts, "eval_id")
+    met = rows.groupBy(*place).agg(F.countDistinct("eval_id").alias("eval_rows"), F.countDistinct("train_id").alias("train_rows"), F.count("*").alias("pairs"))
+    share = _covered(pairs).join(facts, "eval_id").groupBy(*place).agg(F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in place]
+    return met.alias("m").join(share.alias("s"), same).select("m.*", "mean_coverage")
 
 
 def _review_classes(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +195,7 @@ def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_repaired, p3_found, p3_consistent, p5_found, p5_report, p6_found, p6_groups, p7_packing, p7_report, p8_mixture, p8_shares, p9_found, p9_parts, p9_documents)}
+    return {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_repaired, p3_found, p3_consistent, p5_found, p5_coverage, p5_report, p6_found, p6_groups, p7_packing, p7_report, p8_mixture, p8_shares, p9_found, p9_parts, p9_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
