@@ -113,8 +113,8 @@ def word_script(word: str, totals: dict[str, int] | None = None) -> str:
             every[s] += 1
             own[s] += unicodedata.normalize("NFKC", c)[:1] not in _shared()
     first, second = [*(n for _, n in every.most_common(2)), 0, 0][:2]
-    clear = {s for s in every if every[s] == first >= 2 * second}
-    return max(every, key=lambda s: (own[s], s in clear, (totals or {}).get(s, 0), s == "latin"), default="")
+    twice = {s for s in every if every[s] == first >= 2 * second}
+    return max(every, key=lambda s: (own[s], s in twice, (totals or {}).get(s, 0), s == "latin"), default="")
 
 
 @cache

@@ -6,9 +6,10 @@ places while it still shares the part THRESHOLD of its runs, if a place of damag
 LEAST characters or more. A training text that holds one whole segment is compared with the text.
 
 Segments are sharded by their anchor, the run of GRAM characters of the least hash in the segment.
-A training text goes to the shards of those anchors that it holds itself (a semi-join), with the
-surroundings of these places only, so that the work for a text is bounded by its anchors however many
-shards there are. Cells of a shard with bounded numbers of rows split a shard whose anchors are hot
+A training text goes to the shards of those anchors that it holds itself, with the surroundings of
+these places only, so that the work for a text is bounded by its anchors however many shards there
+are. Anchors that no evaluation text has are left out by a bit map of fixed size; where it fills up,
+texts meet more shards, but none is lost. Cells of a shard with bounded numbers of rows split a shard whose anchors are hot
 on either side. Cells come to Python sorted, evaluation rows first: the automaton of the cell's
 segments is built once and scans the training texts as they stream by.
 
@@ -33,8 +34,12 @@ from lodeweave.session import cut
 
 #: Characters of segments in a shard; its automaton takes about 60 bytes for each.
 SHARD_CHARS = 1_000_000
+#: Most shards of a field, so that the table of cells has a bound and may be broadcast; beyond it shards have more cells.
+MOST_SHARDS = 1 << 16
 #: Training and evaluation texts of a cell; a shard with more has several cells.
-TRAIN_ROWS, EVAL_ROWS = 40_000, 200_000
+TRAIN_ROWS, EVAL_ROWS = 20_000, 200_000
+#: Bits of the map of anchors: 8 MB, whatever the size of the tables.
+MAP_BITS = 1 << 26
 #: Characters of an anchor, of the shortest and of the longest segment; in any SHORT - GRAM + 1 = 3 runs in a row one is the least.
 GRAM, SHORT, LONG = 5, 7, 12
 #: Texts scanned together, candidate pairs weighed together, 64-bit words of a bit set of runs.
@@ -195,10 +200,47 @@ def _eval_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(segment_anchors(texts), pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))], names=["id", "field_name", "text", "n_runs", "bits", "anchors", "words"])
 
 
-def _train_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _parts(batches):
-        row, place, anchor = text_anchors(part.column(2).to_pylist())
-        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(anchor), pa.array(place, pa.int32())], names=["id", "field_name", "anchor", "place"])
+def _visits(shared, sizes: dict[str, int], texts: bool):
+    """Shards that training texts meet: field, shard and, if asked, id, n_runs, bits and the text around the anchors."""
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for part in _parts(batches):
+            whole, fields = part.column(2).to_pylist(), part.column(1).to_pylist()
+            row, place, anchor = text_anchors(whole)
+            bit = anchor.view(np.uint64) % np.uint64(MAP_BITS)
+            held = (known[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            row, place = row[held], place[held]
+            shard = anchor[held] % np.array([sizes.get(f, 1) for f in fields], dtype=np.int64)[row]
+            order = np.lexsort((place, shard, row))
+            row, place, shard = row[order], place[order], shard[order]
+            first = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(shard) != 0))) if len(row) else np.zeros(0, dtype=np.int64)
+            take = pa.array(row[first])
+            columns, names = [part.column(1).take(take), pa.array(shard[first], pa.int64())], ["field_name", "shard"]
+            if texts:
+                near_by = [_around(whole[r], p.tolist()) for r, p in zip(row[first].tolist(), np.split(place, first[1:]))]
+                columns += [part.column(0).take(take), part.column(3).take(take), part.column(4).take(take), pa.array(near_by, pa.string())]
+                names += ["id", "n_runs", "bits", "text"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return visits
+
+
+def _around(text: str, places: list[int]) -> str:
+    """The surroundings of the places, where they are shorter than the text."""
+    side = LONG - GRAM
+    if len(places) * (LONG + side + 1) >= len(text):
+        return text
+    return " ".join(text[max(0, p - side) : p + LONG] for p in places)
+
+
+def _anchor_map(known: DataFrame) -> np.ndarray:
+    """Bit map of the anchors of all evaluation texts; MAP_BITS / 64 words at most come to the driver."""
+    bit = F.pmod("anchor", F.lit(MAP_BITS))
+    words = known.select(F.explode("anchors").alias("anchor")).groupBy(F.shiftright(bit, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(anchor, {MAP_BITS}) % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, dtype=np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,23 +301,18 @@ def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     known = cut(described(evaluation).mapInArrow(_eval_anchors, f"{_DESCRIBED}, anchors array<long>, words array<string>"))
     texts = cut(described(train))
     # one row of sizes per field comes to the driver
-    sizes = {r[0]: max(1, -(-r[1] // SHARD_CHARS)) for r in known.groupBy("field_name").agg(F.sum(F.length("text"))).collect()}
+    sizes = {r[0]: min(MOST_SHARDS, max(1, -(-r[1] // SHARD_CHARS))) for r in known.groupBy("field_name").agg(F.sum(F.length("text"))).collect()}
     shards = F.coalesce(*[F.when(F.col("field_name") == f, F.lit(n)) for f, n in sizes.items()], F.lit(1))
-    anchors = known.select("field_name", F.explode("anchors").alias("anchor")).distinct()
-    meets = texts.select("id", "field_name", "text").mapInArrow(_train_anchors, "id long, field_name string, anchor long, place int").join(anchors, ["field_name", "anchor"], "left_semi")
-    visits = cut(meets.groupBy("field_name", F.pmod("anchor", shards).alias("shard"), "id").agg(F.collect_list("place").alias("places")))
+    shared = train.sparkSession.sparkContext.broadcast(_anchor_map(known))
     of = known.select("id", "field_name", "n_runs", "bits", "words", F.transform("anchors", lambda a: F.pmod(a, shards)).alias("of"))
     parts = of.select("*", F.explode(F.array_distinct("of")).alias("shard")).withColumn("words", F.expr("filter(words, (w, i) -> of[i] = shard)")).drop("of")
     # cells of each shard: a grid over its training and evaluation texts
-    grid = visits.groupBy("field_name", "shard").agg(F.ceil(F.count("*") / TRAIN_ROWS).alias("slices"))
-    grid = cut(grid.join(parts.groupBy("field_name", "shard").agg(F.ceil(F.count("*") / EVAL_ROWS).alias("blocks")), ["field_name", "shard"]))
+    grid = texts.mapInArrow(_visits(shared, sizes, False), "field_name string, shard long").groupBy("field_name", "shard").agg(F.ceil(F.count("*") / TRAIN_ROWS).alias("slices"))
+    grid = F.broadcast(cut(grid.join(parts.groupBy("field_name", "shard").agg(F.ceil(F.count("*") / EVAL_ROWS).alias("blocks")), ["field_name", "shard"])))
     cell = [F.concat_ws("-", "field_name", "shard", "slice", "block").alias("cell"), "kind", "id", "n_runs", "bits", "words", "text"]
     there = parts.join(grid, ["field_name", "shard"]).withColumn("block", F.pmod("id", "blocks")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     there = there.withColumns({"kind": F.lit(0), "text": F.lit(None).cast("string")})
-    # only the surroundings of the anchors are sent where they are shorter than the text
-    side = LONG - GRAM
-    around = F.array_join(F.transform("places", lambda p: F.substring(F.col("text"), F.greatest(p - side, F.lit(0)) + 1, F.lit(LONG + side))), " ")
-    here = visits.join(grid, ["field_name", "shard"]).join(texts.drop("field_name"), "id").withColumn("text", F.when(F.size("places") * (LONG + side + 1) < F.length("text"), around).otherwise(F.col("text")))
+    here = texts.mapInArrow(_visits(shared, sizes, True), "field_name string, shard long, id long, n_runs int, bits binary, text string").join(grid, ["field_name", "shard"])
     here = here.withColumn("slice", F.pmod("id", "slices")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"kind": F.lit(1), "words": F.lit(None).cast("array<string>")})
     met = there.select(*cell).unionByName(here.select(*cell)).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_scan, "train_id long, eval_id long").distinct()
     full = met.join(texts.select(F.col("id").alias("train_id"), "field_name", F.col("text").alias("here")), "train_id").join(known.select(F.col("id").alias("eval_id"), "field_name", F.col("text").alias("there")), ["eval_id", "field_name"])
