@@ -19,6 +19,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -49,18 +50,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> None:
+    """Set the checkpoint folder that the cluster names; a temporary folder of this machine only in local mode."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeweave-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the cluster names.
 
-    Only where neither ``spark.checkpoint.dir`` nor a folder set in code exists (tests) is a
-    temporary folder of this machine used.
+    Only in local mode (tests), where neither ``spark.checkpoint.dir`` nor a folder set in code
+    exists, is a temporary folder of this machine used; a cluster without the setting is an error.
+    Files of checkpoints that are no longer in use go with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, which ``local_session`` sets.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodeweave-"))
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a compressed table in the shared folder; better than ``cut`` for wide rows of which later steps read some columns."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the input has fewer splits than that (a small file); else unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -74,9 +92,8 @@ def parallelism(spark: SparkSession) -> int:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """URI of a new folder that all executors see, below the checkpoint folder; it goes when the session's JVM ends."""
+    _folder(spark)
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodeweave-"))
     path = context._jvm.org.apache.hadoop.fs.Path(f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return path.toString()

@@ -75,3 +75,34 @@ def test_cut_and_alias_names(spark, tmp_path):
     spark.createDataFrame([(s, "鞋包", s, "free") for s in spans], "review_id string, category string, evidence_span string, mention_type string").write.parquet(f"{tmp_path}/mentions.parquet")
     got = {r.evidence_span: r.attribute_id for r in entry.queries()["free_resolution"](spark, str(tmp_path)).collect()}
     assert got == dict(zip(spans, ["UNRESOLVED", "A", "A", "B"]))
+
+
+def test_a_cluster_must_name_a_checkpoint_folder():
+    """No temporary folder of one machine stands in for a shared one, unless the master is local."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lodeweave import session
+
+    def context(master, named):
+        set_to = []
+        c = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=lambda: {"spark.checkpoint.dir": named}, setCheckpointDir=set_to.append)
+        return SimpleNamespace(sparkContext=c), set_to
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session._folder(context(master, None)[0])
+    fake, set_to = context("yarn", "hdfs://shared/checkpoints")
+    session._folder(fake)
+    assert set_to == ["hdfs://shared/checkpoints"]
+    fake, set_to = context("local[4]", None)
+    session._folder(fake)
+    assert len(set_to) == 1
+
+
+def test_stored_table_reads_back(spark):
+    from lodeweave.session import stored
+
+    df = spark.createDataFrame([(1, [1, 2], None), (2, [], "x")], "a int, b array<long>, c string")
+    assert sorted(stored(df, "t").collect()) == sorted(df.collect()) and stored(df.filter("a > 5"), "t").count() == 0
