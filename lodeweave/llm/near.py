@@ -91,14 +91,58 @@ def sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return halves[0], halves[1]
 
 
+#: Bits of a map of numbers (8 MB, whatever the size of the tables).
+MAP_BITS = 1 << 26
+
+
+def bit_map(numbers: DataFrame, column: str) -> np.ndarray:
+    """Bit map of a column of longs modulo MAP_BITS; MAP_BITS / 64 words at most come to the driver."""
+    bit = F.pmod(column, F.lit(MAP_BITS))
+    words = numbers.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod({column}, {MAP_BITS}) % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, dtype=np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def held(known: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which numbers the map may hold; the others it surely doesn't."""
+    bit = numbers.view(np.uint64) % np.uint64(MAP_BITS)
+    return (known[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def shares(left: list[str], right: list[str]) -> np.ndarray:
+    """Share of the different runs of both texts that occur in either, for each pair (exact)."""
+    number = {t: i for i, t in enumerate(dict.fromkeys([*left, *right]))}
+    runs, starts = run_arrays(list(number))
+    row = np.repeat(np.arange(len(number)), np.diff(np.append(starts, len(runs))))
+    order = np.lexsort((runs, row))
+    row, runs = row[order], runs[order]
+    new = np.append(True, (np.diff(row) != 0) | (np.diff(runs) != 0))
+    row, runs = row[new], runs[new]
+    sizes = np.bincount(row, minlength=len(number))
+    ends = np.cumsum(sizes)
+    a, b = (np.fromiter((number[t] for t in side), dtype=np.int64, count=len(side)) for side in (left, right))
+    out = np.empty(len(a))
+    for i in range(0, len(a), 2000):
+        x, y = a[i : i + 2000], b[i : i + 2000]
+        both = np.concatenate([x, y])
+        n = sizes[both]
+        at = np.repeat(ends[both] - np.cumsum(n), n) + np.arange(n.sum())
+        pair = np.repeat(np.concatenate([np.arange(len(x))] * 2), n)
+        order = np.lexsort((runs[at], pair))
+        p, r = pair[order], runs[at][order]
+        common = np.bincount(p[1:][(p[1:] == p[:-1]) & (r[1:] == r[:-1])], minlength=len(x))
+        out[i : i + 2000] = common / (sizes[x] + sizes[y] - common)
+    return out
+
+
 def similar(pairs: DataFrame, left: str, right: str, least: float = THRESHOLD) -> DataFrame:
     """Rows of pairs whose two reduced texts share at least that part of their runs (exact)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (left, right))
-            keep = np.fromiter((jaccard(x, y) >= least for x, y in zip(a, b)), dtype=bool, count=len(a))
-            yield batch.filter(pa.array(keep))
+            if batch.num_rows:
+                yield batch.filter(pa.array(shares(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (left, right))) >= least))
 
     return pairs.mapInArrow(check, pairs.schema)
 

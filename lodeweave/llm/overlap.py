@@ -38,8 +38,6 @@ SHARD_CHARS = 1_000_000
 MOST_SHARDS = 1 << 16
 #: Training and evaluation texts of a cell; a shard with more has several cells.
 TRAIN_ROWS, EVAL_ROWS = 20_000, 200_000
-#: Bits of the map of anchors: 8 MB, whatever the size of the tables.
-MAP_BITS = 1 << 26
 #: Characters of an anchor, of the shortest and of the longest segment; in any SHORT - GRAM + 1 = 3 runs in a row one is the least.
 GRAM, SHORT, LONG = 5, 7, 12
 #: Texts scanned together, candidate pairs weighed together, 64-bit words of a bit set of runs.
@@ -208,8 +206,7 @@ def _visits(shared, sizes: dict[str, int], texts: bool):
         for part in _parts(batches):
             whole, fields = part.column(2).to_pylist(), part.column(1).to_pylist()
             row, place, anchor = text_anchors(whole)
-            bit = anchor.view(np.uint64) % np.uint64(MAP_BITS)
-            held = (known[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            held = near.held(known, anchor)
             row, place = row[held], place[held]
             shard = anchor[held] % np.array([sizes.get(f, 1) for f in fields], dtype=np.int64)[row]
             order = np.lexsort((place, shard, row))
@@ -234,15 +231,6 @@ def _around(text: str, places: list[int]) -> str:
     return " ".join(text[max(0, p - side) : p + LONG] for p in places)
 
 
-def _anchor_map(known: DataFrame) -> np.ndarray:
-    """Bit map of the anchors of all evaluation texts; MAP_BITS / 64 words at most come to the driver."""
-    bit = F.pmod("anchor", F.lit(MAP_BITS))
-    words = known.select(F.explode("anchors").alias("anchor")).groupBy(F.shiftright(bit, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(anchor, {MAP_BITS}) % 64 as int)))").alias("bits")).toArrow()
-    out = np.zeros(MAP_BITS // 64, dtype=np.uint64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    return out
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells in a row: cell, kind (0 evaluation, 1 training), id, n_runs, bits, words, text."""
     cell, known, texts, shard = None, [], [], None
@@ -303,7 +291,7 @@ def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     # one row of sizes per field comes to the driver
     sizes = {r[0]: min(MOST_SHARDS, max(1, -(-r[1] // SHARD_CHARS))) for r in known.groupBy("field_name").agg(F.sum(F.length("text"))).collect()}
     shards = F.coalesce(*[F.when(F.col("field_name") == f, F.lit(n)) for f, n in sizes.items()], F.lit(1))
-    shared = train.sparkSession.sparkContext.broadcast(_anchor_map(known))
+    shared = train.sparkSession.sparkContext.broadcast(near.bit_map(known.select(F.explode("anchors").alias("anchor")), "anchor"))
     of = known.select("id", "field_name", "n_runs", "bits", "words", F.transform("anchors", lambda a: F.pmod(a, shards)).alias("of"))
     parts = of.select("*", F.explode(F.array_distinct("of")).alias("shard")).withColumn("words", F.expr("filter(words, (w, i) -> of[i] = shard)")).drop("of")
     # cells of each shard: a grid over its training and evaluation texts

@@ -115,16 +115,18 @@ def _review_classes(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reviews that are not garbled with the key of their reduced text, and near-same keys (ka, kb)."""
     reviews = _reduced(samples, "review").filter("ref is not null")
     bad = I.garbled_items(samples).filter("posterior >= 0.5 and field_name = 'review'").select(F.col("ref").alias("review_id")).distinct()
-    members = cut(reviews.select(F.col("ref").alias("review_id"), F.md5("text").alias("key")).distinct().join(bad, "review_id", "left_anti"))
+    owned = reviews.select(F.col("ref").alias("review_id"), F.md5("text").alias("key")).repartition("review_id")  # one shuffle serves the distinct and the join
+    members = cut(owned.distinct().join(bad, "review_id", "left_anti"))
     return members, neardup.near_pairs(neardup.classes(reviews)).select(F.md5("a").alias("ka"), F.md5("b").alias("kb"))
 
 
 def _review_pairs(samples: DataFrame) -> DataFrame:
     """review_id_a, review_id_b of near-same reviews, garbled ones left out."""
     members, near_same = _review_classes(samples)
-    of = lambda n: members.select(F.col("key").alias(f"k{n}"), F.col("review_id").alias(f"r{n}"))
+    by_key = members.select("key", "review_id").repartition("key")  # the same shuffle for all four uses
+    of = lambda n: by_key.select(F.col("key").alias(f"k{n}"), F.col("review_id").alias(f"r{n}"))
     apart = near_same.join(of("a"), "ka").join(of("b"), "kb").select("ra", "rb")
-    equal = members.alias("x").join(members.alias("y"), "key").filter("x.review_id < y.review_id").select(F.col("x.review_id").alias("ra"), F.col("y.review_id").alias("rb"))
+    equal = by_key.alias("x").join(by_key.alias("y"), "key").filter("x.review_id < y.review_id").select(F.col("x.review_id").alias("ra"), F.col("y.review_id").alias("rb"))
     return apart.unionByName(equal).filter("ra <> rb").select(F.least("ra", "rb").alias("review_id_a"), F.greatest("ra", "rb").alias("review_id_b")).distinct()
 
 

@@ -70,3 +70,29 @@ def test_no_evaluation(spark):
 
 def test_coverage_merges_intervals():
     assert overlap.coverage([(0, 5), (3, 8), (8, 10)], 20) == 0.5
+
+
+def test_shares_equal_set_arithmetic():
+    texts = corpus(3, 12) + ["好" * 40, "好" * 90]
+    left, right = zip(*((a, b) for a in texts for b in texts))
+    assert near.shares(list(left), list(right)).tolist() == pytest.approx([near.jaccard(a, b) for a, b in zip(left, right)])
+
+
+@pytest.mark.parametrize("hot", [2, 3, 1000])
+def test_hot_keys_are_divided_and_lose_nothing(spark, hot, monkeypatch):
+    """Many copies of one text with one character changed: every band key is hot."""
+    monkeypatch.setattr(neardup, "HOT", hot)
+    base = corpus(4, 1)[0]
+    texts = sorted({base[:i] + "甲乙丙丁"[i % 4] + base[i + 1 :] for i in range(0, len(base), 2)})
+    got = {(r.a, r.b) for r in neardup.near_pairs(neardup.classes(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))).collect()}
+    want = {(min(p), max(p)) for p in brute(texts, texts)}
+    assert not got - want and len(got) >= 0.99 * len(want) and len(want) > 400
+
+
+def test_bit_map_holds_its_numbers(spark):
+    import numpy as np
+
+    numbers = [0, 1, -1, 2**62, -(2**63), 64, 63]
+    known = near.bit_map(spark.createDataFrame([(n,) for n in numbers], "n long"), "n")
+    assert near.held(known, np.array(numbers)).all() and not near.held(known, np.array([2, 65, 128, 1 << 20])).any()
+    assert not near.held(near.bit_map(spark.createDataFrame([], "n long"), "n"), np.array(numbers)).any()
