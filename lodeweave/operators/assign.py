@@ -1,4 +1,4 @@
-"""Greedy assignment of groups to splits, by how many groups of each kind there are."""
+"""Greedy assignment of groups to splits."""
 
 from __future__ import annotations
 
@@ -7,53 +7,85 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-SHARES = (("train", 0.7), ("val", 0.1), ("test", 0.2))
-BLOCKS = 1024
+from lodeweave.operators.places import numbered
 
+SHARES = {"train": 0.7, "val": 0.1, "test": 0.2}
 
-def balanced_splits(rows: DataFrame, group: str, y: str, deficit: bool = False) -> DataFrame:
-    """group, n, pos, split: groups by size and positives descending, each to the split where the
-    squared relative error of rows plus twice that of positives is least, or with ``deficit`` to
-    the split that lacks most rows.
 
-    Groups of one size and number of positives are alike; one task walks the kinds, of which there
-    are at most as many as pairs of numbers that sum to the rows, and groups take their split by
-    rank within their kind. Rows with a NULL label are left out.
+def share_out(sizes: dict[int, int], targets: dict[str, float] = SHARES) -> dict[int, dict[str, int]]:
+    """Groups of each size that greedy largest-first assignment gives to each split.
+
+    Exact: the m groups of size s fill the m largest of the deficits d, d - s, d - 2 s, ... of
+    all splits; ties go to the split named first. Deficits are whole numbers of records times 10000.
+    """
+    total = sum(s * n for s, n in sizes.items())
+    deficit = {k: round(v * 10_000) * total for k, v in targets.items()}
+    out = {}
+    for s in sorted(sizes, reverse=True):
+        step, m = s * 10_000, sizes[s]
+        above = lambda x: {k: max(0, -((x - d) // step)) if d > x else 0 for k, d in deficit.items()}  # noqa: B023, E731  values of each split above x
+        low, high = min(deficit.values()) - step * (m + 1), max(deficit.values())
+        while low < high:  # least x with at most m values above it
+            mid = (low + high) // 2
+            if sum(above(mid).values()) <= m:
+                high = mid
+            else:
+                low = mid + 1
+        given = above(low)
+        for k, d in deficit.items():
+            if sum(given.values()) < m and d >= low and (d - low) % step == 0:
+                given[k] += 1
+        deficit = {k: d - step * given[k] for k, d in deficit.items()}
+        out[s] = given
+    return out
+
+
+def deficit_splits(rows: DataFrame, group: str) -> DataFrame:
+    """group, n, split: groups, the largest first, to the split that lacks most rows.
+
+    Only how many groups of each size there are comes to the driver (at most sqrt(2 n) sizes for n
+    rows); groups of one size are interchangeable and take their split by their place in it. Rows
+    with a NULL group are left out.
     """
-    sized = rows.filter(F.col(y).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    kinds = sized.groupBy("n", "pos").agg(F.count("*").alias("m"))
+    spark = rows.sparkSession
+    sized = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
+    placed = numbered(sized, F.desc("n"), group)
+    first, ends = 0, []
+    counts = {r[0]: r[1] for r in placed.groupBy("n").count().collect()}
+    plan = share_out(counts) if counts else {}
+    for s in sorted(counts, reverse=True):
+        for k, m in plan[s].items():
+            ends.append((s, k, first, first + m))
+            first += m
+    limits = spark.createDataFrame(ends, "n long, split string, after long, upto long")
+    return placed.join(F.broadcast(limits), "n").filter("place > after and place <= upto").select(group, "n", "split")
+
+
+def balanced_splits(rows: DataFrame, group: str, y: str) -> DataFrame:
+    """group, n, pos, split: groups by size, positives (both descending) and name, each to the split where
+    the squared relative error of rows plus twice that of positives is least, the first of equal ones.
+
+    The choice for a group depends on all before it, so that one task walks the groups in order;
+    it streams over two numbers a group and holds three sums. Rows with a NULL group are left out.
+    """
+    sized = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(y).cast("long").alias("pos"))
+    placed = numbered(sized, F.desc("n"), F.desc("pos"), group)
+    sums = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pos"), F.lit(0))).first()
+    goal = {k: (w * sums[0], w * sums[1]) for k, w in SHARES.items()}
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = pd.concat(list(batches)).sort_values(["n", "pos"], ascending=False)
-        total, positive = float((table.n * table.m).sum()), float((table.pos * table.m).sum())
-        have = {k: [0.0, 0.0] for k, _ in SHARES}
-
-        def error(k: str, n: int, p: int) -> float:
-            if deficit:
-                return have[k][0] - dict(SHARES)[k] * total
-            out = 0.0
-            for name, share in SHARES:
-                a, b = have[name][0] + n * (name == k), have[name][1] + p * (name == k)
-                t, q = max(1.0, share * total), max(1.0, share * positive)
-                out += ((a - t) / t) ** 2 + 2 * ((b - q) / q) ** 2
-            return out
-
-        out = []
-        for n, pos, m in table[["n", "pos", "m"]].itertuples(index=False):
-            given = dict.fromkeys(have, 0)
-            for _ in range(m):
-                k = min(have, key=lambda k: error(k, n, pos))
+        have = {k: [0, 0] for k in SHARES}
+        part = lambda k, n, p: ((have[k][0] + n - goal[k][0]) / max(1.0, goal[k][0])) ** 2 + 2.0 * ((have[k][1] + p - goal[k][1]) / max(1.0, goal[k][1])) ** 2
+        error = lambda k, n, p: sum(part(j, n * (j == k), p * (j == k)) for j in SHARES)
+        for frame in batches:
+            chosen = []
+            for n, p in zip(frame["n"].tolist(), frame["pos"].tolist()):
+                k = min(SHARES, key=lambda k: error(k, n, p))  # noqa: B023
                 have[k][0] += n
-                have[k][1] += pos
-                given[k] += 1
-            last = 0
-            for k, _ in SHARES:
-                last += given[k]
-                out.append((n, pos, k, last - given[k], last))
-        yield pd.DataFrame(out, columns=["n", "pos", "split", "after", "upto"])
-
-    plan = kinds.repartition(1).mapInPandas(walk, "n long, pos long, split string, after long, upto long")
-    ranked = sized.withColumn("__r", F.row_number().over(W.partitionBy("n", "pos").orderBy(group)))
-    return ranked.join(plan, ["n", "pos"]).filter("__r > after and __r <= upto").select(group, "n", "pos", "split")
+                have[k][1] += p
+                chosen.append(k)
+            yield pd.DataFrame({"place": frame["place"], "split": chosen})
+
+    plan = placed.select("place", "n", "pos").repartition(1).sortWithinPartitions("place").mapInPandas(walk, "place long, split string")
+    return placed.join(plan, "place").select(group, "n", "pos", "split")

@@ -55,7 +55,6 @@ PLANS = {
     "mention_filter": Plan("F2: mentions with a text and an attribute that are no feelings", f"with {_M} select review_id, attribute_id, polarity from m where mention_type <> 'feeling' and attribute_id is not null and coalesce(evidence_span, '') <> ''"),
     "eval_leak_filter": Plan("F3: schema names that contain one of the keywords once brackets are stripped", "select attribute_id, canonical_name, exists(array('材质', '保质', '适用'), k -> contains(translate(canonical_name, '<> ', ''), k)) leak from {category_schema}", "select attribute_id, canonical_name, list_bool_or(list_transform(['材质', '保质', '适用'], lambda k: contains(translate(canonical_name, '<> ', ''), k))) leak from category_schema"),
     "missing_claim_risk": Plan("F16: samples without a claim whose reviews hold strong explicit negatives; the first example", "with s as (select sample_id, filter(reviews, r -> r.polarity = 'neg' and r.mention_strength = 'strong' and r.explicit_fact_hit) h from {samples} where not (coalesce(claim.has_claim_srt, false) and (size(coalesce(claim.segments, array())) > 0 or coalesce(claim.passage, '') <> ''))) select sample_id, size(h) hits, h[0].review_id example from s where size(h) > 0", "with s as (select sample_id, list_filter(reviews, lambda r: r.polarity = 'neg' and r.mention_strength = 'strong' and r.explicit_fact_hit) h from samples where not (coalesce(claim.has_claim_srt, false) and (coalesce(len(claim.segments), 0) > 0 or coalesce(claim.passage, '') <> ''))) select sample_id, len(h)::int hits, h[1].review_id example from s where len(h) > 0"),
-    "product_rooms": Plan("S9: product bundle: last non-empty category, least room, numbers of paths", "with c as (select distinct * from {clips}) select product_id, max_by(category, struct(indexed_ts, clip_no)) filter (where category <> '') category, coalesce(min(nullif(room_id, '')), 'UNKNOWN') room_id, count(distinct srt_path) n_srt, count(distinct review_path) n_review from c group by product_id", "with c as (select distinct * from clips), r as (select product_id, category, row_number() over (partition by product_id order by indexed_ts desc, clip_no desc) rn from c where category <> '') select c.product_id, max(r.category) category, coalesce(min(nullif(room_id, '')), 'UNKNOWN') room_id, count(distinct srt_path) n_srt, count(distinct review_path) n_review from c left join r on c.product_id = r.product_id and rn = 1 group by c.product_id"),
     "category_index": Plan("S10: products per category, blanks dropped", "select category, count(distinct product_id) n_products, count(*) n_clips from {clips} where trim(category) <> '' group by category"),
     "load_split": Plan("S19: rows with a label, unknown splits to train", "select sample_id, case when split in ('train', 'val', 'test') then split else 'train' end split, y from {samples} where y is not null"),
     "split_override": Plan("S20: test rows replaced by constructed ones", "select sample_id, split from {samples} where split <> 'test' union all select sample_id, 'test' split from {samples} where y = 1 and c >= 0.8"),
@@ -64,10 +63,7 @@ PLANS = {
     "split_leakage": Plan("G17: rooms whose samples carry several splits", "with r as (select pair_id, min(room_id) room_id from {join_split} group by 1), s as (select r.room_id, s.split from {samples} s join r on s.pair_id = r.pair_id where s.split is not null and r.room_id is not null) select room_id, count(distinct split) n_splits, count(*) n_rows from s group by room_id having count(distinct split) > 1"),
     "table1_stats": Plan("G8: rows, positive rate, distinct products and attributes by split, category and coverage in one pass", "with j as (select pair_id, min(category) category, max(coverage) coverage, min(product_id) product_id from {join_split} group by 1) select s.split, j.category, j.coverage, count(*) n, round(avg(s.y), 6) pos_rate, count(distinct j.product_id) products, count(distinct s.attribute_id) attributes from {samples} s join j on s.pair_id = j.pair_id where s.split is not null group by grouping sets ((s.split), (j.category), (j.coverage), ())"),
     "coverage_distribution": Plan("G11: pairs per coverage", "select coverage, count(distinct pair_id) n from {join_split} group by coverage"),
-    "candidate_attributes": Plan("G12: distinct attributes per product", "select product_id, count(distinct attribute_id) n_attributes, min(attribute_id) first_attribute from {mentions} where attribute_id is not null group by product_id"),
     "dominant_type": Plan("G14: most common mention type of a product and attribute, ties by first seen", "with c as (select product_id, attribute_id, mention_type, count(*) n, min(struct(ingested_ts, review_id)) f from {mentions} where attribute_id is not null group by 1, 2, 3), r as (select *, row_number() over (partition by product_id, attribute_id order by n desc, f, mention_type) rn from c) select product_id, attribute_id, mention_type, n from r where rn = 1", "with c as (select product_id, attribute_id, mention_type, count(*) n, min({{'a': ingested_ts, 'b': review_id}}) f from mentions where attribute_id is not null group by 1, 2, 3), r as (select *, row_number() over (partition by product_id, attribute_id order by n desc, f, mention_type) rn from c) select product_id, attribute_id, mention_type, n from r where rn = 1".replace("{{", "{").replace("}}", "}")),
-    "schema_keys": Plan("G13: parameter keys per category with their values and the longest value", "with p as (select s.sample_id, split_part(s.attribute_id, '_', 1) cat, x.param_key k, x.raw_text v from {samples} s lateral view explode(evidence_params) t as x) select cat, k, count(*) n, count(distinct v) n_values, max(length(v)) longest from p group by 1, 2", "with p as (select s.sample_id, split_part(s.attribute_id, '_', 1) cat, x.param_key k, x.raw_text v from (select sample_id, attribute_id, unnest(evidence_params) x from samples) s) select cat, k, count(*) n, count(distinct v) n_values, max(length(v)) longest from p group by 1, 2"),
-    "value_types": Plan("G46: kind of a parameter key's values: number, few values, or text", "with p as (select x.param_key k, x.raw_text v from {samples} lateral view explode(evidence_params) t as x) select k, count(*) n, case when bool_and(v rlike '[0-9]') then 'numeric' when count(distinct v) <= 5 then 'enum' else 'text' end kind from p where v is not null group by k", "with p as (select x.param_key k, x.raw_text v from (select unnest(evidence_params) x from samples)) select k, count(*) n, case when bool_and(regexp_matches(v, '[0-9]')) then 'numeric' when count(distinct v) <= 5 then 'enum' else 'text' end kind from p where v is not null group by k"),
     "relation_counts": Plan("G18: relations of each sample's reviews", "select sample_id, size(filter(reviews, r -> r.relation = 'support')) support, size(filter(reviews, r -> r.relation = 'refute')) refute, size(filter(reviews, r -> r.relation is null)) unknown from {samples} where reviews is not null", "select sample_id, len(list_filter(reviews, lambda r: r.relation = 'support')) support, len(list_filter(reviews, lambda r: r.relation = 'refute')) refute, len(list_filter(reviews, lambda r: r.relation is null)) unknown from samples where reviews is not null"),
     "seed_mean_sd": Plan("G22: mean and population deviation over folds", "select split, round(avg(c), 6) mean_c, round(stddev_pop(c), 6) sd_c, count(c) n from {samples} where not isnan(c) group by split"),
     "paired_t": Plan("G23: paired difference statistic over attributes of two groups", "with a as (select attribute_id, avg(case when y = 1 then c end) x, avg(case when y = 0 then c end) z from {samples} group by 1), d as (select x - z d from a where x is not null and z is not null) select round(avg(d), 6) mean_d, round(avg(d) / (stddev_pop(d) / sqrt(count(*)) + 1e-9), 4) t, count(*) n from d"),
@@ -80,30 +76,21 @@ PLANS = {
     "first_seen": Plan("W9: first mention of each attribute and span, numbered within the product", f"with {_M}, f as (select *, row_number() over (partition by product_id, attribute_id, evidence_span order by {_KEY}, review_id) rn from m where evidence_span is not null), k as (select product_id, attribute_id, evidence_span, ingested_ts, review_id, polarity, mention_strength, mention_type, row_number() over (partition by product_id order by ingested_ts, review_id, attribute_id nulls last, evidence_span) no from f where rn = 1) select product_id, no, review_id, evidence_span from k"),
     "unique_ids": Plan("W10: ids made unique by a number from the second on", "with k as (select clip_no, product_id, row_number() over (partition by product_id order by clip_no, indexed_ts, aired_ts) rn from (select distinct clip_no, product_id, indexed_ts, aired_ts from {clips})) select clip_no, product_id, case when rn = 1 then product_id else concat(product_id, '_', cast(rn as string)) end uid from k"),
     "family_annotation": Plan("W15, X15: claims with the same text in a product: size, kept row, conflict", "with s as (select sample_id, pair_id, split_part(pair_id, '__', 1) product, lower(regexp_replace(claim.passage, '\\\\s+', '')) key, y, c from {samples} where length(claim.passage) >= 5) select sample_id, concat_ws('|', product, md5(key)) as family, count(*) over (partition by product, key) family_size, first_value(sample_id) over (partition by product, key order by c desc nulls last, sample_id) kept, case when min(y) over (partition by product, key) < max(y) over (partition by product, key) then true else false end conflict from s", "with s as (select sample_id, pair_id, split_part(pair_id, '__', 1) product, lower(regexp_replace(claim.passage, '\\s+', '', 'g')) \"key\", y, c from samples where length(claim.passage) >= 5) select sample_id, product || '|' || md5(\"key\") as family, count(*) over (partition by product, \"key\") family_size, first_value(sample_id) over (partition by product, \"key\" order by c desc nulls last, sample_id) kept, case when min(y) over (partition by product, \"key\") < max(y) over (partition by product, \"key\") then true else false end conflict from s"),
-    "hq_quota_fill": Plan("T1, T2: all positives, then negatives bucket by bucket up to their number", "with s as (select sample_id, pair_id, y, c, case confidence when 'high' then 0 when 'medium' then 1 when 'low' then 2 end b from {samples} where y is not null), n as (select sample_id, pair_id, y, c, row_number() over (order by b, c desc, sample_id) rn from s where y = 0 and b is not null), q as (select count(*) n_pos from s where y = 1) select sample_id, pair_id, y, c from s where y = 1 union all select sample_id, pair_id, y, c from n, q where rn <= n_pos"),
     "representative_rows": Plan("T6, T3: up to eight rows per category by priority of confidence, then weight", "with r as (select *, row_number() over (partition by category order by case confidence when 'high' then 0 when 'medium' then 1 else 2 end, c desc, pair_id) rn from (select distinct pair_id, category, confidence, c from {join_split})) select category, rn, pair_id, confidence, c from r where rn <= 8"),
     "case_top": Plan("T5: best row per attribute, the first six of them", "with r as (select sample_id, attribute_id, c, row_number() over (partition by attribute_id order by c desc, sample_id) rn from {samples} where y = 1) select attribute_id, sample_id, c from r where rn = 1 order by c desc, sample_id limit 6"),
-    "holdout_rooms": Plan("T10: twenty rooms spread evenly over the ranking by size", "with v as (select room_id, count(*) n from {join_split} where room_id is not null group by 1), r as (select room_id, n, row_number() over (order by n desc, room_id) - 1 i, count(*) over () total from v), k as (select distinct cast(bround(g * (total - 1) / 19.0) as bigint) at from (select max(total) total from r) lateral view explode(sequence(0, 19)) t as g) select room_id, n, i from r join k on r.i = k.at", "with v as (select room_id, count(*) n from join_split where room_id is not null group by 1), r as (select room_id, n, row_number() over (order by n desc, room_id) - 1 i, count(*) over () total from v), k as (select distinct round_even(g * (total - 1) / 19.0, 0)::bigint as at_ from (select max(total) total from r), unnest(range(0, 20)) t(g)) select room_id, n, i from r join k on r.i = k.at_"),
-    "time_split": Plan("T11, ST5: early, middle and late rows by load time", "with q as (select percentile(cast(cast(loaded_ts as timestamp) as double), 0.6) a, percentile(cast(cast(loaded_ts as timestamp) as double), 0.8) b from {samples}) select sample_id, case when cast(cast(loaded_ts as timestamp) as double) < a then 'early' when cast(cast(loaded_ts as timestamp) as double) < b then 'background' else 'late' end part from {samples}, q", "with q as (select quantile_cont(epoch_us(loaded_ts) / 1e6, 0.6) a, quantile_cont(epoch_us(loaded_ts) / 1e6, 0.8) b from samples) select sample_id, case when epoch_us(loaded_ts) / 1e6 < a then 'early' when epoch_us(loaded_ts) / 1e6 < b then 'background' else 'late' end part from samples, q"),
     "stratified_half": Plan("T12, T13: half of each class by hash order", "with r as (select sample_id, y, row_number() over (partition by y order by md5(cast(sample_id as string))) rn, count(*) over (partition by y) n from {samples} where y is not null) select sample_id, y from r where rn <= floor(n / 2)", "with r as (select sample_id, y, row_number() over (partition by y order by md5(sample_id::varchar)) rn, count(*) over (partition by y) n from samples where y is not null) select sample_id, y from r where rn <= floor(n / 2)"),
     "few_shot": Plan("T14: eight sure examples of each class by hash order", "with r as (select sample_id, y, c, row_number() over (partition by y order by md5(cast(sample_id as string))) rn from {samples} where split = 'train' and c >= 0.5 and y is not null) select y, rn, sample_id, c from r where rn <= 8", "with r as (select sample_id, y, c, row_number() over (partition by y order by md5(sample_id::varchar)) rn from samples where split = 'train' and c >= 0.5 and y is not null) select y, rn, sample_id, c from r where rn <= 8"),
-    "injection_prefixes": Plan("T15: prefixes of the training rows at fifths", "with r as (select sample_id, row_number() over (order by md5(cast(sample_id as string))) rn, count(*) over () n from {samples} where split = 'train') select f, count(*) n_rows, sum(sample_id) id_sum from r lateral view explode(array(0, 20, 40, 60, 80, 100)) t as f where rn <= round(f * n / 100.0) group by f", "with r as (select sample_id, row_number() over (order by md5(sample_id::varchar)) rn, count(*) over () n from samples where split = 'train') select f::int f, count(*) n_rows, sum(sample_id)::bigint id_sum from r, unnest([0, 20, 40, 60, 80, 100]) t(f) where rn <= round(f * n / 100.0) group by f"),
     "free_phrases": Plan("U4: distinct spans of free mentions, sorted", "select distinct evidence_span phrase from {mentions} where mention_type = 'free' and evidence_span is not null order by phrase"),
-    "positional_judgments": Plan("J12: judged reviews by position, out of range dropped", "select s.sample_id, j cid, reviews[j - 1].review_id review_id from {samples} s lateral view explode(sequence(1, 4)) t as j where try_element_at(reviews, j) is not null", "select sample_id, j::int cid, reviews[j].review_id review_id from samples, unnest(range(1, 5)) t(j) where j <= len(reviews)"),
     "variant_pairs": Plan("J25: rows of the same product in two attributes of one domain", "with s as (select sample_id, split_part(pair_id, '__', 1) base, attribute_id, y from {samples} where y is not null) select a.sample_id a_id, b.sample_id b_id, a.base, a.y a_y, b.y b_y from s a join s b on a.base = b.base and a.attribute_id < b.attribute_id"),
-    "positional_align": Plan("J26: two tables aligned by pair id, else by position", "with a as (select pair_id, row_number() over (order by sample_id) pos from {samples} where split = 'val'), b as (select pair_id, row_number() over (order by sample_id) pos from {samples} where split = 'test') select a.pos, a.pair_id a_pair, b.pair_id b_pair, a.pair_id = b.pair_id same from a join b on a.pos = b.pos"),
     "split_lookup": Plan("J27: split of a room from its samples, else by hash", "with r as (select pair_id, min(room_id) room_id from {join_split} group by 1), k as (select r.room_id, min(s.split) split from {samples} s join r on s.pair_id = r.pair_id where s.split is not null group by 1), a as (select distinct room_id from {join_split} where room_id is not null) select a.room_id, coalesce(k.split, case when pmod(conv(substr(md5(a.room_id), 25, 8), 16, 10), 100) < 70 then 'train' when pmod(conv(substr(md5(a.room_id), 25, 8), 16, 10), 100) < 80 then 'val' else 'test' end) split from a left join k on a.room_id = k.room_id", "with r as (select pair_id, min(room_id) room_id from join_split group by 1), k as (select r.room_id, min(s.split) split from samples s join r on s.pair_id = r.pair_id where s.split is not null group by 1), a as (select distinct room_id from join_split where room_id is not null) select a.room_id, coalesce(k.split, case when ('0x' || substr(md5(a.room_id), 25, 8))::bigint % 100 < 70 then 'train' when ('0x' || substr(md5(a.room_id), 25, 8))::bigint % 100 < 80 then 'val' else 'test' end) split from a left join k on a.room_id = k.room_id"),
     "set_difference": Plan("U5, U6: attributes of a category that no sample has", "select category, attribute_id from {category_schema} except select s.category, s.attribute_id from {category_schema} s join {samples} x on s.attribute_id = x.attribute_id where x.split = 'val'"),
-    "json_props": Plan("X19, X40: numbers from JSON texts, malformed ones NULL", "select event_id, cast(get_json_object(props, '$.k') as int) k from {events} where event_type = 'purchase'", "select event_id, (props->>'$.k')::int k from events where event_type = 'purchase'"),
     "cache_keys": Plan("X18, S23: content keys of requests and their two-character folders", "select distinct sha2(concat_ws('|', attribute_id, attribute_name), 256) key, substr(sha2(concat_ws('|', attribute_id, attribute_name), 256), 1, 2) folder from {samples}", "select distinct sha256(attribute_id || '|' || attribute_name) \"key\", substr(sha256(attribute_id || '|' || attribute_name), 1, 2) folder from samples"),
     "slim_projection": Plan("P1 to P3, S26: chosen columns and chosen fields of nested arrays", "select s.sample_id, s.pair_id, i, r.review_id, r.polarity from {samples} s lateral view posexplode(transform(reviews, r -> named_struct('review_id', r.review_id, 'polarity', r.polarity))) t as i, r", "select sample_id, pair_id, (i - 1)::int i, reviews[i].review_id review_id, reviews[i].polarity polarity from samples, unnest(range(1, len(reviews) + 1)) t(i)"),
-    "evidence_text": Plan("P7 to P9: attribute, parameters, OCR and quotes in one text, shortened", "select sample_id, case when length(t) > 300 then concat(substr(t, 1, 300), '...') else t end evidence from (select sample_id, concat_ws(' ', attribute_name, array_join(transform(evidence_params, x -> concat(x.param_key, ':', x.raw_text)), ' '), array_join(transform(evidence_ocr, x -> x.raw_text), ' '), array_join(transform(evidence_vlm, x -> x.raw_quote), ' ')) t from {samples})", "select sample_id, case when length(t) > 300 then substr(t, 1, 300) || '...' else t end evidence from (select sample_id, concat_ws(' ', attribute_name, coalesce(array_to_string(list_transform(evidence_params, lambda x: x.param_key || ':' || x.raw_text), ' '), ''), coalesce(array_to_string(list_transform(evidence_ocr, lambda x: x.raw_text), ' '), ''), coalesce(array_to_string(list_transform(evidence_vlm, lambda x: x.raw_quote), ' '), '')) t from samples)"),
     "alias_blocks": Plan("P16, U7: the first six names and aliases of an attribute, order kept", "select attribute_id, array_join(slice(array_distinct(concat(array(canonical_name), aliases)), 1, 6), '、') names from {category_schema}", "with a as (select attribute_id, list_concat([canonical_name], list_filter(list_distinct(aliases), lambda x: x <> canonical_name)) u, list_concat([canonical_name], aliases) o from category_schema) select attribute_id, array_to_string(list_filter(o, lambda x, i: list_position(o, x) = i)[1:6], '、') names from a"),
     "params_with_title": Plan("P17: parameters with the title as one more, where there is none", "select product_id, title, size(raw_params) n, coalesce(size(map_keys(raw_params)), 0) + int(not map_contains_key(raw_params, '商品名称')) n_with_title from (select distinct product_id, title, price, shop_name, map_entries(raw_params) e, raw_params from (select product_id, title, price, shop_name, raw_params from {products} where raw_params is not null))".replace("distinct product_id, title, price, shop_name, map_entries(raw_params) e, raw_params", "product_id, title, raw_params"), "select product_id, title, cardinality(raw_params)::int n, (cardinality(raw_params) + (not map_contains(raw_params, '商品名称'))::int)::int n_with_title from products where raw_params is not null"),
     "ordered_sources": Plan("P6, P11, P12: evidence texts in source order, empty ones dropped", "select sample_id, i, x.src, x.txt from {samples} lateral view posexplode(filter(concat(transform(evidence_params, p -> named_struct('src', 'param', 'txt', p.raw_text)), transform(evidence_ocr, p -> named_struct('src', 'ocr', 'txt', p.raw_text)), transform(evidence_vlm, p -> named_struct('src', 'vlm', 'txt', p.raw_quote))), e -> e.txt <> '')) t as i, x", "with u as (select sample_id, list_filter(list_concat(list_transform(evidence_params, lambda p: {'src': 'param', 'txt': p.raw_text}), list_transform(evidence_ocr, lambda p: {'src': 'ocr', 'txt': p.raw_text}), list_transform(evidence_vlm, lambda p: {'src': 'vlm', 'txt': p.raw_quote})), lambda e: e.txt <> '') l from samples) select sample_id, (i - 1)::int i, l[i].src src, l[i].txt txt from u, unnest(range(1, len(l) + 1)) t(i)"),
     "claim_tokens": Plan("P14, X35: claim characters up to 384, a mark where there is no claim", "select sample_id, case when coalesce(claim.passage, '') = '' then 1 else least(length(claim.passage), 384) end n_tokens, coalesce(nullif(substr(claim.passage, 1, 384), ''), '[NONE]') flow from {samples}"),
     "soft_labels": Plan("X32, X29: labels shrunk to the base rate by weight, clamped", "with b as (select avg(y) p from {samples} where y is not null) select sample_id, round(least(1.0, greatest(0.0, c * y + (1 - c) * p)), 6) target, round(1 / (1 + exp(-(4 * c - 2))), 6) squashed from {samples}, b where y is not null"),
-    "free_resolution": Plan("J4: free spans joined by category and phrase with the schema attribute of the longest name or alias that they contain, the rest diverted", "with f as (select distinct review_id, category, evidence_span from {mentions} where mention_type = 'free' and evidence_span is not null), n as (select distinct category, attribute_id, name from (select category, attribute_id, explode(concat(array(canonical_name), coalesce(aliases, array()))) name from {category_schema}) where name <> ''), h as (select p.category, p.evidence_span, n.attribute_id, row_number() over (partition by p.category, p.evidence_span order by length(n.name) desc, n.attribute_id) rn from (select distinct category, evidence_span from f) p join n on p.category = n.category and contains(p.evidence_span, n.name)), r as (select f.review_id, f.evidence_span, min(h.attribute_id) attribute_id from f left join h on f.category = h.category and f.evidence_span = h.evidence_span and h.rn = 1 group by 1, 2) select review_id, evidence_span, coalesce(attribute_id, 'UNRESOLVED') attribute_id from r", "with f as (select distinct review_id, category, evidence_span from {mentions} where mention_type = 'free' and evidence_span is not null), r as (select f.review_id, f.evidence_span, min(s.attribute_id) attribute_id from f left join {category_schema} s on f.category = s.category and contains(f.evidence_span, substr(s.canonical_name, 1, 2)) group by 1, 2) select review_id, evidence_span, coalesce(attribute_id, 'UNRESOLVED') attribute_id from r"),
     "mention_repair": Plan("J10: reviews of a sample with the strength of the best mention of the same product and attribute, order kept", f"with {_M}, b as (select product_id, attribute_id, mention_strength, row_number() over (partition by product_id, attribute_id order by explicit_fact_hit desc, {_KEY}, review_id) rn from m where attribute_id is not null), x as (select sample_id, pair_id, attribute_id, i, r.mention_strength st from {{samples}} lateral view posexplode(reviews) t as i, r), y as (select x.sample_id, x.i, coalesce(b.mention_strength, x.st) st from x left join b on concat('p', b.product_id, '__', b.attribute_id) = x.pair_id and b.rn = 1) select sample_id, array_join(transform(array_sort(collect_list(struct(i, st))), e -> e.st), ',') strengths from y group by sample_id", f"with {_M}, b as (select product_id, attribute_id, mention_strength, row_number() over (partition by product_id, attribute_id order by explicit_fact_hit desc, {_KEY}, review_id) rn from m where attribute_id is not null), x as (select sample_id, pair_id, i, reviews[i].mention_strength st from samples, unnest(range(1, len(reviews) + 1)) t(i)), y as (select x.sample_id, x.i, coalesce(b.mention_strength, x.st) st from x left join b on 'p' || b.product_id || '__' || b.attribute_id = x.pair_id and b.rn = 1) select sample_id, string_agg(st, ',' order by i) strengths from y group by sample_id".replace("{mentions}", "mentions")),
     "labels_with_metadata": Plan("J11: samples joined with pair facts, left joined with the schema's type", f"with {_PAIRS} select s.sample_id, p.category, p.coverage, coalesce(c.value_type, 'text') value_type from {{samples}} s join (select * from pairs where rn = 1) p on s.pair_id = p.pair_id left join {{category_schema}} c on s.attribute_id = c.attribute_id"),
     "safe_merge": Plan("P4: only whitelisted fields filled from the auxiliary row, the ignored split recorded", f"with {_PAIRS} select s.sample_id, coalesce(s.confidence, p.confidence) confidence, coalesce(s.y, p.y) y, s.split, p.rn is not null as had_aux from {{samples}} s left join (select * from pairs where rn = 1) p on s.pair_id = p.pair_id"),
@@ -111,15 +98,11 @@ PLANS = {
     "pair_ids": Plan("X14, X10: pair id where it is missing, prefix of the category", "select distinct pair_id, coalesce(nullif(if(coverage = 1, '', pair_id), ''), concat('p', product_id, '__', attribute_id)) rebuilt, coalesce(map('食品', 'FOOD', '美妆', 'BEAUTY', '服饰', 'APPAREL')[category], upper(split_part(attribute_id, '_', 1))) prefix from {join_split}", "select distinct pair_id, coalesce(nullif(case when coverage = 1 then '' else pair_id end, ''), 'p' || product_id || '__' || attribute_id) rebuilt, case category when '食品' then 'FOOD' when '美妆' then 'BEAUTY' when '服饰' then 'APPAREL' else upper(split_part(attribute_id, '_', 1)) end prefix from join_split"),
     "number_extract": Plan("X12: numbers before a money unit in review texts, least and most", "select review_id, array_min(v) least, array_max(v) most from (select distinct review_id, transform(regexp_extract_all(review_text, '([0-9]+(?:[.][0-9]+)?)(?:元|块)', 1), x -> cast(x as double)) v from {mentions}) where size(v) > 0", "select distinct review_id, list_min(v) least, list_max(v) most from (select review_id, list_transform(regexp_extract_all(review_text, '([0-9]+(?:[.][0-9]+)?)(?:元|块)', 1), lambda x: x::double) v from mentions) where len(v) > 0"),
     "scaled_weights": Plan("X33: weights of rows without sources and with many scaled", "select sample_id, round(c * case when evidence_count.params + evidence_count.ocr + evidence_count.vlm = 0 then 0.5 else 1.0 end * case when evidence_count.params + evidence_count.ocr + evidence_count.vlm >= 8 then 1.2 else 1.0 end, 6) w from {samples}"),
-    "policy_mix": Plan("X34: names of a list with commas and blanks", "select explode(filter(split('params, ocr vlm,,params_ocr ', '[, ]+'), x -> x <> '')) policy", "select unnest(list_filter(string_split_regex('params, ocr vlm,,params_ocr ', '[, ]+'), lambda x: x <> '')) as policy"),
-    "ocr_attribution": Plan("X36: first OCR text that contains the start of the passage's first evidence, else none", "select sample_id, get(filter(transform(evidence_ocr, (o, i) -> if(contains(o.raw_text, '的'), i, null)), z -> z is not null), 0) first_hit from {samples}", "select sample_id, list_filter(list_transform(evidence_ocr, lambda o, i: case when contains(o.raw_text, '的') then i - 1 end), lambda z: z is not null)[1]::int first_hit from samples"),
-    "index_or_first": Plan("X37: element at a 1-based place, the first where there is none", "select sample_id, coalesce(try_element_at(evidence_ocr, y + 2).raw_text, get(evidence_ocr, 0).raw_text) picked from {samples} where y is not null", "select sample_id, coalesce(evidence_ocr[y + 2].raw_text, evidence_ocr[1].raw_text) picked from samples where y is not null"),
     "real_keys": Plan("X39: matched keys kept only where the product has them, with the real values", "with k as (select product_id, explode(raw_params) as (k, v) from {products} where raw_params is not null) select distinct k.product_id, k.k, k.v from k left semi join {category_schema} s on k.k = s.canonical_name", "with k as (select product_id, unnest(map_entries(raw_params)) e from products where raw_params is not null) select distinct product_id, e.key k, e.value v from k where exists (select 1 from category_schema s where s.canonical_name = e.key)"),
     "attribute_scope": Plan("F17: scope by ordered predicates", "select attribute_id, case when contains(canonical_name, '服务') then 'service' when source = 'review' then 'subjective' else 'product' end scope from {category_schema}"),
     "contrast_eligible": Plan("F15, F14: rows that may serve as contrast", "select sample_id, coalesce(contrastive_mask, false) and y is not null and c >= 0.2 and coalesce(claim.passage, '') <> '' eligible from {samples}"),
     "first_examples": Plan("T16: the first twenty rows of a report", "select sample_id, pair_id from {samples} where y = 1 order by sample_id limit 20"),
     "pair_time": Plan("G41: earliest review time of each sample", "select sample_id, min(coalesce(try_to_timestamp(r.review_time, 'yyyy/M/d H:m:s'), try_to_timestamp(r.review_time, 'yyyy-M-d H:m:s'), try_to_timestamp(r.review_time, 'yyyy/M/d'))) first_ts from {samples} lateral view explode(reviews) t as r group by 1", "select sample_id, min(coalesce(try_strptime(r.review_time, '%Y/%m/%d %H:%M:%S'), try_strptime(r.review_time, '%Y-%m-%d %H:%M:%S'), try_strptime(r.review_time, '%Y/%m/%d'))) first_ts from (select sample_id, unnest(reviews) r from samples) group by 1"),
     "counterfactual_summary": Plan("G39: pairs of variants, both right, and the ids of one class", "with s as (select split_part(pair_id, '__', 1) base, min(y) lo, max(y) hi, count(*) n, avg(c) c from {samples} where y is not null group by 1 having count(*) > 1) select count(*) n_pairs, sum(int(lo < hi)) n_apart, round(avg(c), 6) mean_c from s", "with s as (select split_part(pair_id, '__', 1) base, min(y) lo, max(y) hi, count(*) n, avg(c) c from samples where y is not null group by 1 having count(*) > 1) select count(*) n_pairs, sum((lo < hi)::int)::bigint n_apart, round(avg(c), 6) mean_c from s"),
-    "validated_groups": Plan("C2: proposed groups: known ids only, each in its first group, the rest alone", "with p as (select canonical_name g, attribute_id id, row_number() over (partition by canonical_name order by attribute_id) k from {category_schema}), u as (select p.id, min(p.g) g from p where k <= 3 group by p.id) select s.attribute_id, coalesce(u.g, s.attribute_id) grp from {category_schema} s left join u on s.attribute_id = u.id"),
     "label_noise": Plan("G10, G9: agreement of label and review polarity by confidence", "select confidence, count(*) n, sum(case when (y = 1) = exists(reviews, r -> r.polarity = 'neg') then 1 else 0 end) agree from {samples} where y is not null and reviews is not null group by confidence", "select confidence, count(*) n, sum(case when (y = 1) = (len(list_filter(reviews, lambda r: r.polarity = 'neg')) > 0) then 1 else 0 end)::bigint agree from samples where y is not null and reviews is not null group by confidence"),
 }

@@ -131,17 +131,6 @@ def normalized_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("category", "name", X.normalized(F.col("name")).alias("norm"), X.slug(F.lit("GEN"), F.col("name")).alias("slug"))
 
 
-def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many risk and support terms each review text has."""
-    r = table(spark, sf_dir, "samples").select("sample_id", F.posexplode("reviews").alias("i", "r"))
-    return r.select("sample_id", "i", X.hits(F.col("r.text"), list(RISK)).alias("risk"), X.hits(F.col("r.text"), list(SUPPORT)).alias("support"))
-
-
-# Terms of risk and of support in review texts.
-RISK = ("跟主播讲的", "不像宣传", "有差距", "言过其实", "建议慎重", "差评", "开了口", "缩水")
-SUPPORT = ("跟描述相符", "推荐", "超出预期", "还会回购", "性价比")
-
-
 def hash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split of each room by md5 modulo 100."""
     j = table(spark, sf_dir, "join_split").select("room_id").filter("room_id is not null").distinct()
@@ -166,16 +155,15 @@ def free_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spellings of the free prefix brought to one."""
     m = table(spark, sf_dir, "mentions").filter("mention_type = 'free' and evidence_span is not null").select("review_id", "attribute_id", "evidence_span", "mention_strength").distinct()
     mark = F.when(F.col("mention_strength") == "strong", "FREE::").when(F.col("mention_strength") == "weak", "free：").otherwise("Free_")
-    return m.select("review_id", "attribute_id", "evidence_span", "mention_strength", X.free_phrase(F.concat(mark, F.col("evidence_span"))).alias("phrase")).filter("evidence_span rlike '^[一-鿿]'")
+    return m.select("review_id", "attribute_id", "evidence_span", "mention_strength", X.free_phrase(F.concat(mark, F.col("evidence_span"))).alias("phrase"))
 
 
-QUERIES = {f.__name__: f for f in (label_weight_l1, label_weight_l2, label_weight_sweep, pair_stats, value_histograms, crosstab_labels, c_transforms, evidence_codes, parse_times, text_similarities, normalized_keys, term_scores, hash_buckets, path_remap, free_prefix, bigram_diversity)}
+QUERIES = {f.__name__: f for f in (label_weight_l1, label_weight_l2, label_weight_sweep, pair_stats, value_histograms, crosstab_labels, c_transforms, evidence_codes, parse_times, text_similarities, normalized_keys, hash_buckets, path_remap, free_prefix, bigram_diversity)}
 _NT = "coalesce(evidence_count.params, 0) + coalesce(evidence_count.ocr, 0) + coalesce(evidence_count.vlm, 0)"
 _ANY = ", ".join(f"try_strptime(trim(review_time), '{f}')" for f in ("%Y/%m/%d %H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M", "%Y-%m-%d %H:%M", "%Y/%m/%d", "%Y-%m-%d"))
 _SET = "list_distinct(list_filter(string_split(coalesce({0}, ''), ''), lambda x: x <> ''))"
 _BI = "case when length(regexp_replace(coalesce({0}, ''), '\\s+', '', 'g')) >= 2 then list_distinct(list_transform(range(1, length(regexp_replace({0}, '\\s+', '', 'g'))), lambda k: substr(regexp_replace({0}, '\\s+', '', 'g'), k, 2))) else [regexp_replace(coalesce({0}, ''), '\\s+', '', 'g')] end"
 _JAC = "case when len(list_distinct(list_concat({0}, {1}))) = 0 then 1.0 else len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) end"
-_HITS = lambda terms: " + ".join(f"contains(coalesce(r.text, ''), '{t}')::int" for t in terms)
 SQL = {
     "label_weight_l1": _BASE.format(**_FIRST) + _OUT,
     "label_weight_l2": _BASE.format(**_SECOND) + _OUT + " where n_aligned > 0",
@@ -188,9 +176,8 @@ SQL = {
     "parse_times": f"with m as (select distinct review_id, product_id, review_time from mentions), p as (select *, coalesce({_ANY}) ts from m), f as (select product_id, min(ts) first_ts from p group by 1) select review_id, p.product_id, review_time, strftime(ts, '%Y-%m-%d %H:%M:%S') ts, floor(epoch(ts - first_ts) / 86400)::int as days from p join f on p.product_id = f.product_id",
     "text_similarities": f"with m as (select distinct review_id, attribute_id, evidence_span, review_text from mentions), s as (select *, {_SET.format('evidence_span')} ca, {_SET.format('review_text')} cb, {_BI.format('evidence_span')} ba, {_BI.format('review_text')} bb from m) select review_id, attribute_id, evidence_span span, round({_JAC.format('ca', 'cb')}, 6) char_sim, round({_JAC.format('ba', 'bb')}, 6) bigram_sim, lower(regexp_replace(coalesce(evidence_span, ''), '\\s+', '', 'g')) compact_span, length(review_text)::int approx_tokens from s",
     "normalized_keys": "with n as (select distinct category, unnest(list_distinct(list_concat([canonical_name], aliases))) name from category_schema), k as (select *, regexp_replace(lower(name), '[\\s\\-_/()（）·．。，,、:：;；''\"“”‘’!！?？]+', '', 'g') norm from n) select category, name, norm, 'GEN_' || coalesce(nullif(substr(upper(norm), 1, 24), ''), 'ATTR') slug from k",
-    "term_scores": f"with r as (select sample_id, unnest(reviews) r, generate_subscripts(reviews, 1) - 1 i from samples) select sample_id, i::int i, {_HITS(RISK)} risk, {_HITS(SUPPORT)} support from r",
     "hash_buckets": "with j as (select distinct room_id from join_split where room_id is not null), d as (select room_id, list_reduce(list_prepend(0, list_transform(string_split(md5(room_id), ''), lambda d: instr('0123456789abcdef', d) - 1)), lambda s, d: (s * 16 + d) % 100)::int bucket from j) select room_id, bucket, case when bucket < 70 then 'train' when bucket < 80 then 'val' else 'test' end split from d",
     "bigram_diversity": f"with u as (select sample_id, unnest(reviews) r, generate_subscripts(reviews, 1) i from samples), g as (select sample_id, i, {_BI.format('r.text')} b from u where r.text is not null) select x.sample_id, (select count(*) from g z where z.sample_id = x.sample_id)::int n, round(avg({_JAC.format('x.b', 'y.b')}), 6) likeness from g x join g y on x.sample_id = y.sample_id and x.i < y.i group by x.sample_id",
     "path_remap": "select distinct clip_no, srt_path path from clips",
-    "free_prefix": "select distinct review_id, attribute_id, evidence_span, mention_strength, 'FREE::' || trim(evidence_span) phrase from mentions where mention_type = 'free' and regexp_matches(evidence_span, '^[一-鿿]')",
+    "free_prefix": "with m as (select distinct review_id, attribute_id, evidence_span, mention_strength, trim(regexp_replace(evidence_span, '^[\\s:：_]+', ''), ' ') t from mentions where mention_type = 'free' and evidence_span is not null) select review_id, attribute_id, evidence_span, mention_strength, case when t <> '' then 'FREE::' || t end phrase from m",
 }

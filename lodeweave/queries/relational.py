@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.operators import external as X
-from lodeweave.plans.relational import PLANS
+from lodeweave.plans import evidence, relational, schema
 from lodeweave.session import table
 
 
@@ -19,5 +19,9 @@ def positional_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sample_id", "j.cid", F.col("j.comment").alias("review_id"))
 
 
+PLANS = relational.PLANS | evidence.PLANS | schema.PLANS
 QUERIES = {name: plan.run for name, plan in PLANS.items()} | {"positional_judgments": positional_judgments}
-SQL = {name: plan.oracle() for name, plan in PLANS.items()}
+SQL = {name: plan.oracle() for name, plan in PLANS.items()} | {
+    "positional_judgments": """with r as (select sample_id, coalesce(claim.passage, '') p, reviews, unnest(range(1, len(reviews) + 1)) i from samples), k as (select sample_id, i, reviews[i].review_id review_id, list_distinct(list_filter(string_split(p, ''), lambda z: z <> '')) a, list_distinct(list_filter(string_split(coalesce(reviews[i].text, ''), ''), lambda z: z <> '')) b from r)
+ select sample_id, i::int cid, review_id from k where len(list_intersect(a, b)) >= 3"""
+}

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodeweave.operators import assign as A
 from lodeweave.operators import families as FA
 from lodeweave.operators import ordered as O
 from lodeweave.operators import ranges as RG
@@ -103,16 +102,6 @@ def average_linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FA.clusters(c, "category")
 
 
-def room_split_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rooms to splits by balance of rows and positives."""
-    return A.balanced_splits(table(spark, sf_dir, "join_split").select("room_id", "y"), "room_id", "y")
-
-
-def room_split_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rooms, the largest first, to the split that lacks most rows."""
-    return A.balanced_splits(table(spark, sf_dir, "join_split").select("room_id", F.coalesce("y", F.lit(0)).alias("y")), "room_id", "y", deficit=True)
-
-
 def phrase_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema names of each category merged one after the other; new ids become targets at once."""
     c = table(spark, sf_dir, "category_schema").select("category", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("name"))
@@ -120,15 +109,15 @@ def phrase_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def salvage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON texts damaged in four ways and read tolerantly."""
+    """The JSON texts of all events, damaged in four ways and read tolerantly."""
     salvage = F.pandas_udf(FA.salvaged, "string")
-    e = table(spark, sf_dir, "events").filter("event_type = 'signup'").select("event_id", "props", (F.col("event_id") % 4).alias("kind"))
+    e = table(spark, sf_dir, "events").select("event_id", "props", (F.col("event_id") % 4).alias("kind"))
     p = F.col("props")
     damaged = F.when(F.col("kind") == 0, p).when(F.col("kind") == 1, F.concat(F.lit("text ```json\n"), p, F.lit("\n``` more"))).when(F.col("kind") == 2, F.concat(F.lit("so: "), p, F.lit(" end"))).otherwise(F.concat(F.lit("["), p, F.lit(", "), p, F.lit(', {"k": ')))
     return e.select("event_id", "kind", salvage(damaged).alias("parsed"))
 
 
-QUERIES = {f.__name__: f for f in (passage_build, fold_mention, cue_offsets, chunk_ranges, cue_overlap, best_cue, claim_family_pairs, claim_family_components, claim_family_kept, alias_lookup, greedy_phrase_dedupe, average_linkage_clusters, room_split_greedy, room_split_deficit, phrase_merges, salvage_json)}
+QUERIES = {f.__name__: f for f in (passage_build, fold_mention, cue_offsets, chunk_ranges, cue_overlap, best_cue, claim_family_pairs, claim_family_components, claim_family_kept, alias_lookup, greedy_phrase_dedupe, average_linkage_clusters, phrase_merges, salvage_json)}
 
 _M = "m as (select distinct product_id, ingested_ts, review_id, attribute_id, polarity, mention_strength, explicit_fact_hit, evidence_span, mention_type from mentions where attribute_id is not null)"
 _ORD = "ingested_ts, review_id, attribute_id, polarity, mention_strength, explicit_fact_hit, coalesce(evidence_span, ''), mention_type"
@@ -140,6 +129,8 @@ SQL = {
     "passage_build": f"with {_M}, g as (select product_id, attribute_id, list(evidence_span order by {_ORD}) l from m where evidence_span is not null group by 1, 2), d as (select *, string_split(list_reduce(l, lambda acc, x: case when len(list_intersect({_CH.format('string_split(acc, chr(31))[-1]')}, {_CH.format('x')})) / greatest(len(list_distinct(list_concat({_CH.format('string_split(acc, chr(31))[-1]')}, {_CH.format('x')}))), 1) >= 0.9 then acc else acc || chr(31) || x end), chr(31)) kept from g), u as (select *, length(array_to_string(kept, chr(10) || '---' || chr(10))) tot, greatest(1, floor(len(kept) * (500.0::double / length(array_to_string(kept, chr(10) || '---' || chr(10)))))::int) kn from d), z as (select *, case when tot > 600 and len(kept) > 1 then list_transform(list_sort(list_distinct(list_transform(range(0, kn), lambda i: least(len(kept) - 1, floor(i * (len(kept)::double / kn))::int)))), lambda i: kept[i + 1]) else kept end used from u) select product_id, attribute_id, len(l)::int n_all, len(kept)::int n_kept, len(used)::int n_used, array_to_string(used, chr(10) || '---' || chr(10)) passage from z",
     "cue_offsets": f"with {_CUE} select doc_id, idx::int idx, start_s, end_s, char_start, char_end, txt as \"text\" from cues",
     "cue_overlap": f"with {_IV} select doc_id, k::int k, idx::int idx, overlap from ov",
+    "fold_mention": f"with {_M}, g as (select product_id, attribute_id, list({{'e': explicit_fact_hit, 's': mention_strength, 'p': polarity, 't': evidence_span}} order by {_ORD}) l from m group by 1, 2), k as (select product_id, attribute_id, list_reduce(l, lambda a, b: case when (not a.e and b.e) or (a.s <> 'strong' and b.s = 'strong') then b else a end) k from g) select product_id, attribute_id, k.e explicit_fact_hit, k.s mention_strength, k.p polarity, k.t evidence_span from k",
+    "salvage_json": "select event_id, (event_id % 4)::int kind, case when event_id % 4 = 3 then '[' || props || ', ' || props || ']' else props end parsed from events",
     "best_cue": f"with {_IV}, b as (select *, row_number() over (partition by doc_id, k order by overlap desc, idx) rn from ov) select doc_id, k::int k, idx::int idx, overlap from b where rn = 1",
     "chunk_ranges": f"with recursive {_CUE}, w as (select doc_id, idx, char_start a, char_end z, 0 chunk from cues where idx = 0 union all select c.doc_id, c.idx, case when w.z > w.a and c.char_end - w.a > 400 then c.char_start else w.a end, c.char_end, case when w.z > w.a and c.char_end - w.a > 400 then w.chunk + 1 else w.chunk end from w join cues c on c.doc_id = w.doc_id and c.idx = w.idx + 1) select doc_id, chunk, min(a) as first, max(z) as last from w group by 1, 2 having max(z) > min(a)",
     "claim_family_pairs": f"with recursive {_FAM} select a, b from p",
