@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodeweave.functions import looks
+from lodeweave.operators.assign import share_out
 from lodeweave.operators.components import components
 from lodeweave.session import cut
 
@@ -40,34 +41,6 @@ def groups(records: DataFrame) -> DataFrame:
     return pairs.select("product_id").distinct().join(of, "product_id", "left").select("product_id", F.coalesce("component", F.concat(F.lit("p:"), "product_id")).alias("group"))
 
 
-def share_out(sizes: dict[int, int], targets: dict[str, float] = TARGETS) -> dict[int, dict[str, int]]:
-    """Groups of each size that greedy largest-first assignment gives to each split.
-
-    Exact: the m groups of size s fill the m largest of the deficits d, d - s, d - 2 s, ... of
-    all splits; ties go to the split named first. Deficits are whole numbers of records times 10000.
-    """
-    total = sum(s * n for s, n in sizes.items())
-    deficit = {k: round(v * 10_000) * total for k, v in targets.items()}
-    out = {}
-    for s in sorted(sizes, reverse=True):
-        step, m = s * 10_000, sizes[s]
-        above = lambda x: {k: max(0, -((x - d) // step)) if d > x else 0 for k, d in deficit.items()}  # noqa: B023, E731  values of each split above x
-        low, high = min(deficit.values()) - step * (m + 1), max(deficit.values())
-        while low < high:  # least x with at most m values above it
-            mid = (low + high) // 2
-            if sum(above(mid).values()) <= m:
-                high = mid
-            else:
-                low = mid + 1
-        given = above(low)
-        for k, d in deficit.items():
-            if sum(given.values()) < m and d >= low and (d - low) % step == 0:
-                given[k] += 1
-        deficit = {k: d - step * given[k] for k, d in deficit.items()}
-        out[s] = given
-    return out
-
-
 def assigned(records: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The records with their group, its size and their split.
 
