@@ -76,8 +76,15 @@ def balanced_splits(rows: DataFrame, group: str, y: str) -> DataFrame:
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         have = {k: [0, 0] for k in SHARES}
-        part = lambda k, n, p: ((have[k][0] + n - goal[k][0]) / max(1.0, goal[k][0])) ** 2 + 2.0 * ((have[k][1] + p - goal[k][1]) / max(1.0, goal[k][1])) ** 2
-        error = lambda k, n, p: sum(part(j, n * (j == k), p * (j == k)) for j in SHARES)
+
+        def error(k: str, n: int, p: int) -> float:
+            total = 0.0  # one term after the other: equal errors must compare as equal
+            for j in SHARES:
+                a, z = have[j][0] + n * (j == k), have[j][1] + p * (j == k)
+                total += ((a - goal[j][0]) / max(1.0, goal[j][0])) ** 2
+                total += 2.0 * ((z - goal[j][1]) / max(1.0, goal[j][1])) ** 2
+            return total
+
         for frame in batches:
             chosen = []
             for n, p in zip(frame["n"].tolist(), frame["pos"].tolist()):

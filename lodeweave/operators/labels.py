@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import text as X
 from lodeweave.functions import times as T
+from lodeweave.operators.places import quantiles
 from lodeweave.session import spread
 
 
@@ -103,7 +104,8 @@ C_TRANSFORMS = ("uniform", "inverse", "binary", "count", "sqrt")
 
 def transformed_weights(rows: DataFrame, c: str = "c", n: str = "n_sources") -> DataFrame:
     """Counterfactual forms of a weight: one, reversed within its range, above the median, by count, root."""
-    stats = rows.agg(F.min(c).alias("__lo"), F.max(c).alias("__hi"), F.expr(f"percentile({c}, 0.5)").alias("__mid"), F.max(n).alias("__most"))
+    stats = rows.agg(F.min(c).alias("__lo"), F.max(c).alias("__hi"), F.max(n).alias("__most"))
+    stats = stats.join(F.broadcast(quantiles(rows, c, [0.5]).select(F.col("cut")[0].alias("__mid"))))
     x = F.col(c)
     out = {
         "c_uniform": F.lit(1.0), "c_inverse": F.col("__lo") + F.col("__hi") - x, "c_binary": F.when(x >= F.col("__mid"), 1.0).otherwise(0.05),

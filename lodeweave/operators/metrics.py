@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodeweave.operators.places import numbered, quantiles
+
 BUCKETS = 4096
 
 
@@ -37,9 +39,9 @@ def partial_pr_area(scores: DataFrame, least_recall: float = 0.7) -> DataFrame:
     """Area under the precision-recall points with recall at least that, trapezoids, over the width."""
     r = ranked(scores)
     total = r.agg(F.sum("pos").alias("n_pos"))
-    pts = r.crossJoin(F.broadcast(total)).select(((F.col("tp_above") + F.col("pos")) / F.col("n_pos")).alias("rec"), ((F.col("tp_above") + F.col("pos")) / (F.col("n_above") + F.col("n"))).alias("prec"), "p").filter(F.col("rec") >= least_recall)
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc("p"))
-    steps = pts.select((F.col("rec") - F.lag("rec").over(w)).alias("dr"), ((F.col("prec") + F.lag("prec").over(w)) / 2).alias("h"))
+    pts = numbered(r.crossJoin(F.broadcast(total)).select(((F.col("tp_above") + F.col("pos")) / F.col("n_pos")).alias("rec"), ((F.col("tp_above") + F.col("pos")) / (F.col("n_above") + F.col("n"))).alias("prec"), "p").filter(F.col("rec") >= least_recall), F.desc("p"))
+    before = pts.select((F.col("place") + 1).alias("place"), F.col("rec").alias("r0"), F.col("prec").alias("p0"))
+    steps = pts.join(before, "place").select((F.col("rec") - F.col("r0")).alias("dr"), ((F.col("prec") + F.col("p0")) / 2).alias("h"))
     return steps.agg((F.sum(F.col("dr") * F.col("h")) / (1 - least_recall)).alias("area"))
 
 
@@ -78,16 +80,16 @@ def calibration_error(scores: DataFrame, bins: int = 15) -> DataFrame:
     return t.agg((F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n")).alias("ece"))
 
 
-def threshold_sweep(scores: DataFrame, grid: list[float]) -> DataFrame:
-    """Macro F1 and MCC at each threshold, from one pass of conditional sums."""
+def threshold_sweep(scores: DataFrame, grid: list[float], *keys: str) -> DataFrame:
+    """Macro F1 and MCC at each threshold (of each key), from one pass of conditional sums."""
     pos = F.col("y") == 1
     sums = [F.struct(F.lit(t).alias("t"), F.sum(F.when((F.col("p") >= t) & pos, 1).otherwise(0)).cast("double").alias("tp"), F.sum(F.when((F.col("p") >= t) & ~pos, 1).otherwise(0)).cast("double").alias("fp")) for t in grid]
-    one = scores.agg(F.array(*sums).alias("s"), F.sum(F.when(pos, 1).otherwise(0)).cast("double").alias("P"), F.sum(F.when(~pos, 1).otherwise(0)).cast("double").alias("N"))
-    r = one.select(F.explode("s").alias("s"), "P", "N").select("s.*", "P", "N")
+    one = scores.groupBy(*keys).agg(F.array(*sums).alias("s"), F.sum(F.when(pos, 1).otherwise(0)).cast("double").alias("P"), F.sum(F.when(~pos, 1).otherwise(0)).cast("double").alias("N"))
+    r = one.select(*keys, F.explode("s").alias("s"), "P", "N").select(*keys, "s.*", "P", "N")
     tp, fp, fn, tn = F.col("tp"), F.col("fp"), F.col("P") - F.col("tp"), F.col("N") - F.col("fp")
     single = (tp + fp == 0) | (fn + tn == 0)
     mcc = F.when(single, -1.0).otherwise(_ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))))
-    return r.select("t", ((f1(tp, fp, fn) + f1(tn, fn, fp)) / 2).alias("macro_f1"), mcc.alias("mcc"))
+    return r.select(*keys, "t", ((f1(tp, fp, fn) + f1(tn, fn, fp)) / 2).alias("macro_f1"), mcc.alias("mcc"))
 
 
 def best_threshold(scores: DataFrame, grid: list[float], by: str = "macro_f1") -> DataFrame:
@@ -101,9 +103,49 @@ def alpha_sweep(scores: DataFrame, alphas: list[float]) -> DataFrame:
     return ranking_metrics(mixed, "a")
 
 
+def alpha_thresholds(scores: DataFrame, alphas: list[float], grid: list[float]) -> DataFrame:
+    """a, t, best: for each a the threshold of the highest macro F1 of a * p + (1 - a) * q, the first of equal ones."""
+    mixed = scores.select(F.explode(F.array(*map(F.lit, alphas))).alias("a"), "p", "q", "y").select("a", F.round(F.col("a") * F.col("p") + (1 - F.col("a")) * F.col("q"), 6).alias("p"), "y")
+    return threshold_sweep(mixed, grid, "a").groupBy("a").agg(F.max_by("t", F.struct(F.round("macro_f1", 9), -F.col("t"))).alias("t"), F.max("macro_f1").alias("best"))
+
+
+def temperature(scores: DataFrame, grid: list[float]) -> DataFrame:
+    """t, loss: the temperature by which logits are divided for the least mean log loss. Equal scores are counted first."""
+    clipped = lambda x: F.greatest(F.least(x, F.lit(1 - 1e-6)), F.lit(1e-6))
+    at = scores.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).withColumn("z", F.log(clipped(F.col("p")) / (1 - clipped(F.col("p")))))
+    p = clipped(1 / (1 + F.exp(-F.greatest(F.least(F.col("z") / F.col("t"), F.lit(30.0)), F.lit(-30.0)))))
+    tried = at.select("pos", "n", "z", F.explode(F.array(*map(F.lit, grid))).alias("t"))
+    losses = tried.groupBy("t").agg((F.sum(-F.col("pos") * F.log(p) - (F.col("n") - F.col("pos")) * F.log(1 - p)) / F.sum("n")).alias("loss"))
+    return losses.agg(F.min_by("t", F.struct(F.round("loss", 9), "t")).alias("t"), F.min("loss").alias("loss"))
+
+
+def evaluation_row(val: DataFrame, test: DataFrame, alphas: list[float], grid: list[float]) -> DataFrame:
+    """One row of metrics of the test scores p and of their mixture with q.
+
+    Both: p, q, y, w (weight). The threshold is the first of the highest macro F1 on the validation rows; the mixing weight
+    the first of the highest average precision there, the mixture's threshold likewise.
+    """
+    chosen = best_threshold(val, grid).select(F.col("t").alias("thr"))
+    alpha = alpha_sweep(val, alphas).agg(F.max_by("a", F.struct(F.round("ap", 9), -F.col("a"))).alias("alpha"))
+    mix = lambda rows: rows.join(F.broadcast(alpha)).select("y", "w", F.round(F.col("alpha") * F.col("p") + (1 - F.col("alpha")) * F.col("q"), 6).alias("p"))
+    chosen_mix = best_threshold(mix(val), grid).select(F.col("t").alias("thr"))
+
+    def told(rows: DataFrame, threshold: DataFrame, end: str) -> DataFrame:
+        placed = rows.join(F.broadcast(threshold)).select((F.col("p") >= F.col("thr")).cast("double").alias("p"), "y", "w")
+        plain, weighted = confusion_metrics(placed), confusion_metrics(placed, weight=F.col("w"))
+        some = plain.select(*[F.col(c).alias(f"{n}{end}") for c, n in (("acc", "acc"), ("macro_f1", "macro_f1"), ("f1", "pos_f1"))])
+        return some.join(F.broadcast(weighted.select(F.col("macro_f1").alias(f"weighted_f1{end}")))).join(F.broadcast(ranking_metrics(rows).select(F.col("ap").alias(f"ap{end}"), F.col("auroc").alias(f"auroc{end}"))))
+
+    counts = test.agg(F.count("*").alias("n_test"), F.sum("y").alias("pos_test"))
+    out = told(test, chosen, "")
+    for more in (told(mix(test), chosen_mix, "_mix"), calibration_error(test), counts, chosen, alpha):
+        out = out.join(F.broadcast(more))
+    return out
+
+
 def selective(scores: DataFrame, coverages: list[float]) -> DataFrame:
     """Accuracy of the rows whose two scores disagree least, at several coverages."""
     gap = F.round(F.abs(F.col("p") - F.col("q")), 6)
-    cuts = scores.agg(F.expr(f"percentile(round(abs(p - q), 6), array({', '.join(map(str, coverages))}))").alias("cut"))
+    cuts = quantiles(scores.select(gap.alias("gap")), "gap", coverages)
     rows = scores.crossJoin(F.broadcast(cuts)).select(F.posexplode("cut").alias("i", "cut"), gap.alias("gap"), ((F.col("p") + F.col("q")) / 2 >= 0.5).alias("hit"), (F.col("y") == 1).alias("pos"))
-    return rows.filter("gap <= cut").groupBy("i").agg(F.count("*").alias("n"), F.avg((F.col("hit") == F.col("pos")).cast("double")).alias("acc"))
+    return rows.filter("gap <= cut + 1e-12").groupBy("i").agg(F.count("*").alias("n"), F.avg((F.col("hit") == F.col("pos")).cast("double")).alias("acc"))
