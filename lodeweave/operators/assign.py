@@ -67,9 +67,10 @@ def balanced_splits(rows: DataFrame, group: str, y: str) -> DataFrame:
     the squared relative error of rows plus twice that of positives is least, the first of equal ones.
 
     The choice for a group depends on all before it, so that one task walks the groups in order;
-    it streams over two numbers a group and holds three sums. Rows with a NULL group are left out.
+    it streams over two numbers a group and holds three sums. NULL labels count as 0, rows with a NULL
+    group are left out.
     """
-    sized = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(y).cast("long").alias("pos"))
+    sized = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col(y), F.lit(0))).cast("long").alias("pos"))
     placed = numbered(sized, F.desc("n"), F.desc("pos"), group)
     sums = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pos"), F.lit(0))).first()
     goal = {k: (w * sums[0], w * sums[1]) for k, w in SHARES.items()}

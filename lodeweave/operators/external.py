@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,32 +25,41 @@ def content_key(*columns):
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
-def call_many(requests: DataFrame, client: Callable[[str], str], retries: int = 5, wait: float = 0.0) -> DataFrame:
+def call_many(requests: DataFrame, client: Callable[[str], str], retries: int = 5, wait: float = 0.0, concurrency: int = 8) -> DataFrame:
     """UD1, UD2, UD9: key, response, error of each request (key, request): a failure becomes an error row.
 
-    A call is tried up to ``retries`` times with pauses of wait * 2^n seconds, 30 at most.
+    Each task has up to ``concurrency`` calls under way and keeps their order. A call is tried up to
+    ``retries`` times with pauses of wait * 2^n seconds, 30 at most.
     """
 
+    def call(request: str) -> tuple[str | None, str | None]:
+        error = None
+        for n in range(retries):
+            try:
+                return client(request), None
+            except Exception as x:  # noqa: BLE001
+                error = f"{type(x).__name__}: {x}"
+                if wait:
+                    time.sleep(min(30.0, wait * 2**n))
+        return None, error
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            out = []
-            for key, request in zip(frame["key"], frame["request"]):
-                error = None
-                for n in range(retries):
-                    try:
-                        out.append((key, client(request), None))
-                        break
-                    except Exception as x:  # noqa: BLE001
-                        error = f"{type(x).__name__}: {x}"
-                        if wait:
-                            time.sleep(min(30.0, wait * 2**n))
-                else:
-                    out.append((key, None, error))
-            yield pd.DataFrame(out, columns=["key", "response", "error"])
+        with ThreadPoolExecutor(concurrency) as pool:
+            for frame in batches:
+                said = list(pool.map(call, frame["request"]))
+                yield pd.DataFrame({"key": frame["key"], "response": [r for r, _ in said], "error": [e for _, e in said]})
 
     return requests.select("key", "request").mapInPandas(run, "key string, response string, error string")
 
 
+def risk_scores(rows: DataFrame, client: Callable[[str], str]) -> DataFrame:
+    """UD9: key, score, decision of the model's JSON answers; a missing or unreadable score is 0.5, a decision 0; scores are kept within 0 and 1."""
+    said = call_many(rows, client)
+    answer = F.from_json("response", "score double, decision int")
+    score = F.coalesce(F.nanvl(answer["score"], F.lit(0.5)), F.lit(0.5))
+    return said.select("key", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), F.coalesce(answer["decision"], F.lit(0)).alias("decision"))
+
+
 def cached_calls(requests: DataFrame, client: Callable[[str], str], path: str) -> DataFrame:
     """Responses from the cache at the path; only requests it lacks are sent, and kept for later
     in folders by the first two characters of the key."""
@@ -73,6 +83,12 @@ def stub_judge(request: str) -> str:
     return json.dumps([{"cid": i + 1, "aligned": int(len(claim & set(t)) >= 3)} for i, t in enumerate(data["comments"])])
 
 
+def stub_risk(request: str) -> str:
+    """UD9: a risk from the request's length; every fifth answer lacks its score, every seventh is no JSON."""
+    n = len(request)
+    return "?" if n % 7 == 0 else json.dumps({"decision": n % 2} | ({} if n % 5 == 0 else {"score": n / 100}))
+
+
 @udtf(returnType="aspect string, position int")
 class Aspects:
     """UD5 to UD7: one text to many rows, a named aspect and where it stands."""

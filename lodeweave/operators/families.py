@@ -11,34 +11,75 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import text as X
 from lodeweave.operators.components import components
+from lodeweave.session import cut
 
 
-def containment_pairs(claims: DataFrame, within: list[str], least: int = 5) -> DataFrame:
-    """a, b (ids, a < b) of rows of one block whose compact texts contain each other, both of ``least`` characters."""
+def _classes(claims: DataFrame, within: list[str], least: int) -> DataFrame:
+    """id, within, t and the class (least id) of rows of one block with the same compact text of ``least`` characters or more."""
     t = claims.select("id", *within, X.compact(F.col("text")).alias("t")).filter(F.length("t") >= least)
-    x, y = t.select(F.col("id").alias("a"), *within, F.col("t").alias("ta")), t.select(F.col("id").alias("b"), *within, F.col("t").alias("tb"))
-    return x.join(y, within).filter("a < b and (contains(ta, tb) or contains(tb, ta))").select("a", "b")
+    return t.join(t.groupBy(*within, "t").agg(F.min("id").alias("class")), [*within, "t"])
+
+
+def containment_pairs(claims: DataFrame, within: list[str], least: int = 5) -> DataFrame:
+    """a, b (a < b) of classes of equal compact texts of one block (named by their least id), one text containing the other.
+
+    Both texts have ``least`` characters or more. The first ``least`` characters of the shorter text must be
+    a run of the longer one: texts are joined on block and run, not with all of their block. Rows with
+    a NULL text or block are left out; repeated rows are one class.
+    """
+    t = _classes(claims, within, least).filter("id = class").select(F.col("class").alias("c"), *within, "t")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - least + 1), lambda i: F.substring(F.col("t"), i, F.lit(least))))
+    long = t.select(F.col("c").alias("y"), *within, F.explode(runs).alias("run"))
+    short = t.select(F.col("c").alias("x"), *within, F.substring("t", 1, least).alias("run"))
+    met = short.join(long, [*within, "run"]).filter("x <> y").select("x", "y")
+    texts = t.select("c", "t")
+    full = met.join(texts.select(F.col("c").alias("x"), F.col("t").alias("tx")), "x").join(texts.select(F.col("c").alias("y"), F.col("t").alias("ty")), "y")
+    return full.filter("contains(ty, tx)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def claim_families(claims: DataFrame, within: list[str]) -> DataFrame:
-    """id, family (least id), size of the connected families with more than one row."""
-    pairs = containment_pairs(claims, within)
-    padded = pairs.select(F.lpad(F.col("a").cast("string"), 20, "0").alias("a"), F.lpad(F.col("b").cast("string"), 20, "0").alias("b"))
-    rows = components(padded).select(F.col("node").cast("long").alias("id"), F.col("component").cast("long").alias("family"))
-    return rows.join(rows.groupBy("family").agg(F.count("*").alias("size")), "family").select("id", "family", "size")
+def claim_families(claims: DataFrame, within: list[str], least: int = 5) -> DataFrame:
+    """id, family (least id), size of the connected families with more than one row; equal texts of a block are one family."""
+    known = cut(_classes(claims, within, least).select("id", "class"))
+    name = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    pairs = containment_pairs(claims, within, least).select(name("a").alias("a"), name("b").alias("b"))
+    tied = components(pairs).select(F.col("node").cast("long").alias("class"), F.col("component").cast("long").alias("component"))
+    rows = known.join(tied, "class", "left").select("id", F.coalesce("component", "class").alias("family"))
+    return rows.join(rows.groupBy("family").agg(F.count("*").alias("size")).filter("size > 1"), "family").select("id", "family", "size")
+
+
+# Names of attributes that say nothing particular.
+GENERIC = ("描述", "描述相符", "商品描述", "广告宣传", "宣传", "产品", "商品", "商品属性", "属性", "属性名", "客观属性名词短语")
+
+
+def kept_claims(families: DataFrame, facts: DataFrame) -> DataFrame:
+    """id, family, conflict, kept, demoted of the members of families.
+
+    ``facts``: id, attribute, n_sources, n_aligned, y, pair_id. The kept row of a family is that of the
+    highest score: no generic attribute, most sources, most aligned reviews, label 1, longest attribute,
+    last pair id, last id. Where labels conflict all rows are demoted, else all but the kept one. NULLs count as 0 or empty.
+    """
+    name = F.regexp_replace(X.clean(F.col("attribute")), "^[<>]+|[<>]+$", "")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = families.join(facts, "id").withColumn("score", F.struct((~name.isin(*GENERIC)).cast("int"), zero("n_sources"), zero("n_aligned"), (zero("y") == 1).cast("int"), F.length(name), X.clean(F.col("pair_id")), F.col("id")))
+    best = rows.groupBy("family").agg(F.max_by("id", "score").alias("kept"), (F.min(zero("y")) < F.max(zero("y"))).alias("conflict"))
+    return rows.join(best, "family").select("id", "family", "conflict", "kept", (F.col("conflict") | (F.col("id") != F.col("kept"))).alias("demoted"))
 
 
-def alias_matches(keys: DataFrame, schema: DataFrame) -> DataFrame:
+def alias_matches(keys: DataFrame, schema: DataFrame, most: int = 20_000) -> DataFrame:
     """attribute_id, param_key: the matching forms are equal or one contains the other.
 
-    ``schema`` (attribute_id, name) is a fixed table of names, checked to be small, and is
-    broadcast; ``keys`` has the distinct parameter keys.
+    ``schema`` (attribute_id, name) is broadcast while it has at most ``most`` names; a larger one is
+    joined on the first character of the form that is contained. ``keys`` has the distinct keys.
     """
     names = schema.select("attribute_id", X.normalized(F.col("name")).alias("p")).filter("p <> ''").distinct()
-    if names.count() > 20_000:
-        raise ValueError("the schema has too many names for a nested loop")
     k = keys.select("param_key", X.normalized(F.col("param_key")).alias("k")).filter("k <> ''")
-    return k.join(F.broadcast(names), F.expr("k = p or contains(k, p) or contains(p, k)")).select("attribute_id", "param_key").distinct()
+    fits = F.expr("k = p or contains(k, p) or contains(p, k)")
+    if names.limit(most + 1).count() <= most:
+        return k.join(F.broadcast(names), fits).select("attribute_id", "param_key").distinct()
+    every = lambda c: F.explode(X.characters(F.col(c)))
+    inner = k.withColumn("c", every("k")).join(names.withColumn("c", F.substring("p", 1, 1)), "c").filter("contains(k, p)")
+    outer = k.withColumn("c", F.substring("k", 1, 1)).join(names.withColumn("c", every("p")), "c").filter("contains(p, k)")
+    return inner.unionByName(outer).select("attribute_id", "param_key").distinct()
 
 
 def greedy_representatives(phrases: DataFrame, by: str, over: float = 0.8) -> DataFrame:

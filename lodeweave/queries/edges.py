@@ -9,7 +9,9 @@ from lodeweave.operators import external as X
 from lodeweave.operators import metrics as M
 from lodeweave.operators import models as ML
 from lodeweave.session import shared_folder, table
+from lodeweave.sources import files as FS
 from lodeweave.sources import records as R
+from lodeweave.sources import reports as RP
 from lodeweave.streaming import events as S
 
 
@@ -38,6 +40,86 @@ def incremental_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.countDistinct("product_id").alias("products"))
 
 
+def resumed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S16, ST2: products that a job log with bad lines does not have yet."""
+    path = shared_folder(spark, "log")
+    p = table(spark, sf_dir, "products").select("product_id").distinct()
+    done = p.filter(F.length("product_id") + F.col("product_id").cast("decimal(20,0)") % 3 >= 20)
+    done.select(F.to_json(F.struct("product_id")).alias("value")).unionByName(done.select(F.concat(F.lit("{bad "), "product_id").alias("value"))).write.text(path)
+    left = p.join(R.done_keys(spark, path, "product_id"), "product_id", "left_anti")
+    return left.agg(F.count("*").alias("n_left"), F.min("product_id").alias("first"), F.max("product_id").alias("last"))
+
+
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document over several lines put in place at once and read back; a missing one is an empty table."""
+    path = shared_folder(spark, "summary") + ".json"
+    counts = table(spark, sf_dir, "category_schema").groupBy("category").agg(F.count("*").alias("n")).collect()  # a fixed table
+    RP.write_document(spark, path, {"old": True})
+    RP.write_document(spark, path, {"categories": [{"category": r[0], "n": r[1]} for r in sorted(counts)]})
+    schema = "categories array<struct<category: string, n: bigint>>"
+    both = R.read_document(spark, path, schema).unionByName(R.read_document(spark, path + ".none", schema))
+    return both.select(F.explode("categories").alias("c")).select("c.*")
+
+
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result files of a glob with the key that their name holds."""
+    path = shared_folder(spark, "results")
+    s = table(spark, sf_dir, "samples").select("sample_id", "y", "c")
+    for seed in (0, 1, 2):
+        s.filter(F.col("sample_id") % 3 == seed).write.parquet(f"{path}/xdom_seed{seed}.parquet")
+    rows = R.read_results(spark, f"{path}/xdom_seed*.parquet", r"xdom_seed(\d+)\.parquet")
+    return rows.groupBy("file_key").agg(F.count("*").alias("n"), F.count("y").alias("labelled"))
+
+
+def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written as Markdown and read as its lines."""
+    path = shared_folder(spark, "report") + ".md"
+    t = table(spark, sf_dir, "samples").groupBy("confidence").agg(F.count("*").alias("n"), F.sum("y").alias("positive"))
+    RP.write_text(spark, path, RP.markdown(t, ["confidence"]))
+    return spark.read.text(path).filter("value <> ''").select(F.col("value").alias("line"))
+
+
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in the lines of a job's output that begin with a mark."""
+    path = shared_folder(spark, "stdout")
+    s = table(spark, sf_dir, "samples").filter("y is not null")
+    line = F.concat(F.lit("RESULT "), F.to_json(F.struct("sample_id", "y")))
+    s.select(F.explode(F.array(F.lit("epoch 1"), line, F.concat(F.lit(" "), line))).alias("value")).write.text(path)
+    return R.read_marked(spark, path, "sample_id long, y int").groupBy("y").agg(F.count("*").alias("n"), F.sum("sample_id").alias("id_sum"))
+
+
+def review_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews exported as HTML tables and read back: trimmed, empty ones dropped, polarity of the sentiment."""
+    path = shared_folder(spark, "sheets")
+    m = table(spark, sf_dir, "mentions").select("review_id", "review_text", "review_time", "review_polarity", "product_id").distinct()
+    mood = F.when(F.col("review_polarity") == "pos", "好评").when(F.col("review_polarity") == "neg", " 差评 ").otherwise("无")
+    FS.write_review_sheets(m.select(F.concat(F.lit(" "), F.coalesce("review_text", F.lit(""))).alias("text"), F.col("review_time").alias("time"), mood.alias("sentiment"), F.col("product_id").alias("shop")), path)
+    rows = FS.read_review_sheets(spark, f"{path}/part-*")
+    return rows.groupBy("shop", "polarity").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.count(F.nullif("time", F.lit(""))).alias("timed"))
+
+
+def slim_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slimmed copy of the samples with the bytes before and after."""
+    path = shared_folder(spark, "slim")
+    sizes = RP.slimmed(spark, f"{sf_dir}/samples.parquet", path, ["sample_id", "pair_id", "y", "c"])
+    rows = spark.read.parquet(path)
+    return rows.agg(F.count("*").alias("n"), F.count("y").alias("labelled")).withColumn("n_columns", F.lit(len(rows.columns))).withColumn("smaller", F.lit(sizes["after"] < sizes["before"]))
+
+
+def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data URLs of image files; what is no image is passed on with the type of its name."""
+    path = shared_folder(spark, "images")
+    for name in ("a.png", "b.webp", "c.jpg"):
+        RP.write_bytes(spark, f"{path}/{name}", f"no image {name}".encode())
+    return RP.data_urls(spark.read.format("binaryFile").load(path).select("path", "content")).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "url")
+
+
+def risk_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD9, M18: risk scores of the passages by an injected model; missing scores are 0.5, missing decisions 0."""
+    s = table(spark, sf_dir, "samples").select(F.col("sample_id").cast("string").alias("key"), F.coalesce("claim.passage", F.lit("")).alias("request"))
+    return X.risk_scores(s, X.stub_risk).select(F.col("key").cast("long").alias("sample_id"), "score", "decision")
+
+
 def external_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UD1 to UD4, S23: review texts classified by an injected client through the cache."""
     texts = table(spark, sf_dir, "mentions").select(F.col("review_text").alias("request")).filter("request is not null").distinct()
@@ -90,7 +172,7 @@ def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ML.out_of_fold(ML.features(s, "text"), "product").groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
 
 
-QUERIES = {f.__name__: f for f in (json_lines, partitioned_output, incremental_output, external_calls, aspect_rows, alignment_vectors, stream_bursts, stream_enriched, linear_baselines, out_of_fold_scores)}
+QUERIES = {f.__name__: f for f in (json_lines, partitioned_output, incremental_output, resumed_jobs, json_document, result_files, markdown_report, marked_lines, review_sheets, slim_copy, image_urls, risk_answers, external_calls, aspect_rows, alignment_vectors, stream_bursts, stream_enriched, linear_baselines, out_of_fold_scores)}
 _WORDS = "case when regexp_matches(review_text, '偏大|偏小|尺码') then 'size' when regexp_matches(review_text, '客服|物流|快递') then 'service' when regexp_matches(review_text, '起球|开了口|坏了') then 'quality' else 'other' end"
 _POS = lambda ws: "coalesce(" + ", ".join(f"nullif(instr(review_text, '{w}'), 0)" for w in ws) + ") - 1"
 _ASPECTS = [("size", ("偏大", "偏小", "尺码")), ("service", ("客服", "物流")), ("smell", ("味道", "异味")), ("price", ("块", "性价比"))]
@@ -98,6 +180,15 @@ SQL = {
     "json_lines": "select polarity, explicit_fact_hit, count(*) n, count(attribute_id) with_attribute from mentions group by 1, 2",
     "partitioned_output": "select category, count(*) n, count(distinct product_id) products from clips where category in ('食品', '美妆') group by 1",
     "incremental_output": "select count(distinct product_id) n, count(distinct product_id) products from products",
+    "resumed_jobs": "select count(*) n_left, min(product_id) first, max(product_id) last from (select distinct product_id from products where length(product_id) + product_id::hugeint % 3 < 20)".replace(" first", ' "first"').replace(" last ", ' "last" '),
+    "json_document": "select category, count(*) n from category_schema group by 1",
+    "result_files": "select (sample_id % 3)::varchar file_key, count(*) n, count(y) labelled from samples group by 1",
+    "markdown_report": "select '| confidence | n | positive |' line union all select '|---|---|---|' union all select '| ' || confidence || ' | ' || count(*) || ' | ' || sum(y) || ' |' from samples group by confidence",
+    "marked_lines": "select y, count(*) n, sum(sample_id)::bigint id_sum from samples where y is not null group by 1",
+    "review_sheets": "with m as (select distinct review_id, review_text, review_time, review_polarity, product_id from mentions), t as (select *, trim(replace(review_text, chr(10), ' '), ' ') t from m) select product_id shop, case review_polarity when 'pos' then 'pos' when 'neg' then 'neg' else 'neu' end polarity, count(*) n, sum(length(t))::bigint chars, count(nullif(trim(review_time, ' '), '')) timed from t where t <> '' group by 1, 2",
+    "slim_copy": "select count(*) n, count(y) labelled, 4 n_columns, true smaller from samples",
+    "image_urls": "select name, 'data:' || kind || ';base64,' || to_base64(('no image ' || name)::blob) url from (values ('a.png', 'image/png'), ('b.webp', 'image/webp'), ('c.jpg', 'image/jpeg')) t(name, kind)",
+    "risk_answers": "with r as (select sample_id, length(coalesce(claim.passage, '')) n from samples) select sample_id, case when n % 7 = 0 or n % 5 = 0 then 0.5 else least(1.0, n / 100) end::double score, case when n % 7 = 0 then 0 else n % 2 end::int decision from r",
     "external_calls": f"select {_WORDS} response, count(*) n from (select distinct review_text from mentions where review_text is not null) group by 1",
     "aspect_rows": "with t as (select distinct review_id, review_text from mentions) " + " union all ".join(f"select review_id, '{a}' aspect, ({_POS(ws)})::int as position from t where {_POS(ws)} is not null".replace("as position", 'as "position"') for a, ws in _ASPECTS),
     "alignment_vectors": "with s as (select sample_id, claim.passage p, unnest(reviews) r from samples where claim.passage <> '' and len(reviews) > 0) select sample_id, sum((len(list_intersect(list_distinct(string_split(p, '')), list_distinct(string_split(coalesce(r.text, ''), '')))) >= 3)::int)::bigint n_aligned, count(*) n from s group by 1",

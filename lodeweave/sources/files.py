@@ -1,4 +1,4 @@
-"""Subtitle files, and review sheets exported as HTML tables or spreadsheets."""
+"""Subtitle files, and review sheets exported as HTML tables or spreadsheets; all read by Spark's binary file source."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Columns of a review sheet, and polarity by sentiment.
 COLUMNS = ("评论内容", "评论时间", "评论情感", "来自商品", "来源小店", "商品链接")
@@ -81,65 +80,72 @@ class _Table(HTMLParser):
 
 
 def sheet_rows(raw: bytes) -> list[dict[str, str]]:
-    """Rows of a sheet by column name: a spreadsheet if a reader for it is installed, else an HTML table."""
-    try:
+    """Rows of a sheet by column name: a spreadsheet by its first bytes, else an HTML table.
+
+    An empty file has no rows. A spreadsheet that can't be read, or a file without any table, is an error.
+    """
+    if not raw.strip():
+        return []
+    if raw[:4] in (b"PK\x03\x04", b"\xd0\xcf\x11\xe0"):
         import pandas as pd
 
         frame = pd.read_excel(io.BytesIO(raw), dtype=str).fillna("")
         return [{str(k).strip(): v for k, v in r.items()} for r in frame.to_dict("records")]
-    except Exception:  # noqa: BLE001  no reader, or no spreadsheet
-        table = _Table()
-        table.feed(decoded(raw))
-        if not table.rows:
-            return []
-        head = [c.strip() for c in table.rows[0]]
-        return [dict(zip(head, r)) for r in table.rows[1:]]
+    table = _Table()
+    table.feed(decoded(raw))
+    if not table.tables:
+        raise ValueError("neither a spreadsheet nor an HTML table")
+    head = [c.strip() for c in table.rows[0]] if table.rows else []
+    return [dict(zip(head, r)) for r in table.rows[1:]]
 
 
-class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+SHEET = "comment_id string, text string, time string, sentiment string, polarity string, shop string, error string"
 
 
-class ReviewSheets(DataSource):
-    """``spark.read.format("review_sheets").load(glob)``: reviews of exported sheets.
+def read_review_sheets(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Reviews of the exported sheets of a glob, on whatever file system it names.
 
     comment_id is the file's stem and the row's number, counted before rows without a text are
-    dropped; an unknown sentiment is neutral. One partition per file.
+    dropped; an unknown sentiment is neutral. A sheet that can't be read raises, or is a row with
+    the error if not strict.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "review_sheets"
-
-    def schema(self) -> str:
-        return "comment_id string, text string, time string, sentiment string, polarity string, shop string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for place, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                stem = place.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                try:
+                    sheet = sheet_rows(raw)
+                except Exception as x:  # noqa: BLE001  whatever the reader of spreadsheets raises
+                    if strict:
+                        raise ValueError(f"{place}: {x}") from x
+                    rows.append((stem, None, None, None, None, None, f"{type(x).__name__}: {x}"))
+                    continue
+                for i, row in enumerate(sheet):
+                    text, mood = row.get(COLUMNS[0], "").strip(), row.get(COLUMNS[2], "").strip()
+                    if text:
+                        rows.append((f"{stem}#{i}", text, row.get(COLUMNS[1], "").strip(), mood, POLARITY.get(mood, "neu"), row.get(COLUMNS[4], "").strip(), None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=[c.split()[0] for c in SHEET.split(", ")])
 
-    def partitions(self) -> list[_Part]:
-        import glob
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, SHEET)
 
-        return [_Part(p) for p in sorted(glob.glob(self.path.removeprefix("file://").removeprefix("file:")))]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        from pathlib import Path
+def write_review_sheets(reviews: DataFrame, path: str) -> None:
+    """The counterpart of ``read_review_sheets``: text, time, sentiment and shop as HTML tables, one file for each partition."""
 
-        path = Path(partition.path)
-        for i, row in enumerate(sheet_rows(path.read_bytes())):
-            text, mood = row.get(COLUMNS[0], "").strip(), row.get(COLUMNS[2], "").strip()
-            if text:
-                yield (f"{path.stem}#{i}", text, row.get(COLUMNS[1], "").strip(), mood, POLARITY.get(mood, "neu"), row.get(COLUMNS[4], "").strip())
+    def page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from html import escape
 
+        cells = lambda tag, xs: "<tr>" + "".join(f"<{tag}>{escape(x or '')}</{tag}>" for x in xs) + "</tr>"
+        yield pa.RecordBatch.from_arrays([pa.array(["<table>" + cells("th", COLUMNS)])], names=["value"])
+        for b in batches:
+            lines = [cells("td", (text, when, mood, "", shop, "")).replace("\n", " ") for text, when, mood, shop in zip(*(b.column(i).to_pylist() for i in range(4)))]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["</table>"])], names=["value"])
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(ReviewSheets)
+    reviews.select("text", "time", "sentiment", "shop").mapInArrow(page, "value string").write.mode("overwrite").text(path)
 
 
 def review_polarity(sentiment):

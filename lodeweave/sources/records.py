@@ -65,3 +65,8 @@ def read_marked(spark: SparkSession, path: str, schema: str, mark: str = "RESULT
     """JSON objects of the log lines that begin with a mark."""
     lines = spark.read.text(path).filter(F.col("value").startswith(mark))
     return lines.select(F.from_json(F.substring(F.col("value"), len(mark) + 1, 1 << 30), schema).alias("r")).select("r.*")
+
+
+def done_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The keys of a result log of JSON lines, bad lines ignored; a missing log has none."""
+    return read_records(spark, path, f"{key} string", strict=False).filter(F.col(key).isNotNull()).distinct()

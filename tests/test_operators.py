@@ -1,6 +1,5 @@
 """Core operators against brute force."""
 
-import itertools
 import json
 import random
 
@@ -8,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweave.operators import assign, components, external, families, labels, metrics, ordered, ranges, retrieval
+from lodeweave.operators import assign, components, external, families, labels, metrics, ordered, places, ranges, retrieval
+from lodeweave.session import table
 from lodeweave.sources import files, records
 
 
@@ -99,19 +99,58 @@ def test_fold_may_lose_explicitness(spark):
 
 
 def test_balanced_splits_follow_the_greedy_rule(spark):
+    """Group by group, NULL labels as 0, rows without a group left out."""
     rng = random.Random(7)
-    rows = [(f"r{g:02}", int(rng.random() < 0.3)) for g in range(25) for _ in range(rng.choice([1, 2, 2, 5, 9]))]
-    got = {r.g: r.split for r in assign.balanced_splits(spark.createDataFrame([*rows, (None, 1), ("r00", None)], "g string, y int"), "g", "y").collect()}
-    sizes = {g: (sum(1 for x, _ in rows if x == g), sum(y for x, y in rows if x == g)) for g, _ in rows}
-    total, pos = len(rows), sum(y for _, y in rows)
-    have = {k: [0, 0] for k, _ in assign.SHARES}
+    rows = [(f"r{g:02}", rng.choice([1, 0, 0, None])) for g in range(25) for _ in range(rng.choice([1, 2, 2, 5, 9]))]
+    got = {r.g: r.split for r in assign.balanced_splits(spark.createDataFrame([*rows, (None, 1)], "g string, y int"), "g", "y").collect()}
+    sizes = {g: (sum(1 for x, _ in rows if x == g), sum(y or 0 for x, y in rows if x == g)) for g, _ in rows}
+    total, pos = len(rows), sum(y or 0 for _, y in rows)
+    have, want = {k: [0, 0] for k in assign.SHARES}, {}
     for g, (n, p) in sorted(sizes.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
-        err = lambda k: sum(((have[s][0] + n * (s == k) - q * total) / max(1, q * total)) ** 2 + 2 * ((have[s][1] + p * (s == k) - q * pos) / max(1, q * pos)) ** 2 for s, q in assign.SHARES)  # noqa: B023, E731
-        k = min(have, key=err)
-        have[k][0] += n
-        have[k][1] += p
-    count = lambda split: sorted(sizes[g] for g, s in got.items() if s == split)
-    assert {s: sum(n for n, _ in count(s)) for s in have} == {s: v[0] for s, v in have.items()}
+        err = lambda k: sum(((have[s][0] + n * (s == k) - q * total) / max(1, q * total)) ** 2 + 2 * ((have[s][1] + p * (s == k) - q * pos) / max(1, q * pos)) ** 2 for s, q in assign.SHARES.items())  # noqa: B023, E731
+        want[g] = min(have, key=err)
+        have[want[g]][0] += n
+        have[want[g]][1] += p
+    assert got == want
+
+
+def test_places_and_quantiles(spark):
+    rng = random.Random(3)
+    values = [rng.choice([None, rng.randrange(9), rng.random()]) for _ in range(400)]
+    df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "id int, v double").repartition(7)
+    got = places.numbered(df, F.desc_nulls_last("v"), "id").collect()
+    want = sorted(range(400), key=lambda i: (values[i] is None, -(values[i] or 0), i))
+    assert {r.id: r.place for r in got} == {i: k for k, i in enumerate(want, 1)}
+    known = [v for v in values if v is not None]
+    assert places.quantiles(df, "v", [0.0, 0.25, 0.5, 0.83, 1.0]).first().cut == pytest.approx(np.quantile(known, [0.0, 0.25, 0.5, 0.83, 1.0]).tolist())
+    assert places.numbered(df.filter("id < 0"), "id").count() == 0 and places.quantiles(df.filter("id < 0"), "v", [0.5]).first().cut in (None, [])
+    assert places.quantiles(df.filter("v is not null").limit(1), "v", [0.3]).count() == 1
+
+
+@pytest.mark.parametrize("query_rows, library_rows, strip", [(20_000, 100_000, 1000), (3, 7, 2)])
+def test_cells_lose_nothing(spark, monkeypatch, query_rows, library_rows, strip):
+    """Neighbours, threshold pairs and sums are the same however queries and library are cut."""
+    for name, n in (("QUERY_ROWS", query_rows), ("LIBRARY_ROWS", library_rows), ("STRIP", strip)):
+        monkeypatch.setattr(retrieval, name, n)
+    rng = np.random.default_rng(4)
+    m, other = rng.normal(size=(60, 6)), rng.normal(size=(60, 6))
+    df = spark.createDataFrame([(i, m[i].tolist(), other[i].tolist(), "a" if i % 4 else None, str(i % 3)) for i in range(60)], "id long, embedding array<double>, second array<double>, block string, kind string").repartition(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    s, t = np.round(unit(m) @ unit(m).T, 6), np.round(unit(other) @ unit(other).T, 6)
+    asked = df.filter("id < 20")
+    far = {(r.query_id, r["rank"]): r.id for r in retrieval.nearest(asked, df, 3, hardest=True).collect()}
+    mark = {(r.query_id, r["rank"]): r.id for r in retrieval.nearest(asked, df, 3, bonus=0.5, mark="kind").collect()}
+    inside = {(r.query_id, r.id) for r in retrieval.nearest(asked, df, 100, within="block").collect()}
+    for q in range(20):
+        rest = [j for j in range(60) if j != q]
+        assert [far[q, k + 1] for k in range(3)] == sorted(rest, key=lambda j: (s[q, j], j))[:3]
+        assert [mark[q, k + 1] for k in range(3)] == sorted(rest, key=lambda j: (-(s[q, j] + 0.5 * (j % 3 == q % 3)), j))[:3]
+    assert inside == {(q, j) for q in range(20) for j in range(60) if q != j and q % 4 and j % 4}
+    pairs = retrieval.pairs_where(asked, df, ["embedding", "second"], lambda x: (x[0] >= 0.2) & (x[1] < 0.1))
+    assert {(r.query_id, r.id) for r in pairs.collect()} == {(q, j) for q in range(20) for j in range(60) if q != j and s[q, j] >= 0.2 and t[q, j] < 0.1}
+    sums = {r.query_id: r.total for r in retrieval.kernel_sums(asked, df, np.exp).collect()}
+    assert sums == pytest.approx({q: sum(np.exp((unit(m) @ unit(m).T)[q, j]) for j in range(60) if j != q) for q in range(20)})
+    assert retrieval.nearest(asked.filter("id < 0"), df, 3).count() == 0 and retrieval.nearest(asked, df.filter("id < 0"), 3).count() == 0
 
 
 def test_label_edges(spark):
@@ -168,9 +207,15 @@ def test_subtitles_and_sheets(spark, tmp_path):
     got = [(r.idx, r.start_ts, r.text) for r in files.read_subtitles(spark, str(tmp_path / "*.srt")).orderBy("idx").collect()]
     assert got == [(0, "00:00:01,000", "你好 世界"), (1, "00:00:03.000", "再见")]
     (tmp_path / "s.xls").write_text("<table><tr><th>评论内容</th><th>评论情感</th></tr><tr><td> 好 </td><td>好评</td></tr><tr><td></td><td>差评</td></tr><tr><td>行</td><td>?</td></tr></table>")
-    files.register(spark)
-    rows = spark.read.format("review_sheets").load(str(tmp_path / "*.xls")).collect()
+    rows = files.read_review_sheets(spark, str(tmp_path / "s.xls")).collect()
     assert [(r.comment_id, r.text, r.polarity) for r in rows] == [("s#0", "好", "pos"), ("s#2", "行", "neu")]
+    (tmp_path / "empty.xls").write_bytes(b"")
+    (tmp_path / "bad.xls").write_bytes(b"PK\x03\x04 no workbook")
+    (tmp_path / "none.xls").write_bytes(b"no table")
+    told = {r.comment_id: r.error for r in files.read_review_sheets(spark, str(tmp_path / "*.xls"), strict=False).filter("error is not null").collect()}
+    assert set(told) == {"bad", "none"}
+    with pytest.raises(Exception, match="neither a spreadsheet nor an HTML table"):
+        files.read_review_sheets(spark, str(tmp_path / "none.xls")).collect()
 
 
 def test_append_once(spark, tmp_path):
@@ -182,10 +227,36 @@ def test_append_once(spark, tmp_path):
 
 
 def test_pairs_of_containment(spark):
-    rows = [(1, "p", "abcdef"), (2, "p", "xabcdefx"), (3, "p", "abc"), (4, "q", "abcdef"), (5, "p", None)]
+    rows = [(1, "p", "abcdef"), (2, "p", "xabcdefx"), (3, "p", "abc"), (4, "q", "abcdef"), (5, "p", None), (6, "p", "ABC def"), (7, None, "abcdef"), (8, "p", "bcdefx"), (9, "r", "zzzzzz"), (10, "r", "zzzzz")]
     df = spark.createDataFrame(rows, "id long, product string, text string")
-    assert [(r.a, r.b) for r in families.containment_pairs(df, ["product"]).collect()] == [(1, 2)]
-    assert list(itertools.chain(*[(r.family, r.size) for r in families.claim_families(df, ["product"]).collect()])) == [1, 2, 1, 2]
+    assert sorted((r.a, r.b) for r in families.containment_pairs(df, ["product"]).collect()) == [(1, 2), (2, 8), (9, 10)]
+    assert {r.id: (r.family, r.size) for r in families.claim_families(df, ["product"]).collect()} == {1: (1, 4), 2: (1, 4), 6: (1, 4), 8: (1, 4), 9: (9, 2), 10: (9, 2)}
+    none = df.filter("id < 0")
+    assert families.containment_pairs(none, ["product"]).count() == 0 and families.claim_families(none, ["product"]).count() == 0
+
+
+def test_containment_against_all_pairs(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.choice("pq"), "".join(rng.choice("ab") for _ in range(rng.randrange(3, 14)))) for i in range(120)]
+    first = {}
+    for i, p, t in rows:
+        first.setdefault((p, t), i)
+    want = {(min(i, j), max(i, j)) for (p, t), i in first.items() for (q, u), j in first.items() if p == q and t != u and len(t) >= 5 and t in u}
+    assert {(r.a, r.b) for r in families.containment_pairs(spark.createDataFrame(rows, "id long, product string, text string"), ["product"]).collect()} == want
+
+
+def test_kept_claims(spark):
+    f = spark.createDataFrame([(i, fam, 2) for i, fam in ((1, 1), (2, 1), (3, 3), (4, 3))], "id long, family long, size long")
+    facts = [(1, "描述", 9, 9, 1, "z"), (2, "<材质>", 1, 0, 1, "a"), (3, "色", 1, 1, 0, "a"), (4, "色", None, 5, 1, None)]
+    got = {r.id: (r.conflict, r.kept, r.demoted) for r in families.kept_claims(f, spark.createDataFrame(facts, "id long, attribute string, n_sources int, n_aligned int, y int, pair_id string")).collect()}
+    assert got == {1: (False, 2, True), 2: (False, 2, False), 3: (True, 3, True), 4: (True, 3, True)}
+
+
+def test_many_names_are_matched_without_a_nested_loop(spark):
+    keys = spark.createDataFrame([(k,) for k in ("净含量", "含量", "颜色", "色", "ab", None, "")], "param_key string")
+    names = spark.createDataFrame([(str(i), n) for i, n in enumerate(("含量", "净 含量", "颜色分类", "b", "色", None))], "attribute_id string, name string")
+    few, many = (sorted(map(tuple, families.alias_matches(keys, names, most).collect())) for most in (100, 2))
+    assert few == many and len(few) > 5
 
 
 def test_reports(spark, tmp_path):
@@ -194,10 +265,39 @@ def test_reports(spark, tmp_path):
     df = spark.createDataFrame([(2, "a|b"), (1, None)], "k int, v string")
     assert reports.markdown(df, ["k"]).splitlines()[2:] == ["| 1 |  |", "| 2 | a\\|b |"]
     assert "More than 1 rows." in reports.markdown(df, ["k"], most=1)
-    reports.write_document(str(tmp_path / "d/x.json"), {"中": 1})
+    for value in ({"old": 1}, {"中": 1}):
+        reports.write_document(spark, str(tmp_path / "d/x.json"), value)
     assert records.read_document(spark, str(tmp_path / "d/x.json"), "`中` int").first()[0] == 1
+    assert [f.name for f in (tmp_path / "d").iterdir() if not f.name.endswith(".crc")] == ["x.json"]
     (tmp_path / "i.jpg").write_bytes(b"abc")
     assert reports.data_urls(spark.read.format("binaryFile").load(str(tmp_path / "i.jpg"))).first().url == "data:image/jpeg;base64,YWJj"
+    df.write.parquet(str(tmp_path / "t"))
+    sizes = reports.slimmed(spark, str(tmp_path / "t"), str(tmp_path / "u"), ["k"])
+    assert spark.read.parquet(str(tmp_path / "u")).columns == ["k"] and 0 < sizes["after"] < sizes["before"]
+    with pytest.raises(ValueError):
+        reports.slimmed(spark, str(tmp_path / "t"), str(tmp_path / "t"), ["k"])
+
+
+def test_calls_keep_their_order_and_run_at_once(spark):
+    import time as clock
+
+    def client(text):
+        clock.sleep(0.05)
+        return text
+
+    df = spark.createDataFrame([(str(i), f"r{i}") for i in range(40)], "key string, request string").coalesce(1)
+    began = clock.time()
+    assert [(r.key, r.response) for r in external.call_many(df, client, concurrency=20).collect()] == [(str(i), f"r{i}") for i in range(40)]
+    assert clock.time() - began < 40 * 0.05 + 5
+
+
+def test_unknown_policy_is_an_error(spark):
+    from lodeweave.plans.evidence import PLANS
+
+    sql = PLANS["policy_evidence"].sql.replace("'vlm_only', 'args_only')", "'vlm_only', 'nonsense')")
+    assert sql != PLANS["policy_evidence"].sql
+    with pytest.raises(Exception, match="unknown evidence policy: nonsense"):
+        spark.sql(sql, samples=table(spark, "/root/testdata/sf0.001", "samples")).collect()
 
 
 def test_sequential_merge(spark):
@@ -206,6 +306,7 @@ def test_sequential_merge(spark):
 
 
 def test_deficit_splits(spark):
-    rows = [(f"r{g}", 0) for g, n in enumerate([7, 2, 1]) for _ in range(n)]
-    got = {r.g: r.split for r in assign.balanced_splits(spark.createDataFrame(rows, "g string, y int"), "g", "y", deficit=True).collect()}
+    rows = [(f"r{g}",) for g, n in enumerate([7, 2, 1]) for _ in range(n)] + [(None,)]
+    got = {r.g: r.split for r in assign.deficit_splits(spark.createDataFrame(rows, "g string"), "g").collect()}
     assert got == {"r0": "train", "r1": "test", "r2": "val"}
+    assert assign.deficit_splits(spark.createDataFrame([], "g string"), "g").count() == 0
