@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from lodeweave.functions import looks
 
 # Dimension, thousandths of the common unit as numerator and denominator, spellings.
+# Temperatures also have an offset (see OFFSETS).
 UNITS = [
+    ("temperature", "1000", 1, "℃ °c 摄氏度"), ("temperature", "5000", 9, "℉ °f 华氏度"),
     ("mass", "1000", 1, "g 克 公克"), ("mass", "1000000", 1, "kg 千克 公斤"), ("mass", "1", 1, "mg 毫克"), ("mass", "0.001", 1, "μg ug mcg 微克"),
     ("mass", "500000", 1, "斤 市斤"), ("mass", "50000", 1, "两 市两"), ("mass", "453592", 1, "磅 lb lbs"), ("mass", "28349.5", 1, "盎司 oz"), ("mass", "1000000000", 1, "吨"),
     ("length", "1000", 1, "cm 厘米 公分"), ("length", "100", 1, "mm 毫米"), ("length", "100000", 1, "m 米 公尺"), ("length", "10000", 1, "dm 分米"), ("length", "0.1", 1, "μm um 微米"),
@@ -25,10 +27,12 @@ UNITS = [
     ("power", "1000", 1, "w 瓦 瓦特"), ("power", "1000000", 1, "kw 千瓦"), ("power", "1", 1, "mw 毫瓦"),
     ("time", "1000", 1, "天 日"), ("time", "7000", 1, "周 星期 个星期 礼拜 个礼拜"), ("time", "30000", 1, "月 个月 个自然月 自然月"), ("time", "365000", 1, "年"),
 ]
+# Fixed value: what is added in thousandths of the common unit after the factor.
+OFFSETS = {"℉": "-17777.7778", "°f": "-17777.7778", "华氏度": "-17777.7778"}
 #: Keys whose texts may state times; other times are no quantities.
 SHELF_LIFE = "保质期|质保期|最佳食用期"
-#: Unit of bare numbers by key, where neither text nor key names one.
-SOURCE_DEFAULTS: dict[str, str] = {}
+#: A source's default unit of a key: at least so many of its texts state a unit, this share of them the same.
+STATED, AGREED = 20, 0.9
 
 _SPELLINGS = sorted((s for *_, names in UNITS for s in names.split()), key=lambda s: (-len(s), s))
 _UNIT = "(?:" + "|".join(_SPELLINGS) + ")(?![a-wyz]|x[^0-9 ]|" + r"\s*/\s*(?:s|秒|h|min|小时|分)|每秒|每分|每小时)"
@@ -61,28 +65,45 @@ def number(s: Column) -> Column:
 
 def aliases(spark: SparkSession) -> DataFrame:
     """The alias table: unit, dimension, numerator, denominator, offset."""
-    rows = [(s, d, n, q, "0") for d, n, q, names in UNITS for s in names.split()]
+    rows = [(s, d, n, q, OFFSETS.get(s, "0")) for d, n, q, names in UNITS for s in names.split()]
     return spark.createDataFrame(rows, "unit string, dimension string, num string, den int, off string").select("unit", "dimension", F.col("num").cast("decimal(14,4)").alias("num"), "den", F.col("off").cast("decimal(14,4)").alias("off"))
 
 
+def source_defaults(read: DataFrame) -> DataFrame:
+    """source, k, du: the unit that the texts of a source and key state, where enough do and agree.
+
+    ``read``: source, k, t. The first unit after a number counts; counts go through one partial aggregation.
+    """
+    unit = F.regexp_extract("t", rf"[0-9]\s*({_UNIT})", 1)
+    told = read.select("source", "k", unit.alias("u")).filter("u <> ''").groupBy("source", "k", "u").agg(F.count("*").alias("n"))
+    best = told.groupBy("source", "k").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("u", F.struct("n", "u")).alias("du"))
+    return best.filter((F.col("all") >= STATED) & (F.col("most") >= AGREED * F.col("all"))).select("source", "k", "du")
+
+
 def quantities(params: DataFrame) -> DataFrame:
     """Every quantity of each parameter text: the key columns, dimension, amount.
 
-    ``params``: sample_id, item_no, param_key, raw_text. NULL and empty texts give no rows, a
-    NULL key names no unit; repeated rows give repeated results. amount: thousandths of the common
-    unit (g, cm, ml, W, day).
+    ``params``: sample_id, item_no, param_key, raw_text and, if there is one, source. NULL and empty
+    texts give no rows, a NULL key names no unit; repeated rows give repeated results. The unit is that of the
+    text, else that of the key, else, for a text that is nothing but numbers, the default of its source and key.
+    amount: thousandths of the common unit (g, cm, ml, W, day, degree Celsius).
     """
     spark = params.sparkSession
     text = F.regexp_replace(F.lower(looks.plain(F.col("raw_text"))), r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
     key = F.lower(looks.plain(F.coalesce("param_key", F.lit(""))))
-    read = params.select("sample_id", "item_no", text.alias("t"), key.alias("k")).filter("t <> ''")
-    read = read.select("sample_id", "item_no", "t", "k", F.regexp_extract("k", rf"[(\[/_ ]\s*({'|'.join(_SPELLINGS)})\s*[)\]]?\s*$", 1).alias("ku"))
-    defaults = F.create_map(*[F.lit(x) for kv in SOURCE_DEFAULTS.items() for x in kv]) if SOURCE_DEFAULTS else F.create_map().cast("map<string,string>")
+    source = F.coalesce("source", F.lit("")) if "source" in params.columns else F.lit("")
+    read = params.select("sample_id", "item_no", source.alias("source"), text.alias("t"), key.alias("k")).filter("t <> ''")
+    ku = F.nullif(F.regexp_extract("k", rf"[(\[/_ ]\s*({'|'.join(_SPELLINGS)})\s*[)\]]?\s*$", 1), F.lit(""))
+    # only texts that are nothing but numbers in digits (two of the Chinese ones are units too), below a key without a unit, need the default of their source
+    lacking = ku.isNull() & F.col("t").rlike(rf"^\s*[0-9.]+(?:{_SEP}[0-9.]+)*\s*$")
+    columns = ["sample_id", "item_no", "t", "k"]
+    told = read.filter(~lacking).select(*columns, ku.alias("fallback"))
+    read = told.unionByName(read.filter(lacking).join(source_defaults(read), ["source", "k"]).select(*columns, F.col("du").alias("fallback")))
     read = read.withColumn("gs", F.regexp_extract_all("t", F.lit(f"({_GROUP})"), F.lit(1)))
-    # a text without any unit: its first list of numbers takes the unit of the key or the default of the source
+    # a text without any unit but those of temperatures: its first list of numbers takes the fallback
     bare = F.regexp_extract("t", f"({_LIST})", 1)
-    fallback = F.coalesce(F.nullif("ku", F.lit("")), F.try_element_at(defaults, F.col("k")))
-    read = read.withColumn("gs", F.when(F.size("gs") > 0, F.col("gs")).when((bare != "") & fallback.isNotNull(), F.array(F.concat(bare, fallback))).otherwise(F.array()))
+    other = F.exists("gs", lambda g: ~g.rlike("℃|°c|摄氏度|℉|°f|华氏度"))
+    read = read.withColumn("gs", F.when(~other & (bare != "") & F.col("fallback").isNotNull(), F.concat("gs", F.array(F.concat(bare, F.col("fallback"))))).otherwise(F.col("gs")))
     group = read.select("sample_id", "item_no", "k", F.explode("gs").alias("g")).withColumn("head", F.regexp_extract("g", rf"^({_LIST})\s*{_UNIT}", 1))
     group = group.withColumn("unit", F.regexp_extract("g", rf"^{_LIST}\s*({_UNIT})", 1)).withColumn("rest", F.regexp_extract("g", rf"^{_LIST}\s*{_UNIT}(.*)$", 1))
     part = group.select("sample_id", "item_no", "k", "unit", F.explode(F.regexp_extract_all("head", F.lit(f"({_NUM})"), F.lit(1))).alias("n"), F.regexp_extract("rest", rf"^[零又]?({_NUM})\s*({_UNIT})$", 1).alias("n2"), F.regexp_extract("rest", rf"^[零又]?{_NUM}\s*({_UNIT})$", 1).alias("unit2"), "rest")

@@ -10,12 +10,12 @@ from lodeweave.session import table
 
 
 def _params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "samples").select("sample_id", F.posexplode("evidence_params").alias("item_no", "x")).select("sample_id", "item_no", "x.param_key", "x.raw_text")
+    return table(spark, sf_dir, "samples").select("sample_id", F.substring_index("attribute_id", "_", 1).alias("source"), F.posexplode("evidence_params").alias("item_no", "x")).select("sample_id", "source", "item_no", "x.param_key", "x.raw_text")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every quantity of the parameters in thousandths of its common unit."""
-    return quantities(_params(spark, sf_dir)).select("sample_id", "item_no", "amount").distinct()
+    """Every quantity of the parameters, temperatures aside, in thousandths of its common unit."""
+    return quantities(_params(spark, sf_dir)).filter("dimension <> 'temperature'").select("sample_id", "item_no", "amount").distinct()
 
 
 def p4_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:

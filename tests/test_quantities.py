@@ -34,3 +34,19 @@ def test_long_text_extra_columns_and_repeats(spark):
     rows = spark.createDataFrame([(1, 0, "重量", text, "x", 1), (1, 0, "重量", text, "x", 1)], "sample_id long, item_no int, param_key string, raw_text string, unit string, amount int")
     assert {tuple(r) for r in quantities(rows).select("sample_id", "item_no", "amount").distinct().collect()} == {(1, 0, 500000)}
     assert quantities(rows.limit(0)).count() == 0
+
+
+def test_source_default_of_bare_numbers(spark):
+    """Below a key without a unit, numbers alone take the unit that the source's other texts agree on; other texts don't."""
+    rows = [(i, "FOOD", "净含量", f"{i}克") for i in range(30)] + [(100, "FOOD", "净含量", "250"), (101, "FOOD", "净含量", "共3"), (102, "DIGI", "净含量", "250"), (103, "FOOD", "净含量(kg)", "2"), (104, None, None, "7"), (105, "FOOD", "净含量", "10-20")]
+    rows += [(200 + i, "FOOD", "容量", "1升" if i % 2 else "1克") for i in range(40)] + [(300, "FOOD", "容量", "9")]
+    df = spark.createDataFrame([(i, 0, s, k, t) for i, s, k, t in rows], "sample_id long, item_no int, source string, param_key string, raw_text string")
+    got = {}
+    for r in quantities(df).filter("sample_id >= 100 and sample_id < 200 or sample_id >= 300").collect():
+        got.setdefault(r.sample_id, []).append(r.amount)
+    assert {k: sorted(v) for k, v in got.items()} == {100: [250000], 103: [2000000], 105: [10000, 20000]}
+
+
+def test_temperatures_have_an_offset(spark):
+    df = spark.createDataFrame([(1, 0, "水温", "50℃"), (2, 0, "水温", "212°F"), (3, 0, "容量(ml)", "500 100℃")], "sample_id long, item_no int, param_key string, raw_text string")
+    assert sorted((r.sample_id, r.dimension, r.amount) for r in quantities(df).collect()) == [(1, "temperature", 50000), (2, "temperature", 100000), (3, "temperature", 100000), (3, "volume", 500000)]
