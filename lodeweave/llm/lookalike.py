@@ -6,10 +6,11 @@ same look in three scripts), accented letters as one code point or as letter and
 empty string with the invisible characters. Links are transitive: full-width A, Latin A, Cyrillic
 A and Greek Alpha are one class.
 
-A first scan counts the members in words of each script. The representative of a class is, among
-its plain members (no full-width form, radical, separate accent or odd space), the one seen most
-often in words of that script; outside of words it is the plain member. A second scan rewrites
-texts from the left with an Aho-Corasick automaton, the longest pattern first.
+A first scan counts the members in all texts and in words of each script. The representative of a
+class is, among its plain members (no full-width form, radical, separate accent or odd space), the one
+seen most often, within words in those of that script. A second scan rewrites texts from the left
+with Aho-Corasick automata, the longest pattern first: one for all patterns, then one of each
+script for the letters of its words.
 
 Words wholly in one script keep their letters, as do single Greek letters; emoji sequences keep
 their joiners and selectors.
@@ -23,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,11 +125,18 @@ def _shared() -> frozenset[str]:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(script, member, n) of the letters that several scripts share, in words of each script."""
+    """(script, member, n): every member of one code point in all texts (no script), and the letters
+    that several scripts share in words of each script."""
     counts: Counter[tuple[str, str]] = Counter()
     words: Counter[str] = Counter()
+    points = np.zeros(0x110000, dtype=np.int64)
     for b in batches:
-        words.update(WORD.findall("\n".join(b.column(0).to_pylist())))
+        text = "\n".join(b.column(0).to_pylist())
+        points += np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), minlength=len(points))
+        words.update(WORD.findall(text))
+    for c in np.flatnonzero(points).tolist():
+        if chr(c) in members():
+            counts["", chr(c)] = int(points[c])
     for w, n in words.items():
         s = word_script(w)
         for c in w:
@@ -138,14 +147,15 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Representatives:
-    """Representative of each member, outside of words and in words of each script."""
+    """Representative of each member, outside of words and in words of each script: the commonest plain
+    member (of the script). Where a class has one plain member the definition of the problem leaves no choice."""
 
     def __init__(self, counts: dict[tuple[str, str], int]):
         self.totals = {s: sum(n for (t, _), n in counts.items() if t == s) for s in SCRIPTS}
         self.plain: dict[str, str] = {}
         self.word: dict[str, dict[str, str]] = {s: {} for s in SCRIPTS}
         for group in classes():
-            plain = sorted(filter(is_plain, group), key=lambda x: (not x.isascii(), x))
+            plain = sorted(filter(is_plain, group), key=lambda x: (-counts.get(("", x), 0), not x.isascii(), x))
             for x in group:
                 same = [p for p in plain if p == "" or script(p) == script(x)] or plain
                 if not is_plain(x):
@@ -157,17 +167,45 @@ class Representatives:
                             self.word[s][x] = best
 
 
-class Rewriter:
-    """Greedy rewriting with an automaton over all patterns that have another representative."""
+class _Automaton:
+    """Greedy rewriting from the left by all patterns at once, the longest first."""
 
-    def __init__(self, chosen: Representatives):
+    def __init__(self, patterns: dict[str, str]):
         import ahocorasick
 
-        self.chosen = chosen
         self.automaton = ahocorasick.Automaton()
-        for a, b in chosen.plain.items():
+        for a, b in patterns.items():
             self.automaton.add_word(a, (len(a), b))
-        self.automaton.make_automaton()
+        if patterns:
+            self.automaton.make_automaton()
+        self.empty = not patterns
+
+    def rewrite(self, text: str, keep: list[tuple[int, int]] = ()) -> str:
+        if self.empty:
+            return text
+        best: dict[int, tuple[int, str]] = {}
+        for end, (n, new) in self.automaton.iter(text):
+            a = end + 1 - n
+            if n > best.get(a, (0, ""))[0] and not any(x <= a < z for x, z in keep):
+                best[a] = (n, new)
+        if not best:
+            return text
+        out, i = [], 0
+        for a in sorted(best):
+            if a >= i:
+                out += (text[i:a], best[a][1])
+                i = a + best[a][0]
+        return "".join(out) + text[i:]
+
+
+class Rewriter:
+    """Rewriting with one automaton over all patterns that have another representative outside of
+    words, then one for the letters within words of each script."""
+
+    def __init__(self, chosen: Representatives):
+        self.chosen = chosen
+        self.plain = _Automaton(chosen.plain)
+        self.words = {s: _Automaton(letters) for s, letters in chosen.word.items()}
 
     def rewrite(self, text: str) -> str:
         if not _patterns()["suspect"].search(text):
@@ -177,24 +215,14 @@ class Rewriter:
             for m in _patterns()["emoji"].finditer(text):
                 inner = m.group()
                 keep.append((m.start() + len(inner) - len(inner.lstrip("‍")), m.start() + len(inner.rstrip("‍"))))
-        best: dict[int, tuple[int, str]] = {}
-        for end, (n, new) in self.automaton.iter(text):
-            a = end + 1 - n
-            if n > best.get(a, (0, ""))[0] and not any(x <= a < z for x, z in keep):
-                best[a] = (n, new)
-        out, i = [], 0
-        while i < len(text):
-            n, new = best.get(i, (1, text[i]))
-            out.append(new)
-            i += n
-        return WORD.sub(self._word, "".join(out))
+        return WORD.sub(self._word, self.plain.rewrite(text, keep))
 
     def _word(self, m: re.Match) -> str:
         word = m.group()
         if word.isascii() or not any(c in looks.LETTERS for c in word) and all(script(c) == "latin" for c in word):
             return word
         s = word_script(word, self.chosen.totals)
-        return "".join(self.chosen.word[s].get(c, c) for c in word) if s else word
+        return self.words[s].rewrite(word) if s else word
 
 
 def representatives(texts: DataFrame) -> Representatives:
