@@ -214,7 +214,7 @@ def sample(documents: DataFrame) -> list[tuple[str, str]]:
     return [(r[0], r[1]) for r in known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("code", "text").collect()]
 
 
-SENTENCES = "doc_id long, named string, first int, last int, code string, confidence double, bits double, sure boolean"
+SENTENCES = "doc_id long, named string, first int, last int, code string, confidence double, bits double"
 
 
 def parts(documents: DataFrame) -> DataFrame:
@@ -223,8 +223,9 @@ def parts(documents: DataFrame) -> DataFrame:
     ``documents``: doc_id, text, lang; further columns are ignored. NULL and empty texts and texts
     without a sentence have no part; an empty table gives no rows; repeated texts count each.
     Result: doc_id, named (code that lang names), first, last (byte offsets), code, confidence
-    (least of the sentences'), bits (code length), sure (whether one sentence at least is long
-    enough and its code shorter by LEAST_BITS than in the document's main language).
+    (least of the sentences'), bits (code length). A sentence counts with LEAST_LETTERS letter bytes and three
+    words (or four bytes of a script without spaces), and as in another language than the document's main one
+    only if its code is shorter by LEAST_BITS there.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(fit(sample(documents)))
@@ -241,14 +242,14 @@ def parts(documents: DataFrame) -> DataFrame:
                 out = _scored(trees, blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 if out is not None:
                     doc, *rest = out
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), batch.column(2).slice(i, j - i).take(pa.array(doc)), *map(pa.array, rest)], names=["doc_id", "named", "first", "last", "code", "confidence", "bits", "sure"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), batch.column(2).slice(i, j - i).take(pa.array(doc)), *map(pa.array, rest)], names=["doc_id", "named", "first", "last", "code", "confidence", "bits"])
                 i = j
 
     return spread(documents.filter("text <> ''").select("doc_id", "text", named(F.col("lang")).alias("named"))).mapInArrow(score, SENTENCES)
 
 
 def _scored(trees: Trees, data: np.ndarray, bounds: np.ndarray):
-    """Parts of the documents that lie between the bounds: document, first, last, code, confidence, bits, sure."""
+    """Parts of the documents that lie between the bounds: document, first, last, code, confidence, bits."""
     if not len(data):
         return None
     ends = sentence_ends(data, bounds[1:])
@@ -276,12 +277,12 @@ def _scored(trees: Trees, data: np.ndarray, bounds: np.ndarray):
     own = bits[np.arange(len(doc)), best]
     base = bounds[doc]
     codes = np.array(CODES)
-    return doc[run], (starts - base)[run].astype(np.int32), (ends - base)[last].astype(np.int32), codes[best[run]], np.minimum.reduceat(confidence, run).astype(float), np.add.reduceat(own, run).astype(float), np.ones(len(run), dtype=bool)
+    return doc[run], (starts - base)[run].astype(np.int32), (ends - base)[last].astype(np.int32), codes[best[run]], np.minimum.reduceat(confidence, run).astype(float), np.add.reduceat(own, run).astype(float)
 
 
 def unnamed(found: DataFrame) -> DataFrame:
     """doc_id and code of each language of a part that the document's label does not name."""
-    return found.filter("sure and (named is null or named <> code)").select("doc_id", F.col("code").alias("lang_code")).distinct()
+    return found.filter("named is null or named <> code").select("doc_id", F.col("code").alias("lang_code")).distinct()
 
 
 def main_language(found: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ LOST = "lost"
 CERTAIN = 30.0
 #: Weight, in items, of a chain's overall rate within each pool.
 SHRINK = 200.0
-ROUNDS = 3
+#: EM ends when the chains' rates change by less than this part of their sum, or after so many rounds.
+SETTLED, MOST_ROUNDS = 0.01, 50
 #: Count of a decoded character that clean text lacks: of a sign or one of the 3755 commonest Chinese characters, of any other letter.
 UNSEEN, STRANGE = 0.5, 1e-4
 SCHEMA = "kind string, key string, n double, sample_id long, field_name string, item_no int, ref string, source string, chain string, pos int, obs string, dec string, text string"
@@ -226,9 +227,11 @@ def garbled(texts: DataFrame) -> DataFrame:
     chars = {k: n for (kind, k), n in counted.items() if kind == "n"}
     pools = {tuple(k.split("\t")): n for (kind, k), n in counted.items() if kind == "t"}
     model = Model(chars, {}, {})
-    for _ in range(ROUNDS):
-        sums = _expect(spark, found, model)
-        model = _maximize(chars, pools, sums)
+    for _ in range(MOST_ROUNDS):
+        before, model = model.overall, _maximize(chars, pools, _expect(spark, found, model))
+        moved = sum(abs(model.overall.get(c, 0.0) - before.get(c, 0.0)) for c in {*before, *model.overall})
+        if moved <= SETTLED * sum(model.overall.values()):
+            break
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

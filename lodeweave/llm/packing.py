@@ -10,6 +10,7 @@ than the capacity is divided into full containers and one rest; no other text is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import Window as W
 
 from lodeweave.session import cut
 
-#: Documents of a partition; partitions whose released documents meet; rounds; filling below which a container is released.
-PART, FAN, ROUNDS, RELEASE = 10_000, 4, 3, 0.98
+#: Documents of a partition; partitions whose released documents meet; filling below which a container is released.
+PART, FAN, RELEASE = 10_000, 4, 0.98
 PLACED = "pack_name string, capacity int, part string, bin int, doc_id long, piece_no int, n_tokens int, bins int, bound int"
 
 
@@ -48,10 +49,16 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that any packing needs: the best of three families of dual-feasible functions."""
-    if not len(sizes):
+    """Containers that any packing of the sizes needs."""
+    return bound_of_counts(np.bincount(sizes, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """Containers that any packing needs, from the number of items of each size up to the capacity:
+    the best of three families of dual-feasible functions."""
+    count = count.astype(np.int64)
+    if not count.any():
         return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     # large items count as whole, small ones below e as nothing
@@ -64,9 +71,10 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     for k in range(1, 51):
         up = np.where(x * (k + 1) % capacity == 0, x * k, (x * (k + 1) // capacity) * capacity)
         best = max(best, -(-int((count * up).sum()) // (k * capacity)))
-    # items above one half by what fits beside them in units of e, smaller ones as one unit
-    for t in np.unique(np.quantile(sizes[sizes <= capacity // 2], np.linspace(0, 1, 64)).astype(np.int64)) if (sizes <= capacity // 2).any() else ():
-        if t > 0:
+    # items above one half by what fits beside them in units of t, smaller ones as one unit; t at quantiles of the small sizes
+    small = number[capacity // 2]
+    for t in np.unique(np.searchsorted(number, np.linspace(0, small, 64), side="left")) if small else ():
+        if 0 < t <= capacity // 2:
             units = capacity // t
             f = np.where(2 * x > capacity, units - (capacity - x) // t, np.where(x >= t, 1, 0))
             best = max(best, -(-int((count * f).sum()) // int(units)))
@@ -109,7 +117,7 @@ def packed(sizes: DataFrame, packs: DataFrame) -> DataFrame:
     count = max(1, -(-sizes.count() // PART))
     items = pieces(sizes, packs).withColumn("part", F.concat(F.lit("0-"), F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("string")))
     settled, current = [], _packed(items)
-    for number in range(1, ROUNDS + 1):
+    for number in count_from(1):  # each round has a FANth of the partitions of the last, until none has a gap or gains
         parts = current.groupBy("pack_name", "part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
         gaps = cut(parts.filter("bins > bound").withColumn("target", F.concat(F.lit(f"{number}-"), F.floor((F.row_number().over(W.partitionBy("pack_name").orderBy("part")) - 1) / FAN).cast("string"))))
         if gaps.limit(1).count() == 0:
@@ -140,8 +148,11 @@ def report(placed: DataFrame, sizes: DataFrame, packs: DataFrame) -> DataFrame:
     sized = pieces(sizes, packs).groupBy("pack_name", "capacity", "n_tokens").count().collect()
     bounds = []
     for name, capacity in {(r[0], r[1]) for r in sized}:
-        rows = [(r[2], r[3]) for r in sized if r[0] == name]
-        bounds.append((name, capacity, lower_bound(np.repeat([s for s, _ in rows], [n for _, n in rows]), capacity)))
+        count = np.zeros(capacity + 1, dtype=np.int64)
+        for r in sized:
+            if (r[0], r[1]) == (name, capacity):
+                count[r[2]] = r[3]
+        bounds.append((name, capacity, bound_of_counts(count, capacity)))
     known = spark.createDataFrame(bounds, "pack_name string, capacity int, least_containers long")
     counts = placed.groupBy("pack_name").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"))
     return counts.join(known, "pack_name").withColumn("filling", F.col("tokens") / (F.col("containers") * F.col("capacity")))

@@ -188,7 +188,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of each document in one language, with their confidence."""
-    return language.parts(table(spark, sf_dir, "documents")).drop("sure")
+    return language.parts(table(spark, sf_dir, "documents"))
 
 
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
