@@ -20,7 +20,9 @@ from pyspark.sql import Window as W
 from lodeweave.llm.language import named
 from lodeweave.session import cut
 
-SEED, BUCKETS = 20240501, 1024
+SEED = 20240501
+#: Documents of a bucket of the order; bits of a bucket's number, at least and at most.
+BUCKET, BITS = 1000, (10, 20)
 
 
 def pour(budget: float, children: dict[str, tuple[float, float]]) -> dict[str, float]:
@@ -75,7 +77,9 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
     wanted = {r[0]: (r[1], r[2]) for r in targets.filter("source is not null and target_share is not null and max_repeats is not null").select("source", "target_share", "max_repeats").collect()}
     known = F.col("source").isin(list(wanted)) if wanted else F.lit(False)
     docs = cut(documents.filter(known & (F.col("n_tokens") > 0)).select("doc_id", "source", F.coalesce(named(F.col("lang")), F.lit("und")).alias("language"), "n_tokens"))
-    held = {(r[0], r[1]): r[2] for r in docs.groupBy("source", "language").agg(F.sum("n_tokens")).collect()}
+    leaf_rows = docs.groupBy("source", "language").agg(F.sum("n_tokens"), F.count("*")).collect()
+    held = {(r[0], r[1]): r[2] for r in leaf_rows}
+    bits = min(BITS[1], max(BITS[0], (max([r[3] for r in leaf_rows], default=0) // BUCKET).bit_length()))
     by_source = {s: sum(n for (x, _), n in held.items() if x == s) for s in wanted}
     domain = lambda s: s.rstrip("0123456789").rstrip("_")
     leaves = [{"domain": domain(s), "language": lang, "source": s, "weight": wanted[s][0] * n / by_source[s], "capacity": float(n * wanted[s][1])} for (s, lang), n in held.items()]
@@ -90,7 +94,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
             plan.append((s, lang, whole, float(b - whole * n) if whole < wanted[s][1] else 0.0))
     leaf = spark.createDataFrame(plan, "source string, language string, epochs int, rest double")
     order = F.xxhash64(F.lit(seed), "epochs", "doc_id")
-    rows = docs.join(F.broadcast(leaf), ["source", "language"]).withColumn("at", order).withColumn("bucket", F.shiftrightunsigned("at", 54))
+    rows = docs.join(F.broadcast(leaf), ["source", "language"]).withColumn("at", order).withColumn("bucket", F.shiftrightunsigned("at", 64 - bits))
     sums = rows.groupBy("source", "language", "bucket").agg(F.sum("n_tokens").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(W.partitionBy("source", "language").orderBy("bucket")) - F.col("n")).withColumnRenamed("n", "inside")
     placed = rows.join(before, ["source", "language", "bucket"])

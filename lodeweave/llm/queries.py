@@ -200,5 +200,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_split, p1_shares, p2_found, p2_repaired, p3_found, p3_consistent, p5_found, p5_coverage, p5_report, p6_found, p6_groups, p7_packing, p7_report, p8_mixture, p8_shares, p9_found, p9_parts, p9_documents)}
 
 
+_WIDE = "".join(map(chr, [*range(0xFF01, 0xFF5F), 0x3000]))
+_HALF = "".join(map(chr, [*range(0x21, 0x7F), 0x20])).replace("'", "''")
+_GROUPS = f"""rec as (select pair_id, product_id, room_id, lower(regexp_replace(translate(room_id, '{_WIDE}', '{_HALF}'), '[\\s\u00a0\u2000-\u200b]+', '', 'g')) r0 from join_split), keyed as (select *, case when r0 not in ('', 'unknown') then r0 end room from rec),
+ edge as (select distinct 'p:' || product_id a, 'r:' || room b from keyed where product_id is not null and room is not null), link as (select a, b from edge union all select b, a from edge), node as (select distinct 'p:' || product_id n from keyed where product_id is not null union select b from edge),
+ reach as (select n, n root from node union select l.b, reach.root from reach join link l on reach.n = l.a), grp as (select n, min(root) g from reach group by n)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express on whole tables: groups by recursive reachability, the
+    greedy assignment by a recursive walk over the groups."""
+    return {
+        "p1_found": f"""with recursive {_GROUPS}, marks as (select grp.g, s.split from samples s join keyed k on s.pair_id = k.pair_id join grp on grp.n = 'p:' || k.product_id where s.split is not null), bad as (select g from marks group by g having count(distinct split) > 1) select substr(n, 3) product_id from grp join bad using (g) where n like 'p:%'""",
+        "p1_shares": f"""with recursive {_GROUPS}, rows_ as (select coalesce(x.g, y.g, 'r:' || room, '') g from keyed k left join grp x on x.n = 'p:' || k.product_id left join grp y on y.n = 'r:' || k.room), size as (select g, count(*) n from rows_ group by g), turn as (select n, row_number() over (order by n desc, g) i, (sum(n) over ())::bigint t from size),
+ walk as (select 0::bigint i, 0::bigint n, ''::varchar s, 0::bigint a, 0::bigint b, 0::bigint c union all select i, n, s, a + case when s = 'train' then n else 0 end, b + case when s = 'val' then n else 0 end, c + case when s = 'test' then n else 0 end from (select turn.i, turn.n, a, b, c, case when 7 * t - 10 * a >= greatest(t - 10 * b, 2 * t - 10 * c) then 'train' when t - 10 * b >= 2 * t - 10 * c then 'val' else 'test' end s from walk join turn on turn.i = walk.i + 1))
+ select s assigned_split, sum(n)::bigint records, count(*) "groups", sum(n) / (select count(*) from keyed) share from walk where i > 0 group by s""",
+    }
