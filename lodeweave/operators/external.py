@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from lodeweave.functions import vectors as V
 from lodeweave.sources.records import exists
 
 
@@ -71,6 +72,31 @@ def cached_calls(requests: DataFrame, client: Callable[[str], str], path: str) -
     return requests.join(spark.read.parquet(path).select("key", "response"), "key", "left")
 
 
+def embedded(texts: DataFrame, client: Callable[[list[str]], list[list[float]]], text: str = "text") -> DataFrame:
+    """The rows with ``embedding``, the client's vector of the text brought to unit length. The client gets a batch of texts;
+    a NULL text is the empty one, a vector of zeros stays."""
+
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series(client(s.fillna("").tolist()))
+
+    raw = texts.withColumn("__v", F.pandas_udf(embed, "array<double>")(F.col(text)))
+    return raw.withColumn("embedding", V.scaled(F.col("__v"), 1 / F.greatest(V.norm(F.col("__v")), F.lit(1e-12)))).drop("__v")
+
+
+def stub_embedder(texts: list[str]) -> list[list[float]]:
+    """Counts of a text's characters by the first digit of their md5."""
+    from hashlib import md5
+
+    out = []
+    for t in texts:
+        v = [0.0] * 16
+        for c in t:
+            v[int(md5(c.encode()).hexdigest()[0], 16)] += 1.0
+        out.append(v)
+    return out
+
+
 def stub_classifier(request: str) -> str:
     """UD4: class of a request by its words, other by default."""
     return next((c for c, words in (("size", ("偏大", "偏小", "尺码")), ("service", ("客服", "物流", "快递")), ("quality", ("起球", "开了口", "坏了"))) if any(w in request for w in words)), "other")

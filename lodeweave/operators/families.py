@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -138,16 +138,30 @@ def clusters(names: DataFrame, by: str, threshold: float = 0.6) -> DataFrame:
     return names.select(by, "name").filter("name is not null").groupBy(by).applyInPandas(part, f"{by} string, name string, cluster int")
 
 
-def sequential_merge(names: DataFrame, by: str) -> DataFrame:
-    """by, name, target: each distinct name in order joins the first earlier target that contains it
-    or that it contains, else becomes a target itself. A group's names are walked in one task."""
+def contained(name: str, targets: list[str]) -> tuple[str, str]:
+    """A stub of the decision: merge into the first target that contains the name or that it contains.
+    Every name of five characters names a target that does not exist."""
+    if len(name) == 5:
+        return "merge", name + "?"
+    found = next((t for t in targets if t in name or name in t), "")
+    return ("merge", found) if found else ("new", "")
+
+
+def sequential_merge(names: DataFrame, by: str, decide: Callable[[str, list[str]], tuple[str, str]] = contained) -> DataFrame:
+    """by, name, target: decisions over the distinct names of a group one after the other, the shortest first.
+
+    ``decide`` gets a name and the targets so far and says "merge" and a target, or "new"; a new name is a target
+    for all later ones at once, a target that does not exist makes the name new. A group's names are walked in one task.
+    """
 
     def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        targets, out = [], []
+        targets: dict[str, None] = {}
+        out = []
         for name in sorted(set(frame["name"]), key=lambda n: (len(n), n)):
-            target = next((t for t in targets if t in name or name in t), name)
-            if target == name:
-                targets.append(name)
+            decision, target = decide(name, list(targets))
+            if decision != "merge" or target not in targets:
+                target = name
+                targets[name] = None
             out.append((key[0], name, target))
         return pd.DataFrame(out, columns=[by, "name", "target"])
 

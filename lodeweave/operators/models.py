@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +38,13 @@ def out_of_fold(rows: DataFrame, group: str, folds: int = 3, model: str = "logis
         one = scored(folded.filter(F.col("fold") != k), folded.filter(F.col("fold") == k), model)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def frozen(train: DataFrame, test: DataFrame, vector: str, width: int, model: str) -> DataFrame:
+    """Test with ``p`` of a model on fixed vectors (an array column of that width): logistic, svm or perceptron. Rows with a NULL vector are left out."""
+    as_features = lambda rows: rows.filter(F.col(vector).isNotNull()).withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    chosen = MultilayerPerceptronClassifier(layers=[width, 16, 2], maxIter=40, seed=1) if model == "perceptron" else MODELS[model]()
+    out = chosen.fit(as_features(train)).transform(as_features(test))
+    if model == "svm":
+        return out.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.get(vector_to_array("rawPrediction"), 1)))).drop("features", "rawPrediction", "prediction")
+    return out.withColumn("p", F.get(vector_to_array("probability"), 1)).drop("features", "rawPrediction", "probability", "prediction")

@@ -36,14 +36,35 @@ def passages(claims: DataFrame, *keys: str) -> DataFrame:
     return kept.select(*keys, F.size("all").alias("n_all"), F.size("kept").alias("n_kept"), F.size("used").alias("n_used"), F.array_join("used", "\n---\n").alias("passage"))
 
 
-def strongest_mention(mentions: DataFrame, *keys: str) -> DataFrame:
+def strongest_mention(mentions: DataFrame, *keys: str, chunk: Column | None = None) -> DataFrame:
     """One mention per key by a fold in order (``pos``): the next replaces the kept one if it is
-    explicit and that is not, or strong and that is not. This may lose explicitness; it is no maximum."""
+    explicit and that is not, or strong and that is not. This may lose explicitness; it is no maximum.
+
+    What a row does depends on two marks of the kept one only. With ``chunk``, a column that never
+    falls along ``pos``, the rows of a key and chunk are folded from each of the four states and from
+    none at all, and the chunks' outcomes are composed: no array holds more than a chunk's rows or a key's
+    chunks. A kept NULL mark is never improved upon, a NULL mark of the next row improves nothing.
+    """
     item = F.struct("pos", "explicit_fact_hit", "mention_strength", "polarity", "evidence_span")
-    rows = mentions.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
+    rows = mentions.select(*keys, item.alias("item"), (F.lit(0) if chunk is None else chunk).alias("chunk"))
+    kind = rows.schema["item"].dataType
     better = lambda a, b: (~a["explicit_fact_hit"] & b["explicit_fact_hit"]) | ((a["mention_strength"] != "strong") & (b["mention_strength"] == "strong"))
-    kept = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", 0), lambda a, b: F.when(better(a, b), b).otherwise(a))
-    return rows.select(*keys, kept.alias("__k")).select(*keys, "__k.explicit_fact_hit", "__k.mention_strength", "__k.polarity", "__k.evidence_span")
+    step = lambda a, b: F.when(better(a, b), b).otherwise(a)
+    empty = F.lit(None).cast("string")
+    given = lambda e, s: F.struct(*[(F.lit(e) if n == "explicit_fact_hit" else F.lit(s) if n == "mention_strength" else empty).cast(kind[n].dataType).alias(n) if n != "pos" else F.lit(None).cast(kind[n].dataType).alias(n) for n in kind.names])
+    state = lambda r: F.coalesce(r["explicit_fact_hit"], F.lit(True)).cast("int") * 2 + F.coalesce(r["mention_strength"] == "strong", F.lit(True)).cast("int")
+    inside = rows.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list("item")).alias("all"))
+    first = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", 0), step)
+    after = F.array(*[F.aggregate("all", given(e, s), step) for e in (False, True) for s in ("", "strong")])
+    chunks = inside.select(*keys, F.struct("chunk", first.alias("first"), after.alias("after")).alias("c"))
+    whole = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list("c"), lambda x, y: F.when(x["chunk"] < y["chunk"], -1).otherwise(1)).alias("cs"))
+
+    def follow(kept: Column, c: Column) -> Column:
+        next_ = F.get(c["after"], state(kept))
+        return F.when(next_["pos"].isNull(), kept).otherwise(next_)
+
+    kept = F.aggregate(F.slice("cs", 2, F.greatest(F.size("cs") - 1, F.lit(0))), F.get("cs", 0)["first"], follow)
+    return whole.select(*keys, kept.alias("__k")).select(*keys, "__k.explicit_fact_hit", "__k.mention_strength", "__k.polarity", "__k.evidence_span")
 
 
 # Fixed value: a subtitle's time line and the text line after it.

@@ -235,6 +235,30 @@ def prototypes(rows: DataFrame, by: str, weight: str = "c") -> DataFrame:
     return mean.withColumn("value", F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(W.partitionBy(by)))).drop("m")
 
 
+def prototype_loss(queries: DataFrame, library: DataFrame, group: str, least: int = 3, c_min: float = 0.0, tau: float = 0.1) -> DataFrame:
+    """M5: query_id, level, loss: cross entropy of a query's similarities to the two prototypes of its group,
+    times its weight; level 0 is the group, 1 all rows where the group lacks ``least`` rows of a label.
+
+    Both: id, embedding, y (0 or 1), c and the group. Prototypes are unit means of unit vectors weighted
+    by c. Rows below ``c_min`` or with a NULL vector are left out, as are queries without both prototypes.
+    """
+    unit = lambda v: V.scaled(v, 1 / F.nullif(V.norm(v), F.lit(0.0)))
+    fit = lambda rows: rows.filter((F.col("c") >= c_min) & F.col("embedding").isNotNull()).withColumn("u", unit(F.col("embedding")))
+    rows = tagged(fit(library), [group], []).select("tag", "y", "c", "u")
+    counts = rows.groupBy("tag").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    long = rows.select("tag", "y", F.col("c").cast("double").alias("w"), F.posexplode("u").alias("pos", "x"))
+    means = long.groupBy("tag", "y", "pos").agg(F.sum(F.col("w") * F.col("x")).alias("m"))
+    protos = means.groupBy("tag", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"]).alias("v"))
+    both = protos.groupBy("tag").agg(F.max(F.when(F.col("y") == 1, F.col("v"))).alias("vp"), F.max(F.when(F.col("y") == 0, F.col("v"))).alias("vn")).join(counts, "tag")
+    asked = tagged(fit(queries), [group], []).select(F.col("id").alias("query_id"), "y", "c", "u", "tag", F.split_part("tag", F.lit("/"), F.lit(1)).cast("int").alias("level"))
+    met = asked.join(both, "tag").filter((F.col("level") == 1) | ((F.col("pos") >= least) & (F.col("neg") >= least)))
+    sp, sn = V.dot(F.col("u"), unit(F.col("vp"))) / tau, V.dot(F.col("u"), unit(F.col("vn"))) / tau
+    own = F.when(F.col("y") == 1, sp).otherwise(sn)
+    value = F.col("c") * (F.greatest(sp, sn) + F.log(F.exp(sp - F.greatest(sp, sn)) + F.exp(sn - F.greatest(sp, sn))) - own)
+    each = met.filter("vp is not null and vn is not null").select("query_id", F.struct("level", value.alias("loss")).alias("z"))
+    return each.groupBy("query_id").agg(F.min_by("z", F.col("z.level")).alias("z")).select("query_id", "z.level", "z.loss")
+
+
 def geometry(queries: DataFrame, library: DataFrame) -> DataFrame:
     """One row of geometry measures of labelled queries among themselves and against a labelled library.
 

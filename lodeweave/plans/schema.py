@@ -120,4 +120,15 @@ PLANS: dict[str, Plan] = {
         """with c as (select product_id, max(category) category, count(*) n_clips from {clips} group by 1) select product_id, category, n_clips from c where category = '食品' order by product_id limit 25""",
         """select product_id, max(category) category, count(*) n_clips from clips group by 1 having max(category) = '食品' order by product_id limit 25""",
     ),
+    "campaign_jobs": Plan(
+        "M19: job list of a campaign: every category held out, each variant and seed, without the jobs whose results are there",
+        """with folds as (select distinct category fold from {category_schema}), grid as (select fold, variant, seed from folds lateral view explode(array('full', 'no_retrieval', 'claim_only', 'evidence_only')) a as variant lateral view explode(sequence(0, 4)) b as seed),
+ done as (select distinct category fold, 'full' variant, int(pmod(clip_no, 5)) seed from {clips} where category is not null) select g.fold, g.variant, g.seed, concat_ws('_', g.fold, g.variant, concat('s', g.seed)) tag from grid g left anti join done d on g.fold = d.fold and g.variant = d.variant and g.seed = d.seed""",
+        """with grid as (select * from (select distinct category fold from category_schema), (select unnest(['full', 'no_retrieval', 'claim_only', 'evidence_only']) variant), (select unnest(range(0, 5)) seed)) select fold, variant, seed::int seed, fold || '_' || variant || '_s' || seed tag from grid g where variant <> 'full' or not exists (select 1 from clips c where c.category = g.fold and c.clip_no % 5 = g.seed)""",
+    ),
+    "schedule_steps": Plan(
+        "W13: factor of the learning rate with a tenth of the steps to warm up and a linear decay, one step for each training row in order",
+        """with n as (select count(*) total from {samples} where split = 'train') select step, round(case when step < greatest(1, total div 10) then step / greatest(1, total div 10) else greatest(0.0, (total - step) / greatest(1, total - total div 10)) end, 6) factor from n lateral view explode(sequence(0, total - 1)) t as step""",
+        """with n as (select count(*) total from samples where split = 'train') select step, round(case when step < greatest(1, total // 10) then step / greatest(1, total // 10) else greatest(0.0, (total - step) / greatest(1, total - total // 10)) end, 6) factor from n, unnest(range(0, total)) t(step)""",
+    ),
 }

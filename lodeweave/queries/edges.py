@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.functions import text as TX
 from lodeweave.operators import external as X
 from lodeweave.operators import metrics as M
 from lodeweave.operators import models as ML
+from lodeweave.queries.retrieval import bank
+from lodeweave.queries.sequences import NORMAL_FORM
 from lodeweave.session import shared_folder, table
 from lodeweave.sources import files as FS
 from lodeweave.sources import records as R
@@ -166,13 +169,64 @@ def linear_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def evidence_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision of one linear model on the claim, on the evidence and on both."""
+    s = table(spark, sf_dir, "samples").filter("y is not null and split is not null")
+    texts = {"claim": F.col("claim.passage"), "evidence": F.array_join(F.concat("evidence_params.raw_text", "evidence_ocr.raw_text"), " ")}
+    texts["both"] = F.concat_ws(" ", *texts.values())
+    out = None
+    for name, text in texts.items():
+        rows = ML.features(s.select("split", F.col("y").cast("double").alias("label"), "y", F.greatest("c", F.lit(0.05)).alias("w"), text.alias("text")), "text")
+        one = M.ranking_metrics(ML.scored(rows.filter("split = 'train'"), rows.filter("split <> 'train'")).select("p", "y")).withColumn("view", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def frozen_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision of three models on the fixed vectors."""
+    b = bank(spark, sf_dir).withColumns({"label": F.col("y").cast("double"), "w": F.greatest("c", F.lit(0.05))})
+    out = None
+    for name in ("logistic", "svm", "perceptron"):
+        one = M.ranking_metrics(ML.frozen(b.filter("id % 50 <> 0"), b.filter("id % 50 = 0"), "embedding", 64, name).select("p", "y")).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def vector_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as packed floats and read back."""
+    path = shared_folder(spark, "vectors")
+    R.write_vectors(table(spark, sf_dir, "embeddings"), path, "embedding")
+    rows = R.read_vectors(spark, path, "embedding")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("vec_id", "label", F.size("embedding").alias("width"), F.round(total, 5).alias("total"))
+
+
+def embedded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schema names embedded by an injected client, of unit length, in long form."""
+    names = table(spark, sf_dir, "category_schema").select("attribute_id", F.col("canonical_name").alias("text"))
+    return X.embedded(names, X.stub_embedder).select("attribute_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+def evidence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD7, X39: for each product and attribute of its category the values of the parameters that match the attribute's
+    names, and the pages whose text has one of them."""
+    category = table(spark, sf_dir, "clips").filter("trim(category) <> ''").groupBy("product_id").agg(F.min("category").alias("category"))
+    schema = table(spark, sf_dir, "category_schema").select("category", "attribute_id", F.explode(F.array_distinct(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array())))).alias("name")).filter("name <> ''")
+    p = table(spark, sf_dir, "products").filter("raw_params is not null").select("product_id", F.explode("raw_params").alias("k", "v")).distinct().join(category, "product_id")
+    params = p.join(schema, "category").filter(TX.normalized(F.col("k")) == TX.normalized(F.col("name"))).select("product_id", "attribute_id", F.lit("params").alias("kind"), F.concat_ws(":", "k", "v").alias("item"))
+    d = table(spark, sf_dir, "documents").filter("doc_kind in ('ocr_page', 'detail_page') and product_id is not null").select("product_id", "doc_id", "text").join(category, "product_id")
+    pages = d.join(schema, "category").filter(F.contains("text", F.col("name"))).select("product_id", "attribute_id", F.lit("page").alias("kind"), F.col("doc_id").cast("string").alias("item"))
+    found = params.unionByName(pages).distinct()
+    return found.groupBy("product_id", "attribute_id", "kind").agg(F.array_join(F.array_sort(F.collect_list("item")), "|").alias("items"))
+
+
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores with the pairs of a product in one fold."""
     s = table(spark, sf_dir, "samples").filter("y is not null").select("sample_id", F.split_part("pair_id", F.lit("__"), F.lit(1)).alias("product"), F.col("y").cast("double").alias("label"), "y", F.greatest("c", F.lit(0.05)).alias("w"), F.col("claim.passage").alias("text"))
     return ML.out_of_fold(ML.features(s, "text"), "product").groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
 
 
-QUERIES = {f.__name__: f for f in (json_lines, partitioned_output, incremental_output, resumed_jobs, json_document, result_files, markdown_report, marked_lines, review_sheets, slim_copy, image_urls, risk_answers, external_calls, aspect_rows, alignment_vectors, stream_bursts, stream_enriched, linear_baselines, out_of_fold_scores)}
+QUERIES = {f.__name__: f for f in (json_lines, partitioned_output, incremental_output, resumed_jobs, json_document, result_files, markdown_report, marked_lines, review_sheets, slim_copy, image_urls, risk_answers, external_calls, aspect_rows, alignment_vectors, stream_bursts, stream_enriched, linear_baselines, evidence_views, frozen_vectors, vector_bundle, embedded_names, evidence_lists, out_of_fold_scores)}
 _WORDS = "case when regexp_matches(review_text, '偏大|偏小|尺码') then 'size' when regexp_matches(review_text, '客服|物流|快递') then 'service' when regexp_matches(review_text, '起球|开了口|坏了') then 'quality' else 'other' end"
 _POS = lambda ws: "coalesce(" + ", ".join(f"nullif(instr(review_text, '{w}'), 0)" for w in ws) + ") - 1"
 _ASPECTS = [("size", ("偏大", "偏小", "尺码")), ("service", ("客服", "物流")), ("smell", ("味道", "异味")), ("price", ("块", "性价比"))]
@@ -189,6 +243,11 @@ SQL = {
     "slim_copy": "select count(*) n, count(y) labelled, 4 n_columns, true smaller from samples",
     "image_urls": "select name, 'data:' || kind || ';base64,' || to_base64(('no image ' || name)::blob) url from (values ('a.png', 'image/png'), ('b.webp', 'image/webp'), ('c.jpg', 'image/jpeg')) t(name, kind)",
     "risk_answers": "with r as (select sample_id, length(coalesce(claim.passage, '')) n from samples) select sample_id, case when n % 7 = 0 or n % 5 = 0 then 0.5 else least(1.0, n / 100) end::double score, case when n % 7 = 0 then 0 else n % 2 end::int decision from r",
+    "vector_bundle": "select vec_id, label, len(embedding)::int width, round(list_sum(list_transform(embedding, lambda x: x::double)), 5) total from embeddings",
+    "embedded_names": "with c as (select attribute_id, unnest(string_split(canonical_name, '')) ch from category_schema), k as (select attribute_id, instr('0123456789abcdef', substr(md5(ch), 1, 1)) - 1 p, count(*) n from c where ch <> '' group by 1, 2), z as (select attribute_id, sqrt(sum(n * n)) z from k group by 1) select z.attribute_id, g.p::int pos, round(coalesce(n, 0) / z, 6) x from z cross join (select unnest(range(0, 16)) p) g left join k on k.attribute_id = z.attribute_id and k.p = g.p",
+    "evidence_lists": f"""with cat as (select product_id, min(category) category from clips where trim(category) <> '' group by 1), sc as (select distinct category, attribute_id, unnest(list_concat([canonical_name], coalesce(aliases, []))) name from category_schema), pr as (select distinct product_id, unnest(map_entries(raw_params)) e from products where raw_params is not null),
+ f as (select pr.product_id, attribute_id, 'params' kind, e.key || ':' || e.value item from pr join cat using (product_id) join sc using (category) where {NORMAL_FORM.format('e.key')} = {NORMAL_FORM.format('name')} union select d.product_id, attribute_id, 'page', doc_id::varchar from documents d join cat on cat.product_id = d.product_id join sc on sc.category = cat.category where doc_kind in ('ocr_page', 'detail_page') and contains(d.text, name) and name <> '')
+ select product_id, attribute_id, kind, string_agg(item, '|' order by item) items from f group by 1, 2, 3""",
     "external_calls": f"select {_WORDS} response, count(*) n from (select distinct review_text from mentions where review_text is not null) group by 1",
     "aspect_rows": "with t as (select distinct review_id, review_text from mentions) " + " union all ".join(f"select review_id, '{a}' aspect, ({_POS(ws)})::int as position from t where {_POS(ws)} is not null".replace("as position", 'as "position"') for a, ws in _ASPECTS),
     "alignment_vectors": "with s as (select sample_id, claim.passage p, unnest(reviews) r from samples where claim.passage <> '' and len(reviews) > 0) select sample_id, sum((len(list_intersect(list_distinct(string_split(p, '')), list_distinct(string_split(coalesce(r.text, ''), '')))) >= 3)::int)::bigint n_aligned, count(*) n from s group by 1",

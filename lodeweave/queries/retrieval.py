@@ -70,6 +70,12 @@ def prototype_vectors(spark, sf_dir):
     return R.prototypes(bank(spark, sf_dir), "attr").select("attr", "pos", F.round("value", 5).alias("value"))
 
 
+def prototype_losses(spark, sf_dir):
+    """M5: prototype relation loss of each query within its attribute, else among all rows."""
+    b = bank(spark, sf_dir).withColumn("stratum", F.concat_ws("-", F.col("attr"), F.col("id") % 13))
+    return R.prototype_loss(_asked(b), b, "stratum", c_min=0.1).select("query_id", "level", F.round("loss", 5).alias("loss"))
+
+
 def library_injection(spark, sf_dir):
     """J28, ST4: votes with a library that grows by a third each time; one scan for all of them."""
     b = bank(spark, sf_dir)
@@ -241,7 +247,7 @@ def selective_coverage(spark, sf_dir):
     return _r(M.selective(scores(spark, sf_dir), [0.65, 0.7, 0.8, 1.0]))
 
 
-QUERIES = {f.__name__: f for f in (knn_global, knn_attr_block, hard_negatives, rkc_vote, vote_k15, label_match_map10, infonce_value, prototype_vectors, library_injection, geometry, confounder_pairs, cross_attribute_pairs, confounder_summary, argmax_match, candidate_masks, bonus_neighbours, cosine_scores, ranking, partial_auprc, confusion, ece, reliability_bins, threshold_sweep, best_threshold, alpha_sweep, alpha_macro_f1, temperature, evaluation_row, selective_coverage)}
+QUERIES = {f.__name__: f for f in (knn_global, knn_attr_block, hard_negatives, rkc_vote, vote_k15, label_match_map10, infonce_value, prototype_vectors, prototype_losses, library_injection, geometry, confounder_pairs, cross_attribute_pairs, confounder_summary, argmax_match, candidate_masks, bonus_neighbours, cosine_scores, ranking, partial_auprc, confusion, ece, reliability_bins, threshold_sweep, best_threshold, alpha_sweep, alpha_macro_f1, temperature, evaluation_row, selective_coverage)}
 
 _B = "b as (select vec_id id, list_transform(embedding, lambda v: v::double) v, label // 2 attr, label % 2 y, (vec_id % 17 + 1) / 20 c from embeddings), n as (select *, sqrt(list_dot_product(v, v)) len from b), q as (select id qid, v qv, attr qa, y qy, len ql from n where id % 50 = 0)"
 _SIM = "round(list_dot_product(qv, v) / (ql * len), 6)"
@@ -269,6 +275,11 @@ SQL = {
     "label_match_map10": _knn(10) + ", p as (select *, (attr = qa)::int rel from t), w as (select *, sum(rel) over (partition by query_id order by rank) / rank prec from p), m as (select query_id, avg((y = qy)::int) m, coalesce(sum(prec * rel) / nullif(sum(rel), 0), 0) ap from w group by 1) select round(avg(m), 5) label_match, round(avg(ap), 5) attr_map, count(*) n from m",
     "infonce_value": _knn(10) + ", m as (select query_id, sum(exp(sim / 0.1)) filter (y = qy) a, sum(exp(sim / 0.1)) b from t group by 1) select query_id, round(-ln(a / b), 4) loss from m where a is not null",
     "prototype_vectors": f"with {_B}, l as (select attr, c, unnest(v) x, generate_subscripts(v, 1) - 1 pos from b), m as (select attr, pos, sum(c * x) / sum(c) m from l group by 1, 2) select attr, pos::int pos, round(m / sqrt(sum(m * m) over (partition by attr)), 5) as \"value\" from m",
+    "prototype_losses": f"""with {_B}, r as (select *, attr || '-' || id % 13 st, list_transform(v, lambda x: x / len) u from n where c >= 0.1), tg as (select '0/' || st tag, y, c, u from r union all select '1/', y, c, u from r), ct as (select tag, sum(y) p, sum(1 - y) g from tg group by 1),
+ lo as (select tag, y, generate_subscripts(u, 1) k, c, unnest(u) x from tg), me as (select tag, y, k, sum(c * x) m from lo group by 1, 2, 3), le as (select tag, y, sqrt(sum(m * m)) z from me group by 1, 2), pr as (select me.tag, me.y, list(m / z order by k) w from me join le on me.tag = le.tag and me.y = le.y group by 1, 2),
+ q1 as (select id, y, c, u, '0/' || st tag, 0 lv from r where id % 50 = 0 union all select id, y, c, u, '1/', 1 from r where id % 50 = 0),
+ sc as (select q1.*, list_dot_product(u, a.w) / 0.1 sp, list_dot_product(u, b.w) / 0.1 sn from q1 join pr a on a.tag = q1.tag and a.y = 1 join pr b on b.tag = q1.tag and b.y = 0 join ct on ct.tag = q1.tag where lv = 1 or (p >= 3 and g >= 3)),
+ o as (select *, row_number() over (partition by id order by lv) k from sc) select id query_id, lv \"level\", round(c * (ln(exp(sp) + exp(sn)) - case when y = 1 then sp else sn end), 5) loss from o where k = 1""",
     "library_injection": " union all ".join(f"select * from ({_knn(10, f'id % 100 < {s}')}, o as (select query_id, sum(c * greatest(sim, 0) * y) / (sum(c * greatest(sim, 0)) + 1e-8) vote from t group by 1) select {s} as share, round(avg(vote), 5) mean_vote, count(*) n from o)" for s in (34, 67, 100)),
     "geometry": f"""with {_B}, te as (select qid id, qv v, qy y, ql len from q), tr as (select id, v, y, len from n where id % 50 <> 0),
  pr as (select a.id i, b.id j, a.y yi, b.y yj, list_dot_product(a.v, b.v) / (a.len * b.len) s from te a join te b on a.id <> b.id), pd as (select avg(2 - 2 * s) filter (yi = yj) alignment, avg(2 - 2 * s) filter (yi = 1 and yj = 1) alignment_pos, ln(avg(exp(-2 * (2 - 2 * s)))) uniformity from pr),

@@ -27,8 +27,8 @@ def passage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strongest mention by the fold, per product and attribute."""
-    return O.strongest_mention(_mentions(spark, sf_dir), "product_id", "attribute_id")
+    """Strongest mention by the fold, per product and attribute, composed by hours."""
+    return O.strongest_mention(_mentions(spark, sf_dir), "product_id", "attribute_id", chunk=F.date_trunc("hour", "ingested_ts"))
 
 
 def cue_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +142,7 @@ QUERIES = {f.__name__: f for f in (passage_build, fold_mention, cue_offsets, chu
 _M = "m as (select distinct product_id, ingested_ts, review_id, attribute_id, polarity, mention_strength, explicit_fact_hit, evidence_span, mention_type from mentions where attribute_id is not null)"
 _ORD = "ingested_ts, review_id, attribute_id, polarity, mention_strength, explicit_fact_hit, coalesce(evidence_span, ''), mention_type"
 _CH = "list_distinct(list_filter(string_split({}, ''), lambda z: z <> ''))"
-_NRM = "regexp_replace(lower(translate({}, '０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')), '[\\s\\-_/()（）·．。，,、:：;；''\"“”‘’!！?？]+', '', 'g')"
+NORMAL_FORM = "regexp_replace(lower(translate({}, '０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')), '[\\s\\-_/()（）·．。，,、:：;；''\"“”‘’!！?？]+', '', 'g')"
 _CUE = "c0 as (select doc_id, unnest(regexp_extract_all(text, '(\\d\\d:\\d\\d:\\d\\d[,.]\\d{3}) --> (\\d\\d:\\d\\d:\\d\\d[,.]\\d{3})[^\\n]*\\n([^\\n]*)')) b, unnest(range(0, len(regexp_extract_all(text, '(\\d\\d:\\d\\d:\\d\\d[,.]\\d{3}) --> (\\d\\d:\\d\\d:\\d\\d[,.]\\d{3})[^\\n]*\\n([^\\n]*)')))) idx from documents where contains(text, '-->')), c1 as (select doc_id, idx, b[1:12] s, b[18:29] e, trim(string_split(b, chr(10))[2], ' ') txt from c0), cues as (select doc_id, idx, s[1:2]::double * 3600 + s[4:5]::double * 60 + s[7:8]::double + s[10:12]::double / 1000 start_s, e[1:2]::double * 3600 + e[4:5]::double * 60 + e[7:8]::double + e[10:12]::double / 1000 end_s, (sum(length(txt)) over w - length(txt))::int char_start, (sum(length(txt)) over w)::int char_end, txt from c1 window w as (partition by doc_id order by idx))"
 _IV = _CUE + ", tot as (select doc_id, max(char_end) n from cues group by 1 having max(char_end) > 0), cl as (select doc_id, unnest(range(0, ((n - 1) // 90) + 1)) k from tot), ov as (select cl.doc_id, k, idx, least(k * 90 + 40, char_end) - greatest(k * 90, char_start) overlap from cl join cues on cl.doc_id = cues.doc_id where least(k * 90 + 40, char_end) - greatest(k * 90, char_start) > 0)"
 _FAM = """rm as (select pair_id, min(room_id) room from join_split where pair_id is not null group by 1), t0 as (select sample_id id, s.pair_id, split_part(s.pair_id, '__', 1) product, coalesce(room, '') room, y, attribute_name, coalesce(evidence_count.params, 0) + coalesce(evidence_count.ocr, 0) + coalesce(evidence_count.vlm, 0) ns, len(list_filter(coalesce(reviews, []), lambda r: r.relation in ('support', 'refute'))) na, lower(regexp_replace(claim.passage, '\\s+', '', 'g')) x from samples s left join rm on s.pair_id = rm.pair_id where claim.passage <> ''),
@@ -155,7 +155,10 @@ SQL = {
     "fold_mention": f"with {_M}, g as (select product_id, attribute_id, list({{'e': explicit_fact_hit, 's': mention_strength, 'p': polarity, 't': evidence_span}} order by {_ORD}) l from m group by 1, 2), k as (select product_id, attribute_id, list_reduce(l, lambda a, b: case when (not a.e and b.e) or (a.s <> 'strong' and b.s = 'strong') then b else a end) k from g) select product_id, attribute_id, k.e explicit_fact_hit, k.s mention_strength, k.p polarity, k.t evidence_span from k",
     "salvage_json": "select event_id, (event_id % 4)::int kind, case when event_id % 4 = 3 then '[' || props || ', ' || props || ']' else props end parsed from events",
     "grounded_claims": f"""with {_IV}, wh as (select doc_id, string_agg(txt, '' order by idx) whole from cues group by 1), sc as (select attribute_id, category allowed, row_number() over (order by attribute_id) - 1 at_ from category_schema), sd as (select cl.doc_id, k, attribute_id, substr(whole, k * 90 + 1, 40) sl from cl join wh on cl.doc_id = wh.doc_id join sc on at_ = k % 56 join documents d on d.doc_id = cl.doc_id and d.category = allowed where k % 4 <> 3),
- tx as (select *, case when k % 4 = 0 then '（' || upper(substr(sl, 1, 12)) || ' ！' when k % 4 = 1 then sl || '虚构' else sl end claim_text from sd) select tx.doc_id, tx.k::int k, attribute_id, claim_text, min(idx)::int first_cue, max(idx)::int last_cue, count(*) n_cues from tx join ov on tx.doc_id = ov.doc_id and tx.k = ov.k where k_norm(claim_text, sl) group by 1, 2, 3, 4""".replace("k_norm(claim_text, sl)", f"contains({_NRM.format('sl')}, {_NRM.format('claim_text')})"),
+ tx as (select *, case when k % 4 = 0 then '（' || upper(substr(sl, 1, 12)) || ' ！' when k % 4 = 1 then sl || '虚构' else sl end claim_text from sd) select tx.doc_id, tx.k::int k, attribute_id, claim_text, min(idx)::int first_cue, max(idx)::int last_cue, count(*) n_cues from tx join ov on tx.doc_id = ov.doc_id and tx.k = ov.k where k_norm(claim_text, sl) group by 1, 2, 3, 4""".replace("k_norm(claim_text, sl)", f"contains({NORMAL_FORM.format('sl')}, {NORMAL_FORM.format('claim_text')})"),
+    "phrase_merges": """with recursive c as (select distinct category, unnest(list_concat([canonical_name], aliases)) name from category_schema), k as (select *, row_number() over (partition by category order by length(name), name) i from c),
+ w as (select category, 0::bigint i, ''::varchar name, ''::varchar target, []::varchar[] ts from (select distinct category from c) union all select k.category, k.i, k.name, case when f is null then k.name else f end, case when f is null then list_append(ts, k.name) else ts end from (select w.category, w.ts, k.i, k.name, case when length(k.name) <> 5 then list_filter(w.ts, lambda t: contains(k.name, t) or contains(t, k.name))[1] end f from w join k on k.category = w.category and k.i = w.i + 1) k)
+ select category, name, target from w where i > 0""",
     "best_cue": f"with {_IV}, b as (select *, row_number() over (partition by doc_id, k order by overlap desc, idx) rn from ov) select doc_id, k::int k, idx::int idx, overlap from b where rn = 1",
     "chunk_ranges": f"with recursive {_CUE}, w as (select doc_id, idx, char_start a, char_end z, 0 chunk from cues where idx = 0 union all select c.doc_id, c.idx, case when w.z > w.a and c.char_end - w.a > 400 then c.char_start else w.a end, c.char_end, case when w.z > w.a and c.char_end - w.a > 400 then w.chunk + 1 else w.chunk end from w join cues c on c.doc_id = w.doc_id and c.idx = w.idx + 1) select doc_id, chunk, min(a) as first, max(z) as last from w group by 1, 2 having max(z) > min(a)",
     "claim_family_pairs": f"with recursive {_FAM} select a, b from p",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -70,3 +70,38 @@ def read_marked(spark: SparkSession, path: str, schema: str, mark: str = "RESULT
 def done_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The keys of a result log of JSON lines, bad lines ignored; a missing log has none."""
     return read_records(spark, path, f"{key} string", strict=False).filter(F.col(key).isNotNull()).distinct()
+
+
+def write_vectors(rows: DataFrame, path: str, column: str) -> None:
+    """A bundle of vectors: the column of float arrays as packed little-endian floats, beside the other columns."""
+    import pyarrow as pa
+
+    names = [c for c in rows.columns if c != column]
+
+    def pack(batches):
+        import numpy as np
+
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            packed = [None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(packed, pa.binary())], names=[*names, column])
+
+    schema = StructType([rows.schema[n] for n in names]).add(column, "binary")
+    rows.mapInArrow(pack, schema).write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The bundle with its vectors as float arrays again."""
+    import pyarrow as pa
+
+    stored = spark.read.parquet(path)
+    names = [c for c in stored.columns if c != column]
+
+    def unpack(batches):
+        import numpy as np
+
+        for b in batches:
+            vectors = [None if v is None else np.frombuffer(v, dtype="<f4") for v in b.column(b.schema.get_field_index(column)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(vectors, pa.list_(pa.float32()))], names=[*names, column])
+
+    return stored.mapInArrow(unpack, StructType([stored.schema[n] for n in names]).add(column, ArrayType(FloatType())))

@@ -98,6 +98,48 @@ def test_fold_may_lose_explicitness(spark):
     assert (got.explicit_fact_hit, got.mention_strength) == (False, "strong")
 
 
+def test_fold_by_chunks_is_the_fold(spark):
+    """Composed from chunks of any size, NULL marks included."""
+    rng = random.Random(9)
+    rows = [(k, i, rng.choice([True, False, False, None]), rng.choice(["strong", "weak", "explicit", None]), "p", str(i)) for k in range(40) for i in range(rng.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "k int, pos int, explicit_fact_hit boolean, mention_strength string, polarity string, evidence_span string").repartition(5)
+    want = {}
+    for k, _, e, s, _, span in rows:
+        if k not in want:
+            want[k] = (e, s, span)
+        else:
+            a, b = want[k][:2]
+            if (a is False and e is True) or (b is not None and b != "strong" and s == "strong"):
+                want[k] = (e, s, span)
+    for width in (1, 4, 1000):
+        got = {r.k: (r.explicit_fact_hit, r.mention_strength, r.evidence_span) for r in ordered.strongest_mention(df, "k", chunk=F.floor(F.col("pos") / width)).collect()}
+        assert got == want
+
+
+def test_prototype_loss_falls_back(spark):
+    rows = [(i, [1.0, float(i % 2)], i % 2, 0.5, "a") for i in range(8)] + [(20, [0.0, 1.0], 1, 0.5, "b"), (21, None, 0, 0.5, "b"), (22, [1.0, 0.0], 0, 0.01, "a")]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, y int, c double, g string")
+    got = {r.query_id: (r.level, r.loss) for r in retrieval.prototype_loss(df, df, "g", least=3, c_min=0.1, tau=1.0).collect()}
+    assert got[0][0] == 0 and got[20][0] == 1 and 21 not in got and 22 not in got
+    unit = np.array([1.0, 1.0]) / np.sqrt(2)
+    assert got[0][1] == pytest.approx(0.5 * (np.log(np.exp(unit[0]) + np.exp(1.0)) - 1.0))
+    assert retrieval.prototype_loss(df, df.filter("id < 0"), "g").count() == 0
+
+
+def test_vectors_and_embeddings(spark, tmp_path):
+    df = spark.createDataFrame([(1, [0.5, -2.0]), (2, None), (3, [])], "id int, v array<float>")
+    records.write_vectors(df, str(tmp_path / "v"), "v")
+    assert sorted(map(tuple, records.read_vectors(spark, str(tmp_path / "v"), "v").collect())) == [(1, [0.5, -2.0]), (2, None), (3, [])]
+    got = external.embedded(spark.createDataFrame([("ab",), (None,), ("",)], "text string"), external.stub_embedder).collect()
+    assert [round(sum(x * x for x in r.embedding), 9) for r in got] == [1.0, 0.0, 0.0]
+
+
+def test_decisions_with_unknown_targets_are_new(spark):
+    said = {"aa": ("new", ""), "bb": ("merge", "nobody"), "ccc": ("merge", "bb"), "dddd": ("merge", "ccc")}
+    got = families.sequential_merge(spark.createDataFrame([("g", n) for n in said], "category string, name string"), "category", lambda name, targets: said[name])
+    assert {r.name: r.target for r in got.collect()} == {"aa": "aa", "bb": "bb", "ccc": "bb", "dddd": "dddd"}
+
+
 def test_balanced_splits_follow_the_greedy_rule(spark):
     """Group by group, NULL labels as 0, rows without a group left out."""
     rng = random.Random(7)
