@@ -14,6 +14,10 @@ from lodeweave.operators.components import components
 from lodeweave.session import cut
 
 
+#: Different texts of a block that are compared with each other directly.
+FEW = 30
+
+
 def _classes(claims: DataFrame, within: list[str], least: int) -> DataFrame:
     """id, within, t and the class (least id) of rows of one block with the same compact text of ``least`` characters or more."""
     t = claims.select("id", *within, X.compact(F.col("text")).alias("t")).filter(F.length("t") >= least)
@@ -23,27 +27,34 @@ def _classes(claims: DataFrame, within: list[str], least: int) -> DataFrame:
 def containment_pairs(claims: DataFrame, within: list[str], least: int = 5) -> DataFrame:
     """a, b (a < b) of classes of equal compact texts of one block (named by their least id), one text containing the other.
 
-    Both texts have ``least`` characters or more. The first ``least`` characters of the shorter text must be
-    a run of the longer one: texts are joined on block and run, not with all of their block. Rows with
-    a NULL text or block are left out; repeated rows are one class.
+    Both texts have ``least`` characters or more. In blocks of more than FEW texts the first ``least``
+    characters of the shorter text must be a run of the longer one: texts are joined on block and run, not with
+    all of their block. Rows with a NULL text or block are left out; repeated rows are one class.
     """
-    t = _classes(claims, within, least).filter("id = class").select(F.col("class").alias("c"), *within, "t")
+    return _contained(_classes(claims, within, least), within, least)
+
+
+def _contained(classes: DataFrame, within: list[str], least: int) -> DataFrame:
+    own = classes.filter("id = class").select(F.col("class").alias("c"), *within, "t")
+    t = own.join(own.groupBy(*within).agg(F.count("*").alias("texts")).filter("texts > 1"), within)
+    few, many = t.filter(F.col("texts") <= FEW), t.filter(F.col("texts") > FEW)
+    side = lambda rows, c, name: rows.select(F.col("c").alias(c), *within, F.col("t").alias(name))
+    direct = side(few, "x", "tx").join(side(few, "y", "ty"), within).filter("x <> y and contains(ty, tx)").select("x", "y")
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - least + 1), lambda i: F.substring(F.col("t"), i, F.lit(least))))
-    long = t.select(F.col("c").alias("y"), *within, F.explode(runs).alias("run"))
-    short = t.select(F.col("c").alias("x"), *within, F.substring("t", 1, least).alias("run"))
+    long = many.select(F.col("c").alias("y"), *within, F.explode(runs).alias("run"))
+    short = many.select(F.col("c").alias("x"), *within, F.substring("t", 1, least).alias("run"))
     met = short.join(long, [*within, "run"]).filter("x <> y").select("x", "y")
-    texts = t.select("c", "t")
-    full = met.join(texts.select(F.col("c").alias("x"), F.col("t").alias("tx")), "x").join(texts.select(F.col("c").alias("y"), F.col("t").alias("ty")), "y")
-    return full.filter("contains(ty, tx)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    by_run = met.join(many.select(F.col("c").alias("x"), F.col("t").alias("tx")), "x").join(many.select(F.col("c").alias("y"), F.col("t").alias("ty")), "y").filter("contains(ty, tx)").select("x", "y")
+    return direct.unionByName(by_run).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def claim_families(claims: DataFrame, within: list[str], least: int = 5) -> DataFrame:
     """id, family (least id), size of the connected families with more than one row; equal texts of a block are one family."""
-    known = cut(_classes(claims, within, least).select("id", "class"))
+    known = cut(_classes(claims, within, least))
     name = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
-    pairs = containment_pairs(claims, within, least).select(name("a").alias("a"), name("b").alias("b"))
+    pairs = _contained(known, within, least).select(name("a").alias("a"), name("b").alias("b"))
     tied = components(pairs).select(F.col("node").cast("long").alias("class"), F.col("component").cast("long").alias("component"))
-    rows = known.join(tied, "class", "left").select("id", F.coalesce("component", "class").alias("family"))
+    rows = known.select("id", "class").join(tied, "class", "left").select("id", F.coalesce("component", "class").alias("family"))
     return rows.join(rows.groupBy("family").agg(F.count("*").alias("size")).filter("size > 1"), "family").select("id", "family", "size")
 
 

@@ -156,6 +156,9 @@ SQL = {
     "salvage_json": "select event_id, (event_id % 4)::int kind, case when event_id % 4 = 3 then '[' || props || ', ' || props || ']' else props end parsed from events",
     "grounded_claims": f"""with {_IV}, wh as (select doc_id, string_agg(txt, '' order by idx) whole from cues group by 1), sc as (select attribute_id, category allowed, row_number() over (order by attribute_id) - 1 at_ from category_schema), sd as (select cl.doc_id, k, attribute_id, substr(whole, k * 90 + 1, 40) sl from cl join wh on cl.doc_id = wh.doc_id join sc on at_ = k % 56 join documents d on d.doc_id = cl.doc_id and d.category = allowed where k % 4 <> 3),
  tx as (select *, case when k % 4 = 0 then '（' || upper(substr(sl, 1, 12)) || ' ！' when k % 4 = 1 then sl || '虚构' else sl end claim_text from sd) select tx.doc_id, tx.k::int k, attribute_id, claim_text, min(idx)::int first_cue, max(idx)::int last_cue, count(*) n_cues from tx join ov on tx.doc_id = ov.doc_id and tx.k = ov.k where k_norm(claim_text, sl) group by 1, 2, 3, 4""".replace("k_norm(claim_text, sl)", f"contains({NORMAL_FORM.format('sl')}, {NORMAL_FORM.format('claim_text')})"),
+    "greedy_phrase_dedupe": f"""with recursive d as (select distinct category, evidence_span phrase from mentions where mention_type = 'free' and category is not null and evidence_span is not null), k as (select *, {_CH.format('phrase')} c, row_number() over (partition by category order by phrase) i from d),
+ w as (select category, 0::bigint i, ''::varchar phrase, ''::varchar rep, []::struct(p varchar, c varchar[])[] hs from (select distinct category from d) union all select category, i, phrase, coalesce(f, phrase), case when f is null then list_append(hs, {{'p': phrase, 'c': c}}) else hs end from (select k.category, k.i, k.phrase, k.c, w.hs, list_filter(w.hs, lambda h: len(list_intersect(h.c, k.c)) / len(list_distinct(list_concat(h.c, k.c))) > 0.8)[1].p f from w join k on k.category = w.category and k.i = w.i + 1))
+ select category, phrase, rep representative from w where i > 0""",
     "phrase_merges": """with recursive c as (select distinct category, unnest(list_concat([canonical_name], aliases)) name from category_schema), k as (select *, row_number() over (partition by category order by length(name), name) i from c),
  w as (select category, 0::bigint i, ''::varchar name, ''::varchar target, []::varchar[] ts from (select distinct category from c) union all select k.category, k.i, k.name, case when f is null then k.name else f end, case when f is null then list_append(ts, k.name) else ts end from (select w.category, w.ts, k.i, k.name, case when length(k.name) <> 5 then list_filter(w.ts, lambda t: contains(k.name, t) or contains(t, k.name))[1] end f from w join k on k.category = w.category and k.i = w.i + 1) k)
  select category, name, target from w where i > 0""",

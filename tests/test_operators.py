@@ -277,7 +277,9 @@ def test_pairs_of_containment(spark):
     assert families.containment_pairs(none, ["product"]).count() == 0 and families.claim_families(none, ["product"]).count() == 0
 
 
-def test_containment_against_all_pairs(spark):
+@pytest.mark.parametrize("few", [0, 30, 1000])
+def test_containment_against_all_pairs(spark, few, monkeypatch):
+    monkeypatch.setattr(families, "FEW", few)
     rng = random.Random(11)
     rows = [(i, rng.choice("pq"), "".join(rng.choice("ab") for _ in range(rng.randrange(3, 14)))) for i in range(120)]
     first = {}
