@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -61,6 +61,12 @@ def risk_scores(rows: DataFrame, client: Callable[[str], str]) -> DataFrame:
     return said.select("key", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), F.coalesce(answer["decision"], F.lit(0)).alias("decision"))
 
 
+def reachable(spark: SparkSession, client: Callable[[str], str]) -> DataFrame:
+    """UD10: ok and error of one call from an executor, so that a client that works on the driver only is found out."""
+    said = call_many(spark.createDataFrame([("ping", "ping")], "key string, request string"), client, retries=1)
+    return said.select(F.col("error").isNull().alias("ok"), "error")
+
+
 def cached_calls(requests: DataFrame, client: Callable[[str], str], path: str) -> DataFrame:
     """Responses from the cache at the path; only requests it lacks are sent, and kept for later
     in folders by the first two characters of the key."""

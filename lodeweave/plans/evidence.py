@@ -149,9 +149,9 @@ PLANS: dict[str, Plan] = {
         "M3: asymmetric, focal and weighted cross-entropy values of each labelled row's score as a logit, weighted by c",
         """with b as (select least(sum(1 - y) / sum(y), 50.0) w from {samples} where y is not null and c is not null), r as (select sample_id, double(y) y, greatest(c, 0.05) cw, ln(greatest(least(c, 0.999), 0.001) / (1 - greatest(least(c, 0.999), 0.001))) logit from {samples} where y is not null and c is not null),
  p as (select *, 1 / (1 + exp(-logit)) p from r), q as (select *, greatest(p - 0.05, 0) pm from p)
- select sample_id, round(-(y * ln(greatest(p, 1e-8)) + (1 - y) * ln(greatest(1 - pm, 1e-8)) * pow(pm, 4)) * cw, 6) asl, round(-(0.5 * y * ln(greatest(p, 1e-8)) * pow(1 - p, 2) + 0.5 * (1 - y) * ln(greatest(1 - p, 1e-8)) * pow(p, 2)) * cw, 6) focal, round((w * y * ln(1 + exp(-logit)) + (1 - y) * (logit + ln(1 + exp(-logit)))) * cw, 6) bce from q cross join b""",
+ select sample_id, round(-(y * ln(greatest(p, 1e-8)) + (1 - y) * ln(greatest(1 - pm, 1e-8)) * pow(pm, 4)) * cw, 6) + 0.0 asl, round(-(0.5 * y * ln(greatest(p, 1e-8)) * pow(1 - p, 2) + 0.5 * (1 - y) * ln(greatest(1 - p, 1e-8)) * pow(p, 2)) * cw, 6) + 0.0 focal, round((w * y * ln(1 + exp(-logit)) + (1 - y) * (logit + ln(1 + exp(-logit)))) * cw, 6) + 0.0 bce from q cross join b""",
         """with b as (select least(sum(1 - y) / sum(y), 50.0)::double w from samples where y is not null and c is not null), r as (select sample_id, y::double y, greatest(c, 0.05) cw, least(greatest(c, 0.001), 0.999) p0 from samples where y is not null and c is not null), p as (select *, ln(p0) - ln(1 - p0) z, p0 p, case when p0 > 0.05 then p0 - 0.05 else 0 end pm from r)
- select sample_id, round(cw * case when y = 1 then -ln(p) else -ln(1 - pm) * pm ** 4 end, 6) asl, round(cw * case when y = 1 then -0.5 * ln(p) * (1 - p) ** 2 else -0.5 * ln(1 - p) * p ** 2 end, 6) focal, round(cw * case when y = 1 then -w * ln(p) else -ln(1 - p) end, 6) bce from p, b""",
+ select sample_id, round(cw * case when y = 1 then -ln(p) else -ln(1 - pm) * pm ** 4 end, 6) + 0.0 asl, round(cw * case when y = 1 then -0.5 * ln(p) * (1 - p) ** 2 else -0.5 * ln(1 - p) * p ** 2 end, 6) + 0.0 focal, round(cw * case when y = 1 then -w * ln(p) else -ln(1 - p) end, 6) + 0.0 bce from p, b""",
     ),
     "json_props": Plan(
         "X19, X40: numbers from the JSON texts of all events, malformed ones NULL",

@@ -78,7 +78,6 @@ PLANS = {
     "family_annotation": Plan("W15, X15: claims with the same text in a product: size, kept row, conflict", "with s as (select sample_id, pair_id, split_part(pair_id, '__', 1) product, lower(regexp_replace(claim.passage, '\\\\s+', '')) key, y, c from {samples} where length(claim.passage) >= 5) select sample_id, concat_ws('|', product, md5(key)) as family, count(*) over (partition by product, key) family_size, first_value(sample_id) over (partition by product, key order by c desc nulls last, sample_id) kept, case when min(y) over (partition by product, key) < max(y) over (partition by product, key) then true else false end conflict from s", "with s as (select sample_id, pair_id, split_part(pair_id, '__', 1) product, lower(regexp_replace(claim.passage, '\\s+', '', 'g')) \"key\", y, c from samples where length(claim.passage) >= 5) select sample_id, product || '|' || md5(\"key\") as family, count(*) over (partition by product, \"key\") family_size, first_value(sample_id) over (partition by product, \"key\" order by c desc nulls last, sample_id) kept, case when min(y) over (partition by product, \"key\") < max(y) over (partition by product, \"key\") then true else false end conflict from s"),
     "representative_rows": Plan("T6, T3: up to eight rows per category by priority of confidence, then weight", "with r as (select *, row_number() over (partition by category order by case confidence when 'high' then 0 when 'medium' then 1 else 2 end, c desc, pair_id) rn from (select distinct pair_id, category, confidence, c from {join_split})) select category, rn, pair_id, confidence, c from r where rn <= 8"),
     "case_top": Plan("T5: best row per attribute, the first six of them", "with r as (select sample_id, attribute_id, c, row_number() over (partition by attribute_id order by c desc, sample_id) rn from {samples} where y = 1) select attribute_id, sample_id, c from r where rn = 1 order by c desc, sample_id limit 6"),
-    "stratified_half": Plan("T12, T13: half of each class by hash order", "with r as (select sample_id, y, row_number() over (partition by y order by md5(cast(sample_id as string))) rn, count(*) over (partition by y) n from {samples} where y is not null) select sample_id, y from r where rn <= floor(n / 2)", "with r as (select sample_id, y, row_number() over (partition by y order by md5(sample_id::varchar)) rn, count(*) over (partition by y) n from samples where y is not null) select sample_id, y from r where rn <= floor(n / 2)"),
     "few_shot": Plan("T14: eight sure examples of each class by hash order", "with r as (select sample_id, y, c, row_number() over (partition by y order by md5(cast(sample_id as string))) rn from {samples} where split = 'train' and c >= 0.5 and y is not null) select y, rn, sample_id, c from r where rn <= 8", "with r as (select sample_id, y, c, row_number() over (partition by y order by md5(sample_id::varchar)) rn from samples where split = 'train' and c >= 0.5 and y is not null) select y, rn, sample_id, c from r where rn <= 8"),
     "free_phrases": Plan("U4: distinct spans of free mentions, sorted", "select distinct evidence_span phrase from {mentions} where mention_type = 'free' and evidence_span is not null order by phrase"),
     "variant_pairs": Plan("J25: rows of the same product in two attributes of one domain", "with s as (select sample_id, split_part(pair_id, '__', 1) base, attribute_id, y from {samples} where y is not null) select a.sample_id a_id, b.sample_id b_id, a.base, a.y a_y, b.y b_y from s a join s b on a.base = b.base and a.attribute_id < b.attribute_id"),

@@ -43,6 +43,12 @@ def incremental_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.countDistinct("product_id").alias("products"))
 
 
+def client_ping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD10: whether the clients of models can be reached from the executors; the judge gets no JSON and says so."""
+    ok = X.reachable(spark, X.stub_classifier).select(F.lit("classifier").alias("client"), "ok")
+    return ok.unionByName(X.reachable(spark, X.stub_judge).select(F.lit("judge").alias("client"), "ok"))
+
+
 def resumed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S16, ST2: products that a job log with bad lines does not have yet."""
     path = shared_folder(spark, "log")
@@ -226,7 +232,7 @@ def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ML.out_of_fold(ML.features(s, "text"), "product").groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
 
 
-QUERIES = {f.__name__: f for f in (json_lines, partitioned_output, incremental_output, resumed_jobs, json_document, result_files, markdown_report, marked_lines, review_sheets, slim_copy, image_urls, risk_answers, external_calls, aspect_rows, alignment_vectors, stream_bursts, stream_enriched, linear_baselines, evidence_views, frozen_vectors, vector_bundle, embedded_names, evidence_lists, out_of_fold_scores)}
+QUERIES = {f.__name__: f for f in (json_lines, partitioned_output, incremental_output, client_ping, resumed_jobs, json_document, result_files, markdown_report, marked_lines, review_sheets, slim_copy, image_urls, risk_answers, external_calls, aspect_rows, alignment_vectors, stream_bursts, stream_enriched, linear_baselines, evidence_views, frozen_vectors, vector_bundle, embedded_names, evidence_lists, out_of_fold_scores)}
 _WORDS = "case when regexp_matches(review_text, '偏大|偏小|尺码') then 'size' when regexp_matches(review_text, '客服|物流|快递') then 'service' when regexp_matches(review_text, '起球|开了口|坏了') then 'quality' else 'other' end"
 _POS = lambda ws: "coalesce(" + ", ".join(f"nullif(instr(review_text, '{w}'), 0)" for w in ws) + ") - 1"
 _ASPECTS = [("size", ("偏大", "偏小", "尺码")), ("service", ("客服", "物流")), ("smell", ("味道", "异味")), ("price", ("块", "性价比"))]
@@ -234,6 +240,7 @@ SQL = {
     "json_lines": "select polarity, explicit_fact_hit, count(*) n, count(attribute_id) with_attribute from mentions group by 1, 2",
     "partitioned_output": "select category, count(*) n, count(distinct product_id) products from clips where category in ('食品', '美妆') group by 1",
     "incremental_output": "select count(distinct product_id) n, count(distinct product_id) products from products",
+    "client_ping": "select * from (values ('classifier', true), ('judge', false)) t(client, ok)",
     "resumed_jobs": "select count(*) n_left, min(product_id) first, max(product_id) last from (select distinct product_id from products where length(product_id) + product_id::hugeint % 3 < 20)".replace(" first", ' "first"').replace(" last ", ' "last" '),
     "json_document": "select category, count(*) n from category_schema group by 1",
     "result_files": "select (sample_id % 3)::varchar file_key, count(*) n, count(y) labelled from samples group by 1",

@@ -111,6 +111,16 @@ def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(rows.select("sample_id", stage.alias("stage")), "sample_id").select("sample_id", "part", "stage")
 
 
+def stratified_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of each class in hash order, ranked through 4,096 blocks of the hash."""
+    rows = table(spark, sf_dir, "samples").filter("y is not null").select("sample_id", "y", F.concat(_hash("sample_id"), F.lpad(F.col("sample_id").cast("string"), 20, "0")).alias("h")).withColumn("block", F.substring("h", 1, 3))
+    blocks = cut(rows.groupBy("y", "block").agg(F.count("*").alias("m")))
+    before = blocks.select("y", "block", (F.sum("m").over(W.partitionBy("y").orderBy("block")) - F.col("m")).alias("before"))
+    half = blocks.groupBy("y").agg(F.floor(F.sum("m") / 2).alias("half"))
+    ranked = rows.join(before, ["y", "block"]).join(half, "y").withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("y", "block").orderBy("h")))
+    return ranked.filter("rank <= half").select("sample_id", "y")
+
+
 def capped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most a hundred validation rows, half of each class in hash order; fewer rows are all kept."""
     val = cut(table(spark, sf_dir, "samples").filter("split = 'val' and y is not null").select("sample_id", "y", F.concat(_hash("sample_id"), F.lpad(F.col("sample_id").cast("string"), 20, "0")).alias("h")))
@@ -134,7 +144,7 @@ def room_split_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.deficit_splits(_groups(spark, sf_dir), "room").select(F.col("room").alias("room_id"), "n", "split")
 
 
-QUERIES = {f.__name__: f for f in (hq_quota_fill, injection_prefixes, positional_align, holdout_rooms, category_folds, room_folds, time_split, capped_sample, room_split_greedy, room_split_deficit)}
+QUERIES = {f.__name__: f for f in (hq_quota_fill, injection_prefixes, positional_align, holdout_rooms, category_folds, room_folds, time_split, stratified_half, capped_sample, room_split_greedy, room_split_deficit)}
 
 _R = "r as (select pair_id, min(room_id) room_id, min(category) category from join_split where pair_id is not null group by 1)"
 _VOL = f"{_R}, v as (select room_id, sum(coalesce(len(reviews), 0) + 1) volume from samples s join r on s.pair_id = r.pair_id where s.y is not null and room_id <> '' group by 1), o as (select *, row_number() over (order by volume desc, room_id) - 1 i, count(*) over () n from v), held as (select distinct o.* from o, unnest(range(0, 20)) t(g) where i = round_even(g * (n - 1) / 19.0, 0))"
@@ -152,6 +162,7 @@ SQL = {
     "category_folds": f"with {_R}, n as (select distinct category fold from category_schema), rows_ as (select fold, sample_id, coalesce(category = fold, false) held from samples s join r on s.pair_id = r.pair_id, n), {_PARTS} {_SUM}",
     "room_folds": f"with {_VOL}, rows_ as (select 'rooms' fold, sample_id, held.room_id is not null held from samples s left join r on s.pair_id = r.pair_id left join held on r.room_id = held.room_id), {_PARTS} {_SUM}",
     "time_split": f"with x0 as (select sample_id, unnest(reviews) x from samples), t as (select sample_id, min({_TS}) t from x0 group by 1), rows_ as (select 'time' fold, s.sample_id, t.t, coalesce(t.t >= timestamp '2025-02-15', false) held from samples s left join t using (sample_id)), {_PARTS} select sample_id, part, case when t < timestamp '2025-01-01' then 'early' when held then 'late' else 'background' end stage from parts join (select sample_id, t, held from rows_) using (sample_id)",
+    "stratified_half": f"with r as (select sample_id, y, row_number() over (partition by y order by {_H}) rn, count(*) over (partition by y) n from samples where y is not null) select sample_id, y from r where rn <= floor(n / 2)",
     "capped_sample": f"with v as (select sample_id, y, row_number() over (partition by y = 1 order by {_H}) k, count(*) over () m from samples where split = 'val' and y is not null) select sample_id, y from v where m <= 100 or k <= 50",
     "room_split_greedy": f"""with recursive {_G}, k as (select *, row_number() over (order by n desc, pos desc, room) i, (sum(n) over ())::double tn, (sum(pos) over ())::double tp from g),
  w as (select 0::bigint i, ''::varchar room, 0::bigint n, 0::hugeint pos, ''::varchar split, 0::double an, 0::double ap, 0::double bn, 0::double bp, 0::double cn, 0::double cp
