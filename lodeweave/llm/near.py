@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,19 @@ def run_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed[keep], starts
 
 
+def parts(batch: pa.RecordBatch, *texts: int, rows: int = 1000, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most so many rows and, but for single rows, so many bytes in the text columns."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for i in texts:
+        size += np.asarray(pc.fill_null(pc.binary_length(batch.column(i)), 0), dtype=np.int64)
+    ends, a = np.cumsum(size), 0
+    while a < batch.num_rows:
+        z = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 3 * chars, side="right"))
+        z = min(max(z, a + 1), a + rows, batch.num_rows)
+        yield batch.slice(a, z - a)
+        a = z
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over an array."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -141,8 +155,9 @@ def similar(pairs: DataFrame, left: str, right: str, least: float = THRESHOLD) -
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(shares(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (left, right))) >= least))
+            at = [batch.schema.get_field_index(c) for c in (left, right)]
+            for part in parts(batch, *at, rows=10_000):
+                yield part.filter(pa.array(shares(*(part.column(i).to_pylist() for i in at)) >= least))
 
     return pairs.mapInArrow(check, pairs.schema)
 

@@ -29,7 +29,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number, text, band keys and sketches of each text; numbers follow each other within a task."""
     number = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+        for part in near.parts(batch, 0):
             sig = near.signatures(part.column(0).to_pylist())
             keys, (s0, s1) = near.band_keys(sig).view(np.uint64) & _KEY, near.sketches(sig)
             n, offsets = part.num_rows, np.arange(0, (part.num_rows + 1) * near.BANDS, near.BANDS, dtype=np.int32)
@@ -137,8 +137,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(texts: DataFrame) -> DataFrame:
-    """The different texts of a column text that is reduced; copies are dropped before the shuffle."""
-    return texts.select("text").distinct()
+    """The different texts of a column text that is reduced; copies are dropped before the shuffle,
+    NULLs and texts shorter than near.MIN_CHARS are left out."""
+    return texts.select("text").filter(F.length("text") >= near.MIN_CHARS).distinct()
 
 
 def near_pairs(texts: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def _bits(values: list[bytes]) -> np.ndarray:
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from (batch.slice(i, TEXTS) for i in range(0, batch.num_rows, TEXTS))
+        yield from near.parts(batch, 2, rows=TEXTS)
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,10 +282,11 @@ def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """Near-same pairs of different texts' keys: field_name, train_key, eval_key, coverage,
     similarity, and the length and the matched intervals of the evaluation text.
 
-    Both sides: field_name, text (reduced, near.MIN_CHARS characters at least; repeats allowed).
-    A text that both sides have is a pair with itself. Empty sides give no rows.
+    Both sides: field_name, text (reduced; repeats allowed). NULLs and texts shorter than
+    near.MIN_CHARS are left out. A text that both sides have is a pair with itself. Empty sides give no rows.
     """
-    described = lambda side: side.select("field_name", "text").distinct().select(F.xxhash64("field_name", "text").alias("id"), "field_name", "text").mapInArrow(_described, _DESCRIBED)
+    whole = (F.length("text") >= near.MIN_CHARS) & F.col("field_name").isNotNull()
+    described = lambda side: side.select("field_name", "text").filter(whole).distinct().select(F.xxhash64("field_name", "text").alias("id"), "field_name", "text").mapInArrow(_described, _DESCRIBED)
     known = cut(described(evaluation).mapInArrow(_eval_anchors, f"{_DESCRIBED}, anchors array<long>, words array<string>"))
     texts = cut(described(train))
     # one row of sizes per field comes to the driver

@@ -165,9 +165,9 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, sf_dir, "documents")
     targets = table(spark, sf_dir, "mix_targets")
-    wanted = documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    names = [r[0] for r in targets.select("source").filter("source is not null").distinct().collect()]  # a fixed table
+    wanted = table(spark, sf_dir, "documents").filter(F.col("source").isin(names) if names else F.lit(False))
     return mixture.mixed(tokens.sized(wanted, "doc_id", "source", "lang"), targets)
 
 

@@ -96,3 +96,25 @@ def test_bit_map_holds_its_numbers(spark):
     known = near.bit_map(spark.createDataFrame([(n,) for n in numbers], "n long"), "n")
     assert near.held(known, np.array(numbers)).all() and not near.held(known, np.array([2, 65, 128, 1 << 20])).any()
     assert not near.held(near.bit_map(spark.createDataFrame([], "n long"), "n"), np.array(numbers)).any()
+
+
+def test_parts_hold_every_row_once():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (5, 3_500_000, 1, 2_000_000, 2_000_000, 7)] + [None] + ["b"] * 30
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])
+    got = [p.column(0).to_pylist() for p in near.parts(batch, 1, rows=10)]
+    assert [i for p in got for i in p] == list(range(len(texts))) and max(map(len, got)) <= 10 and [1] in got
+    assert list(near.parts(batch.slice(0, 0), 1)) == []
+
+
+def test_nulls_short_and_very_long_texts(spark):
+    """NULLs and short texts are left out, very long ones compared whole."""
+    rng = random.Random(5)
+    long = "".join(chr(rng.randrange(0x4E00, 0x8E00)) for _ in range(200_000))
+    edited = long[:100_000] + "插入" + long[100_000:150_000] + long[150_003:]
+    texts = [long, edited, long[::-1], None, "", "短"]
+    df = spark.createDataFrame([("ocr", t) for t in texts] + [(None, long)], "field_name string, text string")
+    assert [(r.a, r.b) for r in neardup.near_pairs(neardup.classes(df)).collect()] == [(min(long, edited), max(long, edited))]
+    rows = overlap.overlaps(df.filter("text is null or text <> ''"), df).collect()
+    assert sorted((r.train_key, r.eval_key) for r in rows) == sorted((overlap._key(a), overlap._key(b)) for a, b in [(long, long), (edited, edited), (long, edited), (edited, long), (long[::-1], long[::-1])])
