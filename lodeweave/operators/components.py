@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.session import cut, parallelism
+from lodeweave.session import cut, parallelism, ship
 
 #: Edges that one task may hold (some 200 bytes each), and forests merged into one per level.
 TASK_EDGES, FAN = 500_000, 8
@@ -49,6 +49,7 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
 
     Edges with a NULL end are ignored; repeated edges and loops are allowed; no edges, no rows.
     """
+    ship(edges.sparkSession)
     spark = edges.sparkSession
     left = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).filter("a is not null and b is not null").distinct()
     levels, tasks = [], parallelism(spark)

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 
 from lodeweave.functions import vectors as V
 from lodeweave.operators import places as P
-from lodeweave.session import cut
+from lodeweave.session import cut, ship
 
 #: Queries and library rows of a cell, and rows of each side of one matrix product.
 QUERY_ROWS, LIBRARY_ROWS, STRIP = 20_000, 100_000, 1000
@@ -35,6 +35,7 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 def _cells(queries: DataFrame, library: DataFrame, vectors: list[str], within: str | None, mark: str | None) -> DataFrame:
     """cell, kind (0 query, 1 library), id, mark and the vectors, sorted within partitions by cell and kind."""
+    ship(queries.sparkSession)
     tag = F.lit("") if within is None else F.col(within).cast("string")
     sign = F.lit(None).cast("string") if mark is None else F.col(mark).cast("string")
     whole = F.lit(True)

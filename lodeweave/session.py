@@ -68,6 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
     Files of checkpoints that are no longer in use go with
     ``spark.cleaner.referenceTracking.cleanCheckpoints``, which ``local_session`` sets.
     """
+    ship(df.sparkSession)
     _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -81,6 +82,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the input has fewer splits than that (a small file); else unchanged."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -92,6 +94,7 @@ def parallelism(spark: SparkSession) -> int:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """URI of a new folder that all executors see, below the checkpoint folder; it goes when the session's JVM ends."""
+    ship(spark)
     _folder(spark)
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
