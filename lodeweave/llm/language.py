@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.session import spread
+from lodeweave.session import ship, spread
 
 CODES = ("zh", "en", "ja", "ko", "ru", "es", "pt")
 #: Longest context in bytes; labelled documents in the sample and their longest text; refits.
@@ -227,6 +227,7 @@ def parts(documents: DataFrame) -> DataFrame:
     words (or four bytes of a script without spaces), and as in another language than the document's main one
     only if its code is shorter by LEAST_BITS there.
     """
+    ship(documents.sparkSession)
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(fit(sample(documents)))
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions import looks
+from lodeweave.session import ship
 
 ACCENTS = "̀-ͯ"
 SCRIPTS = ("latin", "greek", "cyrillic")
@@ -237,6 +238,7 @@ def rewritten(texts: DataFrame) -> DataFrame:
     ``texts``: sample_id, field_name, item_no, text; other columns are ignored. NULL and empty
     texts give no rows, nor does an empty table; repeated rows count on their own.
     """
+    ship(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(representatives(texts))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

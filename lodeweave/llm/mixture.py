@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodeweave.llm.language import named
-from lodeweave.session import cut
+from lodeweave.session import cut, ship
 
 SEED = 20240501
 #: Documents of a bucket of the order; bits of a bucket's number, at least and at most.
@@ -73,6 +73,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
     without a target are not used; a source without documents reaches nothing. Empty tables give
     no documents.
     """
+    ship(documents.sparkSession)
     spark = documents.sparkSession
     wanted = {r[0]: (r[1], r[2]) for r in targets.filter("source is not null and target_share is not null and max_repeats is not null").select("source", "target_share", "max_repeats").collect()}
     known = F.col("source").isin(list(wanted)) if wanted else F.lit(False)

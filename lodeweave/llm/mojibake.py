@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.session import cut
+from lodeweave.session import cut, ship
 
 LOST = "lost"
 #: Log-likelihood ratio of a stretch whose characters no clean text has (replacement marks, private use, C1 controls).
@@ -219,6 +219,7 @@ def garbled(texts: DataFrame) -> DataFrame:
     empty text has no stretch; a NULL source is a pool of its own; an empty table gives no rows.
     Result: those columns and chain, pos, obs, dec, posterior.
     """
+    ship(texts.sparkSession)
     spark = texts.sparkSession
     columns = ["sample_id", "field_name", "item_no", "ref", "source", "text"]
     scanned = cut(texts.withColumn("source", F.coalesce("source", F.lit(""))).filter("text is not null").select(*columns).mapInArrow(_scan, SCHEMA))

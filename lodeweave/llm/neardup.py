@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm import near
-from lodeweave.session import cut, stored
+from lodeweave.session import cut, ship, stored
 
 #: Keys of a part of the key space; texts of a block; texts of one key that a task compares itself, and of a block of larger ones.
 PART_KEYS, BLOCK, HOT = 400_000, 1 << 14, 4096
@@ -148,6 +148,7 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     ``texts``: different texts (see classes), each with near.MIN_CHARS characters at least. Candidates must
     agree in enough bits of a sketch (32 bits beside the keys, then all 128) and are then verified on their whole run sets.
     """
+    ship(texts.sparkSession)
     known = stored(texts.select("text").mapInArrow(_described, "id long, text string, keys array<long>, s0 long, s1 long"), "texts")
     parts = max(1, -(-known.count() * near.BANDS // PART_KEYS))
     packed = known.select("id", "keys", "s0").mapInArrow(_packed(parts), "part long, base long, entries binary")
@@ -155,7 +156,8 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     met = stored(met, "met")
     hot = met.filter("x is not null").select("x", "y").repartition(F.xxhash64("x", "y")).mapInArrow(_compared, "ia long, ib long")
     pairs = met.filter("x is null").select("ia", "ib").unionByName(hot).repartition("ia").distinct()  # one shuffle serves the distinct and the join on ia
-    sketch = known.select("id", "s0", "s1")
+    # stored tables are compressed, so that their size says little: no side is broadcast for it
+    sketch = known.select("id", "s0", "s1").hint("merge")
     same = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
     close = cut(
         pairs.join(sketch.alias("x"), F.col("ia") == F.col("x.id"))
@@ -170,6 +172,6 @@ def near_pairs(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(near.held(shared.value, batch.column(0).to_numpy())))
 
-    wanted = known.select("id", "text").mapInArrow(needed, "id long, text string")
+    wanted = known.select("id", "text").mapInArrow(needed, "id long, text string").hint("merge")
     full = close.join(wanted.select(F.col("id").alias("ia"), F.col("text").alias("ta")), "ia").join(wanted.select(F.col("id").alias("ib"), F.col("text").alias("tb")), "ib")
     return near.similar(full.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")), "a", "b")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm import near
-from lodeweave.session import cut
+from lodeweave.session import cut, ship
 
 #: Characters of segments in a shard; its automaton takes about 60 bytes for each.
 SHARD_CHARS = 1_000_000
@@ -285,6 +285,7 @@ def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     Both sides: field_name, text (reduced; repeats allowed). NULLs and texts shorter than
     near.MIN_CHARS are left out. A text that both sides have is a pair with itself. Empty sides give no rows.
     """
+    ship(train.sparkSession)
     whole = (F.length("text") >= near.MIN_CHARS) & F.col("field_name").isNotNull()
     described = lambda side: side.select("field_name", "text").filter(whole).distinct().select(F.xxhash64("field_name", "text").alias("id"), "field_name", "text").mapInArrow(_described, _DESCRIBED)
     known = cut(described(evaluation).mapInArrow(_eval_anchors, f"{_DESCRIBED}, anchors array<long>, words array<string>"))

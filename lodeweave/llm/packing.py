@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodeweave.session import cut
+from lodeweave.session import cut, ship
 
 #: Documents of a partition; partitions whose released documents meet; filling below which a container is released.
 PART, FAN, RELEASE = 10_000, 4, 0.98
@@ -114,6 +114,7 @@ def packed(sizes: DataFrame, packs: DataFrame) -> DataFrame:
 
     Empty tables give no rows. doc_id is unique; rows that repeat one are items of their own.
     """
+    ship(sizes.sparkSession)
     count = max(1, -(-sizes.count() // PART))
     items = pieces(sizes, packs).withColumn("part", F.concat(F.lit("0-"), F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("string")))
     settled, current = [], _packed(items)
